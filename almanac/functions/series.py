@@ -143,16 +143,9 @@ def hour_difference(scraped: str | Column, actual: str | Column) -> Column:
 
 
 def utc_offset_hours(zone: str | Column, instant: Column) -> Column:
-    """Offset of a zone at ``instant`` (a UTC timestamp without zone) in hours; NULL for an unknown zone.
-
-    The zone is checked against the JVM's own zone ids before use, since an unknown id would end the query.
-    """
-    known = F.when(col(zone).isin(zone_ids()), col(zone))
-    moment = instant.cast("timestamp")
-    return (F.unix_timestamp(F.from_utc_timestamp(moment, known)) - F.unix_timestamp(moment)) / 3600.0
-
-
-def zone_ids() -> list[str]:
-    from zoneinfo import available_timezones
-
-    return sorted(available_timezones())
+    """Offset of a zone at ``instant`` (a UTC timestamp without zone) in hours; NULL for an unknown zone."""
+    zero = F.lit(0)
+    known = F.try_make_timestamp(F.lit(2000), F.lit(1), F.lit(1), zero, zero, zero.cast("decimal(16,6)"), col(zone)).isNotNull()
+    there = F.convert_timezone(F.lit("UTC"), F.when(known, col(zone)), instant)
+    shift = there - instant
+    return F.extract(F.lit("HOUR"), shift) + F.extract(F.lit("MINUTE"), shift) / 60

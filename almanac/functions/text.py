@@ -146,7 +146,9 @@ def title_case(text: str | Column) -> Column:
     return F.array_join(cased, "")
 
 
-def _drop_intro(text: Column, city: Column) -> Column:
+def drop_intro(text: str | Column, city: str | Column) -> Column:
+    """Remove the first paragraph when the text opens like an introduction and that paragraph closes like one."""
+    text, city = col(text), col(city)
     parts = F.split(text, "\n\n", -1)
     first = strip(F.get(parts, F.lit(0)))
     opened = F.lit(False)
@@ -157,8 +159,9 @@ def _drop_intro(text: Column, city: Column) -> Column:
     return F.when(opened & (F.size(parts) > 1) & closes, rest).otherwise(text)
 
 
-def _emoji_class() -> str:
-    return "[" + "".join("-".join("\\x{%s}" % end for end in r.split("-")) for r in EMOJI_RANGES) + "]+"
+def strip_emoji(text: str | Column) -> Column:
+    ranges = "".join("-".join("\\x{%s}" % end for end in r.split("-")) for r in EMOJI_RANGES)
+    return F.regexp_replace(col(text), f"[{ranges}]+", "")
 
 
 def clean_steps(city: Column, fix_ranges: bool = False) -> list:
@@ -178,8 +181,8 @@ def clean_steps(city: Column, fix_ranges: bool = False) -> list:
         plain("–", "—"),
         plain(" - ", "—"),
         plain("…", ""),
-        regex(_emoji_class(), ""),
-        lambda t: _drop_intro(t, city),
+        strip_emoji,
+        lambda t: drop_intro(t, city),
         regex("[ ]+[\n]{2,}", "\n\n"),
         regex("[ ]{2,}", " "),
         regex("( +)'([A-Za-z0-9]+)", r'$1 \\"$2'),

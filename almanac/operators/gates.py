@@ -69,11 +69,8 @@ def is_readable(df: DataFrame) -> Column:
 
 
 def is_finite(features: str | Column) -> Column:
-    """No feature is NULL, NaN or infinite; ``features`` is an array of slots, each an array of doubles."""
-    def bad(v: Column) -> Column:
-        return v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-
-    return ~F.exists(text.col(features), lambda slot: F.exists(slot, bad))
+    """No value of an array of doubles is NULL, NaN or infinite."""
+    return F.forall(text.col(features), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
 
 
 def gate_counts(df: DataFrame, gates: dict[str, Column]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import series, text
+from almanac.operators.gates import PROFILE_TEXTS
 from almanac.schema import NAN
 
 # Texts the pipeline masks, and the columns it keeps.
@@ -58,6 +59,17 @@ def fix_wind(df: DataFrame) -> DataFrame:
     return df.withColumn(NEW_SPEED, new).drop(OLD_SPEED)
 
 
+def source_text(df: DataFrame, profile: str) -> Column:
+    """First text present, in the order of the profile."""
+    present = [c for c in PROFILE_TEXTS[profile] if c in df.columns]
+    return F.coalesce(*present)
+
+
+def location(city: str, country: str) -> Column:
+    """City and country; NULL when one is missing."""
+    return F.concat(F.col(city), F.lit(" "), F.col(country))
+
+
 def missing_share(df: DataFrame) -> DataFrame:
     """Share of missing cells over all series but the times."""
     parts = [c for c in series.FILLED_SERIES if c != "times"]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import text as T
 from almanac.operators import gates as G
+from almanac.operators.features import feature_rows, finite_records
 from almanac.plans import Book, table
 from almanac.plans.rendered import SQL_RECORDS, SQL_REPORTS, records, reports
 
@@ -42,9 +43,7 @@ SELECT path FROM rec
 WHERE NOT list_contains(temperatur, 'NaN') AND NOT list_contains(risiko, 'NaN') AND NOT list_contains(geschwindigkeit, 'NaN')
   AND NOT list_contains(druck, 'NaN') AND NOT list_contains(feuchte, 'NaN') AND NOT list_contains(wolken, 'NaN')""")
 def c5(spark, sf):
-    from almanac.operators.features import feature_matrix
-
-    return feature_matrix(records(spark, sf), "standard", "path").filter(G.is_finite("features")).select("path")
+    return finite_records(feature_rows(records(spark, sf), "standard", "path"), "path")
 
 
 @BOOK.add("C6_cascade_delete", SQL_RECORDS + """
