@@ -99,7 +99,12 @@ def slot_hour(slot: Column) -> Column:
 
 
 def cyclic_hour(slot: Column) -> tuple[Column, Column]:
-    angle = slot_hour(slot) * F.lit(2 * math.pi) / 24
+    return cyclic(slot_hour(slot))
+
+
+def cyclic(hour: Column) -> tuple[Column, Column]:
+    """Sine and cosine of an hour on the 24-hour circle; (0, 1) when there is none."""
+    angle = hour * F.lit(2 * math.pi) / 24
     return F.coalesce(F.sin(angle), F.lit(0.0)), F.coalesce(F.cos(angle), F.lit(1.0))
 
 
@@ -110,10 +115,11 @@ def clock_hours(text: str | Column) -> Column:
     return F.when(clock.rlike("^[0-9]+:[0-9]+$"), hours.try_cast("int") + minutes.try_cast("int") / 60)
 
 
-def sun_features(sunrise: str | Column, sundown: str | Column, slot: Column) -> tuple[Column, Column, Column]:
-    """(daylight flag, share since sunrise, share until sunset) of a slot."""
-    rise, down = clock_hours(sunrise), clock_hours(sundown)
-    now = number(F.substring_index(slot, " - ", 1))
+def sun_features(rise: Column, down: Column, now: Column) -> tuple[Column, Column, Column]:
+    """(daylight flag, share since sunrise, share until sunset) of an hour; all three arguments are hours.
+
+    Pass columns that hold the parsed clocks: every argument occurs many times in the result.
+    """
     unknown = rise.isNull() | down.isNull()
     day = now.between(rise, down)
     night = F.lit(24.0) - down + rise
@@ -130,6 +136,11 @@ def sun_features(sunrise: str | Column, sundown: str | Column, slot: Column) ->
     return pick(0.5, F.when(day, 1.0).otherwise(0.0)), pick(0.0, since), pick(0.0, until)
 
 
+def slot_start(slot: Column) -> Column:
+    """Start of a slot label as a number of hours, NULL when it is none."""
+    return number(F.substring_index(slot, " - ", 1))
+
+
 def one_hot(value: Column, vocabulary: Column) -> Column:
     return F.transform(vocabulary, lambda v: F.when(v == value, 1.0).otherwise(0.0))
 

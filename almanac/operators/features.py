@@ -46,14 +46,18 @@ def feature_rows(df: DataFrame, profile: str, key: str, directions: Sequence[str
     arrays = [F.col(c).alias(short) for c, short in SLOT_COLUMNS.items()]
     rain = series.forward_fill("niederschlagsmenge_in_l_per_sqm").alias("rain")
     zipped = F.slice(F.arrays_zip(*arrays, rain), 1, F.size("temperatur_in_deg_C"))
-    slots = df.select(key, "sunrise", "sundown", "sunhours", F.posexplode(zipped).alias("pos", "s")).select(
-        key, "pos", "sunrise", "sundown", "sunhours", "s.*")
-
-    values = {short: series.number(F.col(short)) for short in ("temp", "risk", "speed", "pressure", "humidity")}
-    values |= {"rain": F.col("rain"), "cloud": series.cloud_fraction(F.col("cloud"))}
-    sun = series.sun_features("sunrise", "sundown", F.col("slot"))
-    tail = [*series.cyclic_hour(F.col("slot")), *sun, series.hardly_any_sun("sunhours")]
-    head = [values[n].cast("double") for n in NUMBERS[profile]]
+    # Clocks and the flag are parsed once per record, before the explode.
+    slots = df.select(
+        key, series.clock_hours("sunrise").alias("rise"), series.clock_hours("sundown").alias("down"),
+        series.hardly_any_sun("sunhours").alias("dim"), F.posexplode(zipped).alias("pos", "s"))
+    slots = slots.select(
+        key, "pos", "rise", "down", "dim", "s.rain", "s.wind",
+        *[series.number(F.col(f"s.{c}")).alias(c) for c in ("temp", "risk", "speed", "pressure", "humidity")],
+        series.cloud_fraction(F.col("s.cloud")).alias("cloud"), series.slot_start(F.col("s.slot")).alias("now"),
+        series.slot_hour(F.col("s.slot")).alias("hour"))
+    head = [F.col(n).cast("double") for n in NUMBERS[profile]]
+    sun = series.sun_features(F.col("rise"), F.col("down"), F.col("now"))
+    tail = [*series.cyclic(F.col("hour")), *sun, F.col("dim")]
     if len(names) <= 64:
         features = F.array(*head, *[F.when(F.col("wind") == d, 1.0).otherwise(0.0) for d in names], *tail)
     else:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from almanac.functions import series, text
 from almanac.operators.gates import PROFILE_TEXTS
-from almanac.schema import NAN
 
 # Texts the pipeline masks, and the columns it keeps.
 PIPELINE_TEXTS = ["report_short_wout_boeen", "gpt_rewritten_cleaned", "gpt_rewritten_apo"]
@@ -68,11 +67,3 @@ def source_text(df: DataFrame, profile: str) -> Column:
 def location(city: str, country: str) -> Column:
     """City and country; NULL when one is missing."""
     return F.concat(F.col(city), F.lit(" "), F.col(country))
-
-
-def missing_share(df: DataFrame) -> DataFrame:
-    """Share of missing cells over all series but the times."""
-    parts = [c for c in series.FILLED_SERIES if c != "times"]
-    gaps = sum((F.size(F.filter(c, lambda v: v == NAN)) for c in parts), F.lit(0))
-    cells = sum((F.size(c) for c in parts), F.lit(0))
-    return df.agg(F.try_divide(F.sum(gaps), F.sum(cells)).alias("missing_share"))

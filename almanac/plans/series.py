@@ -97,8 +97,10 @@ FROM sun)"""
 @BOOK.add("F12_sun_features", SQL_RECORDS + SUN_SQL + """
 SELECT path, slot, CAST(daylight AS DOUBLE) AS daylight, round(since_rise, 10) + 0.0 AS since_rise, round(until_set, 10) + 0.0 AS until_set FROM sunny""")
 def f12(spark, sf):
-    slots = records(spark, sf).select("path", "sunrise", "sundown", F.explode("times").alias("slot"))
-    day, since, until = S.sun_features("sunrise", "sundown", F.col("slot"))
+    slots = records(spark, sf).select(
+        "path", S.clock_hours("sunrise").alias("rise"), S.clock_hours("sundown").alias("down"), F.explode("times").alias("slot"))
+    slots = slots.withColumn("now", S.slot_start(F.col("slot")))
+    day, since, until = S.sun_features(F.col("rise"), F.col("down"), F.col("now"))
     return slots.select("path", "slot", day.alias("daylight"), (F.round(since, 10) + 0.0).alias("since_rise"), (F.round(until, 10) + 0.0).alias("until_set"))
 
 
