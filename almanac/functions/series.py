@@ -42,12 +42,17 @@ def positions(n: Column) -> Column:
 
 
 def context(series: Sequence[str | Column]) -> Column:
-    """Slots joined by ``;``, the chosen series of a slot joined by ``;``; stops at the shortest series."""
+    """Slots joined by ``;``, the chosen series of a slot joined by ``;``; stops at the shortest series.
+
+    The arrays are zipped once and walked together; reading each array by index inside the walk would make Spark rebuild
+    a computed array for every slot.
+    """
     arrays = [col(s) for s in series]
+    zipped = F.arrays_zip(*[a.alias(f"c{i}") for i, a in enumerate(arrays)])
     n = F.least(*[F.size(a) for a in arrays]) if len(arrays) > 1 else F.size(arrays[0])
     slots = F.transform(
-        positions(n),
-        lambda i: F.concat_ws(";", *[F.coalesce(F.get(a, i), F.lit("None")) for a in arrays]),
+        F.slice(zipped, 1, n),
+        lambda s: F.concat_ws(";", *[F.coalesce(s[f"c{i}"], F.lit("None")) for i in range(len(arrays))]),
     )
     return F.array_join(slots, ";")
 
