@@ -95,8 +95,7 @@ def enrich_distinct(df: DataFrame, key: str, function: Callable[[Column], Column
     of the table is still computed once and its rows stay spread out.
     """
     unique = df.select(key).filter(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
-    # Shuffle so that the plug-in runs in parallel however few files the texts come from.
-    done = unique.repartition(F.col(key)).select(key, F.coalesce(function(F.col(key)), F.col(key)).alias(name))
+    done = unique.select(key, F.coalesce(function(F.col(key)), F.col(key)).alias(name))
     return lookup_join(df, done, key).withColumn(name, F.coalesce(name, key))
 
 

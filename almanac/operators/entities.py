@@ -18,10 +18,11 @@ def _tokens(c: str | Column) -> Column:
 def _matches(df: DataFrame, key: str, text_col: str, gazetteer: DataFrame) -> DataFrame:
     """(key, matches): leftmost-longest, non-overlapping gazetteer spans as structs (start, len, name)."""
     names = gazetteer.select("name").filter("name <> ''").distinct()
-    longest = names.agg(F.max(F.size(_tokens("name")))).first()[0] or 1
+    # Only lengths that occur among the names are tried: a handful of small numbers.
+    sizes = sorted(r["n"] for r in names.select(F.size(_tokens("name")).alias("n")).distinct().collect())
 
     def spans(tokens: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.lit(longest))
+        lengths = F.array(*[F.lit(n) for n in sizes or [1]])
         at = F.transform(series.positions(F.size(tokens)), lambda i: F.transform(
             lengths, lambda n: F.struct(i.alias("start"), n.alias("len"), F.array_join(F.slice(tokens, i + 1, n), "").alias("name"))))
         words_only = F.filter(at, lambda options: options[0]["name"].rlike(r"^[\p{L}\p{N}_]"))

@@ -46,19 +46,19 @@ def hash_index(df: DataFrame, key: Sequence[str], seed: int | str = 42, name: st
     return _with_offsets(bucketed, "_bucket", order, name).drop("_hash")
 
 
-def sorted_index(df: DataFrame, col: str, name: str = "id") -> DataFrame:
+def sorted_index(df: DataFrame, col: str, name: str = "id", ranges: int = RANGES) -> DataFrame:
     """0-based position of every row in the natural order of ``col``; values must be distinct.
 
     Range bounds come from the 4096 values with the lowest md5, a sample that is the same on every evaluation; the
-    bounds reach the tasks as one scalar subquery of 63 strings.
+    bounds reach the tasks as one scalar subquery of ``ranges - 1`` values. Each range is ranked on its own.
     """
     as_text = F.md5(F.col(col).cast("string"))
     sample = df.select(col).orderBy(as_text, F.col(col)).limit(RANGE_SAMPLE)
     ordered = sample.agg(F.sort_array(F.collect_list(col)).alias("v"))
     bounds = ordered.select(
         F.transform(
-            F.filter(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.size("v") > 0),
-            lambda i: F.get(F.col("v"), F.floor(i * F.size("v") / RANGES).cast("int")),
+            F.filter(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.size("v") > 0),
+            lambda i: F.get(F.col("v"), F.floor(i * F.size("v") / ranges).cast("int")),
         ).alias("bounds")
     ).scalar()
     bounded = df.withColumn("_bounds", bounds)
@@ -72,17 +72,19 @@ def row_total(df: DataFrame, name: str = "n") -> Column:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Equality lookup of ``right`` (unique on the key, few narrow columns) for every row of ``left``.
 
     ``right`` is broadcast only after counting that it stays within ``max_rows``. A larger one is joined by shuffle with
-    the key salted, so that a key holding a large share of ``left`` is spread over ``SALTS`` tasks.
+    the key salted, so that a key holding a large share of ``left`` is spread over ``salts`` tasks. With keys that are
+    unique on the left too, ``salts=1`` gives the plain shuffle join.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if right.limit(max_rows + 1).count() <= max_rows:
         return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, how)
+    return salted_join(left, right, keys, how, salts) if salts > 1 else left.join(right, keys, how)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:

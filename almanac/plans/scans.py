@@ -72,9 +72,8 @@ def a3(spark, sf):
 @BOOK.add("A4_records_with_text", SQL_REPORTS + "SELECT path, report_long FROM rep WHERE report_long IS NOT NULL")
 def a4(spark, sf):
     df = reports(spark, sf).select("path", "report_long")
-    split = df.join(random_split(df.select("path"), "path"), "path")
-    parts = [split.filter(F.col("split") == s) for s in ("train", "eval", "test")]
-    return R.with_text(parts[0].unionByName(parts[1]).unionByName(parts[2]), "report_long").select("path", "report_long")
+    manifest = random_split(df.select("path"), "path").select("path", "split")
+    return R.with_text(R.scan_split(df, manifest, ["train", "eval", "test"]), "report_long")
 
 
 @BOOK.add("A5_tolerant_scan", SQL_RECORDS + "SELECT path, city FROM rec WHERE report_short IS NOT NULL")

@@ -1,5 +1,7 @@
 """Scans and sinks of record collections. Sinks always write to a new place; nothing is changed where it lies."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +54,11 @@ def day_counts(df: DataFrame, path: str = "path", slots: int = SLOTS) -> DataFra
         F.count(F.lit(1)).alias("found"), F.count_if(is_complete(df, slots=slots)).alias("with_data"))
 
 
-def scan_split(records: DataFrame, manifest: DataFrame, split: str, path: str = "path") -> DataFrame:
-    """Records a manifest lists for one split; a subset manifest is one with fewer rows."""
-    listed = manifest.filter(F.col("split") == split).select(path)
-    return lookup_join(records, listed, path, "left_semi")
+def scan_split(records: DataFrame, manifest: DataFrame, splits: str | Sequence[str], path: str = "path") -> DataFrame:
+    """Records a manifest lists for one split or several; a subset manifest is one with fewer rows."""
+    wanted = [splits] if isinstance(splits, str) else list(splits)
+    listed = manifest.filter(F.col("split").isin(wanted)).select(path)
+    return lookup_join(records, listed, path, "left_semi", salts=1)
 
 
 def with_text(records: DataFrame, key: str) -> DataFrame:
@@ -70,6 +73,7 @@ def write_records(df: DataFrame, path: str, *partitions: str) -> None:
 def write_splits(df: DataFrame, path: str, split: str = "split", record_path: str = "path") -> DataFrame:
     """Copy the records of each split below ``path/data`` and write the manifest; returns the manifest."""
     df.write.partitionBy(split).parquet(f"{path}/data")
-    manifest = df.select(split, F.concat(F.lit("data/"), record_path).alias(record_path))
-    manifest.write.parquet(f"{path}/manifest")
+    # From the copy just written: two columns of it are read, the records are not computed a second time.
+    copied = df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")
+    copied.select(split, F.concat(F.lit("data/"), record_path).alias(record_path)).write.parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")

@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of this machine; a cluster without the setting is an error.
     """
     global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
