@@ -2,13 +2,15 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import series
 from almanac.operators.gates import is_finite
+from almanac.operators.index import lookup_join
 from almanac.operators.records import fix_wind
 from almanac.schema import NAN
+from almanac.storage import written
 
 MAX_DIRECTIONS = 4096
 # Number columns of each profile, in feature order.
@@ -76,15 +78,27 @@ def long_features(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "pos", F.posexplode("features").alias("feature", "value"))
 
 
-def standardize_by_batch(long: DataFrame, batch: str, epsilon: float = 1e-8) -> DataFrame:
-    """(x - mean) / (std + epsilon) per feature of a batch; a batch has a fixed number of records, so groups are bounded."""
-    group = Window.partitionBy(batch, "feature")
-    centred = F.col("value") - F.avg("value").over(group)
-    return long.withColumn("value", centred / (F.stddev_samp("value").over(group) + epsilon))
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, mean, deviation) of all values; a partial aggregate, so exploded values never cross the network."""
+    values = rows.select(*keys, F.explode("features").alias("value")) if "feature" not in keys else rows.select(
+        *[k for k in keys if k != "feature"], F.posexplode("features").alias("feature", "value"))
+    return values.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"))
 
 
-def standardize_globally(long: DataFrame, epsilon: float = 1e-8) -> DataFrame:
-    """(x - mean) / (std + epsilon) with one mean and deviation over all values, fetched as scalars of the same plan."""
-    stats = long.agg(F.struct(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).alias("v")).scalar()
-    return long.withColumn("_v", stats).withColumn(
-        "value", (F.col("value") - F.col("_v.m")) / (F.col("_v.s") + epsilon)).drop("_v")
+def standardize_by_batch(rows: DataFrame, batch: str, epsilon: float = 1e-8) -> DataFrame:
+    """Features as (x - mean) / (std + epsilon), with the moments of each feature within its batch.
+
+    One short array of moments per batch is looked up; the rows themselves stay where they are.
+    """
+    moments = _moments(rows, batch, "feature").groupBy(batch).agg(
+        F.sort_array(F.collect_list(F.struct("feature", "mean", "deviation"))).alias("_m"))
+    joined = lookup_join(rows, written(moments, "moments"), batch, max_rows=50_000)
+    scaled = F.zip_with("features", "_m", lambda x, m: (x - m["mean"]) / (m["deviation"] + epsilon))
+    return joined.withColumn("features", scaled).drop("_m")
+
+
+def standardize_globally(rows: DataFrame, epsilon: float = 1e-8) -> DataFrame:
+    """Features as (x - mean) / (std + epsilon), with one mean and deviation over all values of all features."""
+    stats = _moments(rows).select(F.struct("mean", "deviation").alias("v")).scalar()
+    scaled = F.transform("features", lambda x: (x - F.col("_v.mean")) / (F.col("_v.deviation") + epsilon))
+    return rows.withColumn("_v", stats).withColumn("features", scaled).drop("_v")

@@ -178,8 +178,8 @@ FROM long JOIN placed USING (path) WINDOW w AS (PARTITION BY batch, feature)""")
 def f17(spark, sf):
     batched = hash_index(records(spark, sf).drop("user_id"), ["path"]).withColumn("batch", F.floor(F.col("idx") / 64))
     rows = X.feature_rows(batched.withColumn("path", F.struct("batch", "path")), "simple", "path")
-    long = X.long_features(rows.select("path.*", "pos", "features"), "batch", "path")
-    long = X.standardize_by_batch(long, "batch")
+    rows = X.standardize_by_batch(rows.select("path.*", "pos", "features"), "batch")
+    long = X.long_features(rows, "batch", "path")
     return long.select("batch", "path", F.col("pos").cast("bigint").alias("pos"), F.col("feature").cast("bigint").alias("feature"),
                        (F.round("value", 4) + 0.0).alias("value"))
 
@@ -187,7 +187,8 @@ def f17(spark, sf):
 @BOOK.add("F18_standardize_globally", SQL_RECORDS + SIMPLE_SQL + """
 SELECT path, pos, feature, round((value - (SELECT avg(value) FROM long)) / ((SELECT stddev_samp(value) FROM long) + 1e-8), 6) + 0.0 AS value FROM long""")
 def f18(spark, sf):
-    return _rounded(X.standardize_globally(_long(spark, sf, "simple")), "path", digits=6)
+    rows = X.feature_rows(records(spark, sf), "simple", "path")
+    return _rounded(X.long_features(X.standardize_globally(rows), "path"), "path", digits=6)
 
 
 _TOKENS = ("replace(replace(replace(replace(replace(report, city, '<city>'), '°C', ' <degC>'), 'l/m²', ' <l_per_sqm>'), 'km/h', ' <kmh>'), '%', ' <percent>')")
