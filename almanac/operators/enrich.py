@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import text
-from almanac.operators.index import hash_index, hash_key, lookup_join, row_total, sorted_index, top_per_group
+from almanac.operators.index import hash_index, hash_key, lookup_join, sorted_index, top_per_group
+from almanac.storage import written
 
 
 def with_true_names(
@@ -77,15 +78,16 @@ def negative_pairs(df: DataFrame, key: str, payload: str, seed: int = 42) -> Dat
     """Each row with its own payload (class 1) and that of a uniformly drawn other row (class 0).
 
     Rows get an exact random position; the partner is a seeded step of 1..n-1 further on, so it is never the row itself.
+    Positions are worked out and written for the keys alone, so the texts are shuffled only to meet their pair.
     """
-    placed = hash_index(df.select(key, payload), [key], seed, "idx")
-    n = row_total(df)
+    placed = written(hash_index(df.select(key), [key], seed, "idx", "_n"), "positions")
     draw = F.conv(F.substring(hash_key(f"{seed}-pair", key), 1, 8), 16, 10).cast("bigint")
     step = draw % F.greatest(F.col("_n") - 1, F.lit(1)) + 1
-    left = placed.withColumn("_n", n).withColumn("partner", (F.col("idx") + step) % F.col("_n"))
-    left = left.filter("_n > 1").select(key, F.col(payload).alias("class_1"), "idx", "partner")
-    right = placed.select(F.col("idx").alias("partner"), F.col(key).alias(f"partner_{key}"), F.col(payload).alias("class_0"))
-    return left.join(right, "partner")
+    steps = placed.filter("_n > 1").select(key, "idx", ((F.col("idx") + step) % F.col("_n")).alias("partner"))
+    pairs = steps.join(placed.select(F.col("idx").alias("partner"), F.col(key).alias(f"partner_{key}")), "partner")
+    own = df.select(key, F.col(payload).alias("class_1"))
+    other = df.select(F.col(key).alias(f"partner_{key}"), F.col(payload).alias("class_0"))
+    return pairs.join(own, key).join(other, f"partner_{key}")
 
 
 def enrich_distinct(df: DataFrame, key: str, function: Callable[[Column], Column], name: str) -> DataFrame:

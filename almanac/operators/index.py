@@ -18,13 +18,14 @@ def hash_key(seed: int | str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def _with_offsets(bucketed: DataFrame, bucket: str, order: Sequence[Column], name: str) -> DataFrame:
+def _with_offsets(bucketed: DataFrame, bucket: str, order: Sequence[Column], name: str, total: str | None = None) -> DataFrame:
     # The offsets table has one row per bucket, and the number of buckets is a constant, so it may be broadcast.
     ahead = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-        .select(bucket, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
-    )
+    columns = [bucket, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset")]
+    if total:
+        whole = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        columns.append(F.sum("_n").over(whole).alias(total))
+    offsets = bucketed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).select(*columns)
     inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
     return (
         bucketed.withColumn("_rn", inside)
@@ -34,8 +35,10 @@ def _with_offsets(bucketed: DataFrame, bucket: str, order: Sequence[Column], nam
     )
 
 
-def hash_index(df: DataFrame, key: Sequence[str], seed: int | str = 42, name: str = "idx") -> DataFrame:
-    """0-based position of every row in the order of md5(seed, key).
+def hash_index(
+    df: DataFrame, key: Sequence[str], seed: int | str = 42, name: str = "idx", total: str | None = None
+) -> DataFrame:
+    """0-based position of every row in the order of md5(seed, key), and on request the number of rows as ``total``.
 
     md5 spreads unique keys evenly over 16**3 prefix buckets; each bucket is ranked on its own and shifted by the
     count of the buckets before it. No sort runs in one task and nothing has to be cached for the two passes to agree.
@@ -43,7 +46,7 @@ def hash_index(df: DataFrame, key: Sequence[str], seed: int | str = 42, name: st
     hashed = df.withColumn("_hash", hash_key(seed, *key))
     bucketed = hashed.withColumn("_bucket", F.substring("_hash", 1, HEX_DIGITS))
     order = [F.col("_hash"), *[F.col(c) for c in key]]
-    return _with_offsets(bucketed, "_bucket", order, name).drop("_hash")
+    return _with_offsets(bucketed, "_bucket", order, name, total).drop("_hash")
 
 
 def sorted_index(df: DataFrame, col: str, name: str = "id", ranges: int = RANGES) -> DataFrame:

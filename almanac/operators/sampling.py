@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.operators.index import hash_index, hash_key, lookup_join, row_total, running_min, top_per_group
+from almanac.operators.index import hash_index, hash_key, lookup_join, running_min, top_per_group
 
 
 def random_split(
@@ -14,7 +14,7 @@ def random_split(
     """Add ``idx`` and ``split``: floor(n * train) train rows, floor(n * evaluation) eval rows, the rest test."""
     if train + evaluation >= 1.0:
         raise ValueError("train and evaluation shares must sum to less than 1")
-    placed = hash_index(df, [key], seed).withColumn("_n", row_total(df))
+    placed = hash_index(df, [key], seed, total="_n")
     if size != -1:
         placed = placed.withColumn("_n", F.least("_n", F.lit(size))).filter(F.col("idx") < F.col("_n"))
     n_train, n_eval = F.floor(F.col("_n") * train), F.floor(F.col("_n") * evaluation)
@@ -24,7 +24,7 @@ def random_split(
 
 def holdout_split(df: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
     """Two-way split; ceil(share * n) rows are held out."""
-    placed = hash_index(df, [key], seed).withColumn("_n", row_total(df))
+    placed = hash_index(df, [key], seed, total="_n")
     held = F.col("idx") < F.ceil(F.col("_n") * share)
     return placed.withColumn("split", F.when(held, "test").otherwise("train")).drop("_n")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.text import col
-from almanac.operators.index import hash_index, row_total
+from almanac.operators.index import hash_index
 
 MAX_BATCH = 512
 SCORE_BLOCK = 20
@@ -54,7 +54,7 @@ def class_windows(df: DataFrame, negative: str, positive: str, block: int, pad:
 
 def random_batches(df: DataFrame, key: list[str], seed: int = 42, max_batch: int = MAX_BATCH) -> DataFrame:
     """Add ``idx`` (exact random position) and ``batch``: n div 512 + 1 batches of equal size, the last takes the rest."""
-    placed = hash_index(df, key, seed).withColumn("_n", row_total(df))
+    placed = hash_index(df, key, seed, total="_n")
     batches = F.floor(F.col("_n") / max_batch) + 1
     size = F.floor(F.col("_n") / batches)
     return placed.withColumn("batch", F.least(F.floor(F.col("idx") / size), batches - 1)).drop("_n")
