@@ -9,6 +9,7 @@ HEX_DIGITS = 3
 RANGE_SAMPLE = 4096
 RANGES = 64
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 SEP = "\x01"
 
@@ -74,25 +75,43 @@ def row_total(df: DataFrame, name: str = "n") -> Column:
     return df.agg(F.count(F.lit(1)).alias(name)).scalar()
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: bytes of texts, sixteen per array element, eight for anything else."""
+    total = F.lit(0)
+    for field in df.schema:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        size = F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind in ("array", "map") else F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
+    return total
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to send to every executor. At most ``max_rows + 1`` rows are looked at."""
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def lookup_join(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equality lookup of ``right`` (unique on the key, few narrow columns) for every row of ``left``.
 
-    ``right`` is broadcast only after counting that it stays within ``max_rows``. A larger one is joined by shuffle with
-    the key salted, so that a key holding a large share of ``left`` is spread over ``salts`` tasks. With keys that are
-    unique on the left too, ``salts=1`` gives the plain shuffle join.
+    ``right`` is broadcast only after measuring that it stays within ``max_rows`` and 64 MB. A larger one is joined by
+    shuffle with the key salted, so that a key holding a large share of ``left`` is spread over ``salts`` tasks. With
+    keys that are unique on the left too, ``salts=1`` gives the plain shuffle join.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if right.limit(max_rows + 1).count() <= max_rows:
+    if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
     return salted_join(left, right, keys, how, salts) if salts > 1 else left.join(right, keys, how)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Shuffle join in which every left key is spread over ``salts`` tasks and the unique right side is repeated."""
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    # A hash of the row itself, so a task that runs again salts its rows as before.
+    hashed = [f"`{f.name}`" for f in left.schema if "map<" not in f.dataType.simpleString()]
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 

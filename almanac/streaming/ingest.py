@@ -38,7 +38,8 @@ def merge_late_texts(
     """Backfill texts published later: each batch is merged into the stored rows and saved as the next version.
 
     ``stored(batch_id)`` reads the version the batch starts from and ``save(rows, batch_id)`` writes the one it ends
-    with, so a batch that is run again after a failure starts from the same rows and gives the same result.
+    with, so a batch that is run again after a failure starts from the same rows and gives the same result. For a large
+    store ``stored`` reads only the days that may still lack texts and ``save`` replaces just those partitions.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         # One text per key and field: the latest that is not NULL.
