@@ -263,9 +263,10 @@ def time_descriptions(flat: str | Column) -> Column:
 def rows_of(flat: str | Column, n: int) -> Column:
     """Items between runs of two or more spaces, the first dropped, in rows of ``n``."""
     items = F.split(text.strip(F.translate(col(flat), "\n\t", "")), " {2,}", -1)
-    rest = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
-    starts = F.when(F.size(rest) > 0, F.sequence(F.lit(1), F.size(rest), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(rest, i, n))
+    # Shifted copies zipped: the split runs once per column of a row and not once per row.
+    shifted = [F.slice(items, j + 2, F.greatest(F.size(items) - 1 - j, F.lit(0))).alias(f"c{j}") for j in range(n)]
+    starts = F.filter(F.arrays_zip(*shifted), lambda s, i: i % n == 0)
+    return F.transform(starts, lambda s: F.array_compact(F.array(*[s[f"c{j}"] for j in range(n)])))
 
 
 def on_time(times: Column, timezone: bool = True) -> Column:

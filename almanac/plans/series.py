@@ -147,13 +147,26 @@ def _num(x: str) -> str:
 
 _CLOUD = "TRY_CAST(nullif(split_part(cloud, '/', 1), 'NaN') AS DOUBLE) / 8"
 _FFILL = f"coalesce(last_value({_num('amount')} IGNORE NULLS) OVER (PARTITION BY f.path ORDER BY pos ROWS UNBOUNDED PRECEDING), 0.0)"
+def _wide_sql(numbers: int) -> str:
+    """One row per slot: numbers, the one-hot block as text, the six closing features."""
+    cells = [f"n{i}" for i in range(numbers)] + ["sin(2 * pi() * h / 24)", "cos(2 * pi() * h / 24)", "daylight", "since_rise", "until_set", "flag"]
+    names = [f"n{i}" for i in range(numbers)] + TAIL
+    columns = ", ".join(f"round(CAST({c} AS DOUBLE), 10) + 0.0 AS {n}" for c, n in zip(cells, names))
+    return (f"SELECT path, CAST(pos AS BIGINT) AS pos, {columns}, array_to_string(list_transform(vs, "
+            "lambda v: CASE WHEN v = wind THEN '1.0' ELSE '0.0' END), ',') AS one_hot FROM cell, vocab")
+
+
+TAIL = ["hour_sin", "hour_cos", "daylight", "since_rise", "until_set", "hardly_any_sun"]
 STANDARD_SQL = _features_sql([_num("temp"), _num("risk"), _FFILL, _num("speed"), _num("pressure"), _num("hum"), _CLOUD])
 SIMPLE_SQL = _features_sql([_num("temp"), _num("hum"), _CLOUD])
-_ROUNDED = "round(value, 10) + 0.0 AS value"
-
+def _wide(rows, numbers):
+    def at(i):
+        return F.round(F.element_at("features", i), 10) + 0.0
 
-def _long(spark, sf, profile):
-    return X.long_features(X.feature_rows(records(spark, sf), profile, "path"), "path")
+    block = F.slice("features", numbers + 1, F.size("features") - numbers - len(TAIL)).cast("array<string>")
+    return rows.select(
+        "path", F.col("pos").cast("bigint").alias("pos"), *[at(i + 1).alias(f"n{i}") for i in range(numbers)],
+        *[at(i - len(TAIL)).alias(name) for i, name in enumerate(TAIL)], F.array_join(block, ",").alias("one_hot"))
 
 
 def _rounded(long, *keys, digits=10):
@@ -161,14 +174,14 @@ def _rounded(long, *keys, digits=10):
                        (F.round("value", digits) + 0.0).alias("value"))
 
 
-@BOOK.add("F15_standard_features", SQL_RECORDS + STANDARD_SQL + f"SELECT path, pos, feature, {_ROUNDED} FROM long")
+@BOOK.add("F15_standard_features", SQL_RECORDS + STANDARD_SQL + _wide_sql(7))
 def f15(spark, sf):
-    return _rounded(_long(spark, sf, "standard"), "path")
+    return _wide(X.feature_rows(records(spark, sf), "standard", "path"), 7)
 
 
-@BOOK.add("F16_simple_features", SQL_RECORDS + SIMPLE_SQL + f"SELECT path, pos, feature, {_ROUNDED} FROM long")
+@BOOK.add("F16_simple_features", SQL_RECORDS + SIMPLE_SQL + _wide_sql(3))
 def f16(spark, sf):
-    return _rounded(_long(spark, sf, "simple"), "path")
+    return _wide(X.feature_rows(records(spark, sf), "simple", "path"), 3)
 
 
 @BOOK.add("F17_standardize_by_batch", SQL_RECORDS + SIMPLE_SQL + """,
