@@ -35,10 +35,12 @@ DIAGRAM_ROWS = {
 
 @dataclass(frozen=True)
 class Field:
-    """First element with ``tag`` whose ``attribute`` equals (or contains) ``value``, and what to take from it.
+    """First element with ``tag`` (``*`` for any) whose ``attribute`` equals (or contains) ``value``, or the first one below
+    it along ``path``, steps such as ``div`` or ``div[2]``; and what to take from it.
 
     ``take``: ``first`` text node, ``mixed`` (all text nodes joined by a space), ``text`` (joined without one),
-    ``tail`` (text after the element), ``next`` (text of the next element) or ``@name`` for an attribute.
+    ``tail`` (first text among the following siblings), ``next`` (text of the following siblings of the same tag) or
+    ``@name`` for an attribute.
     """
 
     tag: str
@@ -46,6 +48,19 @@ class Field:
     attribute: str | None = None
     value: str | None = None
     contains: bool = False
+    path: tuple[str, ...] = ()
+
+
+# Where the texts and tables of a city page are.
+CITY_PAGE = {
+    "report_short": Field("*", "first", "id", "cnt-with-location-attributes", path=("div", "p")),
+    "report_long": Field("*", "mixed", "id", "furtherDetails", path=("div", "div[1]")),
+    "sunrise": Field("span", "tail", "title", "Sonnenaufgang"),
+    "sundown": Field("span", "tail", "title", "Sonnenuntergang"),
+    "sunhours": Field("span", "next", "class", "icon-sun_hours", contains=True),
+}
+OVERVIEW_ROW = ("class", "swg-row-wrapper border--grey-next")
+DIAGRAM = ("id", "vhs-detail-diagram")
 
 
 def _reader():
@@ -127,7 +142,7 @@ def _reader():
 
 def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
     """Struct with one text per field; a selector that finds nothing gives NULL."""
-    specs = {n: (f.tag, f.take, f.attribute, f.value, f.contains) for n, f in fields.items()}
+    specs = {n: (f.tag, f.take, f.attribute, f.value, f.contains, f.path) for n, f in fields.items()}
     make = _reader
 
     def batch(pages: pd.Series) -> pd.DataFrame:
@@ -141,8 +156,25 @@ def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
                 out.append(c)
             return "".join(out) if out else None
 
+        def next_text(children):
+            for i, c in enumerate(children):
+                if isinstance(c, str):
+                    return leading(children[i:])
+            return None
+
+        def below(node, parent, place, path):
+            if not path:
+                return node, parent, place
+            tag, _, nth = path[0].partition("[")
+            found = [(c, i) for i, c in enumerate(node[2]) if not isinstance(c, str) and c[0] == tag]
+            for child, i in found[int(nth[:-1]) - 1:int(nth[:-1])] if nth else found:
+                hit = below(child, node, i, path[1:])
+                if hit:
+                    return hit
+            return None
+
         def matches(node, tag, attribute, value, contains):
-            if node[0] != tag:
+            if tag not in ("*", node[0]):
                 return False
             if attribute is None:
                 return True
@@ -155,10 +187,10 @@ def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
             if take == "first":
                 return leading(node[2])
             if take == "tail":
-                return leading(parent[2][place + 1:])
+                return next_text(parent[2][place + 1:])
             if take == "next":
-                after = [c for c in parent[2][place + 1:] if not isinstance(c, str)]
-                return leading(after[0][2]) if after else None
+                after = (next_text(c[2]) for c in parent[2][place + 1:] if not isinstance(c, str) and c[0] == node[0])
+                return next((t for t in after if t is not None), None)
             return (" " if take == "mixed" else "").join(texts(node))
 
         def fields_of(page):
@@ -168,7 +200,9 @@ def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
             missing = dict(specs)
             for node, parent, place in walk(read(page)):
                 for name in [n for n, s in missing.items() if matches(node, s[0], s[2], s[3], s[4])]:
-                    out[name] = taken(node, parent, place, missing.pop(name)[1])
+                    hit = below(node, parent, place, missing[name][5])
+                    if hit:
+                        out[name] = taken(*hit, missing.pop(name)[1])
                 if not missing:
                     break
             return out
@@ -192,8 +226,21 @@ def with_fields(df, html: str, fields: dict[str, Field]):
     return read.withColumns({n: tidied(F.col(f"_fields.{n}"), f.take) for n, f in fields.items()}).drop("_fields")
 
 
-def first_table(html: str | Column) -> Column:
-    """Cells of the first table as rows of texts, white space collapsed."""
+def element_texts(html: str | Column, attribute: str, part: str) -> Column:
+    """Text of every element whose attribute contains ``part``, in document order."""
+    make = _reader
+
+    def batch(pages: pd.Series) -> pd.Series:
+        read, walk, texts = make()
+        return pages.map(lambda p: None if p is None else [
+            "".join(texts(n)) for n, _, _ in walk(read(p)) if part in n[1].get(attribute, "")])
+
+    return F.pandas_udf(batch, T.ArrayType(T.StringType()))(col(html))
+
+
+def first_table(html: str | Column, attribute: str | None = None, value: str | None = None) -> Column:
+    """Cells of the first table as rows of texts, white space collapsed; with an attribute, the first table that is or
+    lies in an element with that value."""
     make = _reader
 
     def batch(pages: pd.Series) -> pd.Series:
@@ -202,7 +249,13 @@ def first_table(html: str | Column) -> Column:
         def rows(page):
             if page is None:
                 return None
-            for node, _, _ in walk(read(page)):
+            tree = read(page)
+            if attribute is not None:
+                inside = next((n for n, _, _ in walk(tree) if n[1].get(attribute) == value), None)
+                if inside is None:
+                    return None
+                tree = ("", {}, [inside])
+            for node, _, _ in walk(tree):
                 if node[0] == "table":
                     return [[" ".join("".join(texts(c)).split()) for c, up, _ in walk(r) if up is r and c[0] in ("td", "th")]
                             for r, _, _ in walk(node) if r[0] == "tr"]

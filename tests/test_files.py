@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from almanac.functions import pages as P
 from almanac.functions.pages import Field
 from almanac.operators import gates as G
+from almanac.operators.extract import standardise_pages
 from almanac.schema import CITY_SCHEMA
 from almanac.sources import records as R
 from almanac.sources import tables as C
@@ -111,6 +112,32 @@ def test_hour_row(one):
     assert list(one(P.hour_columns("r"), "r string", ("kaum",))) == [""] * 8
 
 
+def city_page(first_hour):
+    row = '<div class="x swg-row-wrapper border--grey-next"><b>{:02d} - {:02d} Uhr</b> leicht\n bewölkt <i>{}°</i> 20 % 3 l/m² <u>NO</u> 11 km/h</div>'
+    rows = "".join(row.format(h, h + 1, h) for h in range(first_hour, 24))
+    table = "".join("<tr>" + "".join(f"<td>{r}.{h}</td>" for h in range(24)) + "</tr>" for r in range(20))
+    return (f'<html><body><div id="cnt-with-location-attributes"><p>falsch</p><div><p> Kühl in Ulm. </p></div></div>'
+            f'<span title="Sonnenaufgang"></span><b></b> 06:30 Uhr <span class="a icon-sun_hours"></span><b>x</b><span>10 h</span>'
+            f'<div id="uebersicht">{rows}</div><table><tr><td>nein</td></tr></table><div id="vhs-detail-diagram"><table>{table}</table></div>'
+            f'<div id="furtherDetails"><div><div>Lang\n <b>und</b>\tbreit</div><div>zwei</div></div></div></body></html>')
+
+
+def test_page_to_record(spark):
+    df = spark.createDataFrame([("Ulm-1", city_page(0)), ("Bonn-2", city_page(1)), ("Kiel-3", "<p>leer</p>"), ("x", None)], "city string, html string")
+    rows = standardise_pages(df, "html").collect()
+    assert [r["city"] for r in rows] == ["Ulm-1"]
+    r = rows[0]
+    assert (r["report_short"], r["report_long"], r["sunrise"], r["sundown"], r["sunhours"]) == (
+        "Kühl in Ulm.", "Lang und breit", "06:30 Uhr", None, "10 h")
+    assert len(r["times"]) == 24 and r["times"][23] == "23 - 24 Uhr" and set(r["clearness"]) == {"leicht bewölkt"}
+    assert r["overview"].split("\n")[:2] == [
+        "Time,Clearness,Temperature,Rain Chance,Rain Amount,Wind Direction,Wind Speed,Extras",
+        "00 - 01 Uhr,leicht bewölkt,0°,20 %,3 l/m²,NO,11 km/h,"]
+    assert r["temperatur_in_deg_C"][:2] == ["6.0", "6.1"] and r["bewölkungsgrad"][23] == "19.23"
+    assert "html" not in r.asDict()
+    assert sorted(x["city"] for x in standardise_pages(df, "html", timezone=False).collect()) == ["Bonn-2", "Kiel-3", "Ulm-1", "x"]
+
+
 def test_cascade(spark):
     raw = spark.createDataFrame([("a", "x"), ("b", None)], "base string, d string")
     standard = spark.createDataFrame([("a",), ("b",), ("c",)], "base string")
