@@ -158,6 +158,19 @@ def hour_difference(scraped: str | Column, actual: str | Column) -> Column:
     return F.pmod(col(scraped) - col(actual), F.lit(24))
 
 
+def interval_seconds(span: Column) -> Column:
+    """Seconds of a day-time interval, such as the difference of two timestamps; no session time zone is involved."""
+    def part(name: str) -> Column:
+        return F.extract(F.lit(name), span)
+
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+
+
+def utc_instant(wall: str | Column) -> Column:
+    """Instant of a UTC wall-clock time stored without zone, whatever the session's zone is."""
+    return F.timestamp_seconds(interval_seconds(col(wall) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
+
+
 def utc_offset_hours(zone: str | Column, instant: Column) -> Column:
     """Offset of a zone at ``instant`` (a UTC timestamp without zone) in hours; NULL for an unknown zone."""
     zero = F.lit(0)

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions.series import interval_seconds
 from almanac.operators.index import hash_index, hash_key, lookup_join, running_min, top_per_group
 
 
@@ -85,9 +86,9 @@ def early_stop(
 
 def run_durations(history: DataFrame, run: str, stamp: str) -> DataFrame:
     """(run, epochs, seconds_per_epoch) from one timestamp per epoch."""
-    seconds = F.unix_timestamp(F.max(stamp).cast("timestamp")) - F.unix_timestamp(F.min(stamp).cast("timestamp"))
-    return history.groupBy(run).agg(
-        F.count(F.lit(1)).alias("epochs"), (seconds / F.count(F.lit(1))).alias("seconds_per_epoch"))
+    spans = history.groupBy(run).agg(F.count(F.lit(1)).alias("epochs"), (F.max(stamp) - F.min(stamp)).alias("_span"))
+    seconds = interval_seconds(F.col("_span")).cast("double")
+    return spans.select(run, "epochs", (seconds / F.col("epochs")).alias("seconds_per_epoch"))
 
 
 def latest_ingest(df: DataFrame, day: str, stamp: str, excluded: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from almanac.functions.series import utc_instant
 from almanac.plans import Book, table
 from almanac.storage import fresh_path
 from almanac.streaming import ingest as S
@@ -12,7 +13,7 @@ BOOK = Book()
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
     # Event times become instants: watermarks need a timestamp with zone.
-    return S.read_stream(spark, sf, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.read_stream(spark, sf, "events.parquet", schema).withColumn("ts", utc_instant("ts"))
 
 
 @BOOK.add("L1_incremental_ingest", "SELECT event_id, user_id, event_type FROM events")

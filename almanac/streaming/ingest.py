@@ -54,15 +54,16 @@ def merge_late_texts(
 
 
 def complete_days(stream: DataFrame, entity: str, stamp: str, delay: str) -> DataFrame:
-    """(entity, day, slots, complete): complete when all 24 hours of the day have a row, the first hour included.
+    """(entity, day, slots, complete): complete when all 24 UTC hours of the day have a row, the first hour included.
 
     Two chained windows under one watermark: hours first, so that the state holds one entry per entity and hour however
     many rows an hour has, then days. A day is emitted once the watermark has passed its end; later rows are dropped.
     """
     hours = stream.withWatermark(stamp, delay).groupBy(entity, F.window(stamp, "1 hour").alias("hour")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = hours.withColumn("_at", F.window_time("hour")).withColumn("_h", F.hour("hour.start"))
+    # Windows lie on UTC hours and days; hour and day are read off the instant itself, not in the session's zone.
+    starts = hours.withColumn("_at", F.window_time("hour")).withColumn("_h", F.pmod(F.floor(F.unix_seconds("hour.start") / 3600), F.lit(24)))
     days = starts.groupBy(entity, F.window("_at", "1 day").alias("day")).agg(
         F.count(F.lit(1)).alias("slots"), F.min("_h").alias("_first"))
     return days.select(
-        entity, F.date_format("day.start", "yyyy-MM-dd").alias("day"), "slots",
+        entity, F.date_from_unix_date(F.floor(F.unix_seconds("day.start") / 86400).cast("int")).cast("string").alias("day"), "slots",
         ((F.col("slots") == HOURS) & (F.col("_first") == 0)).alias("complete"))
