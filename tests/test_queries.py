@@ -17,15 +17,20 @@ SAMPLE = ["A5_tolerant_scan", "B9_assemble_record", "C3_temperatures_agree", "D8
           "J5_bleu", "J11_metric_report", "K2_shared_tokens", "L3_complete_days", "M2_user_transform"]
 
 
+def inventory(names):
+    """Without the operators for training data, which have tests of their own and may be absent."""
+    return {name for name in names if not re.match(r"op\d+_|pipeline$", name)}
+
+
 def test_every_inventory_id_has_a_query():
-    have = {name.split("_")[0] for name in entry.queries()}
+    have = {name.split("_")[0] for name in inventory(entry.queries())}
     assert have == set(IDS)
 
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"J4_rouge_l"}
-    assert all(re.fullmatch(r"[A-M][0-9]+[ab]?_[a-z0-9_]+", name) for name in entry.queries())
+    assert inventory(entry.queries()) - set(entry.oracle_sql()) == {"J4_rouge_l"}
+    assert all(re.fullmatch(r"[A-M][0-9]+[ab]?_[a-z0-9_]+", name) for name in inventory(entry.queries()))
 
 
 @pytest.fixture(scope="module")
