@@ -1,4 +1,4 @@
 """Registers the queries of all operators of this subpackage."""
 
-from almanac.llm import exact_dedup, mixing, packing  # noqa: F401
+from almanac.llm import exact_dedup, language_id, mixing, ngram_join, packing  # noqa: F401
 from almanac.llm.common import BOOK  # noqa: F401
