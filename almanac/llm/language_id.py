@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ from almanac.llm.common import BOOK, learning_part, read
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 20_000
-SEQUENCES = 4000
+SEQUENCES = 3000
 CHAIN = 32
 RUN_WORDS = 10
-ROUNDS = 30
+ROUNDS = 20
 LEXICON_COUNT = 3
 TABLE_BITS = 18
 ORDERS = (2, 3, 4, 5)
@@ -235,46 +236,70 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Crf:
     return train(texts)
 
 
+def label_texts(model: Crf, texts: list[bytes]) -> Iterator[tuple[str, float, list[dict]]]:
+    """(language, score, runs of words in one language) of each text, worked on in portions of bounded size."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size * max(1, len(model.langs)) >= 4 * PORTION:
+            yield from _label_portion(model, part)
+            part, size = [], 0
+    yield from _label_portion(model, part)
+
+
+def _label_portion(model: Crf, texts: list[bytes]) -> Iterator[tuple[str, float, list[dict]]]:
+    kept = [t for t in texts if t and model.langs]
+    if kept:
+        lengths = np.array([t.count(b" ") + 1 for t in kept])
+        post = model.posteriors(Words.of(kept), lengths)
+        ends = np.cumsum(lengths)
+        share = np.add.reduceat(post, ends - lengths, axis=0) / lengths[:, None]
+        best, word_best = share.argmax(axis=1), post.argmax(axis=1)
+    k = 0
+    for text in texts:
+        if not text or not model.langs:
+            yield UNKNOWN, 0.0, []
+            continue
+        own = word_best[ends[k] - lengths[k]:ends[k]]
+        cut = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+        spans = [{"lang": model.langs[own[a]], "words": int(b - a)} for a, b in zip(cut[:-1], cut[1:])]
+        yield model.langs[best[k]], min(1.0, float(share[k, best[k]])), spans
+        k += 1
+
+
 def labelled(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lang_pred, score, spans) of every row; ``spans`` are the runs of words in one language: (lang, words)."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def portion(ids, texts):
-            lang, score, spans = [UNKNOWN] * len(ids), [0.0] * len(ids), [[] for _ in ids]
-            kept = [i for i, t in enumerate(texts) if t and model.langs]
-            if kept:
-                words = Words.of([texts[i] for i in kept])
-                lengths = np.array([texts[i].count(b" ") + 1 for i in kept])
-                post = model.posteriors(words, lengths)
-                ends = np.cumsum(lengths)
-                share = np.add.reduceat(post, ends - lengths, axis=0) / lengths[:, None]
-                best = share.argmax(axis=1)
-                word_best = post.argmax(axis=1)
-                for k, i in enumerate(kept):
-                    lang[i], score[i] = model.langs[best[k]], min(1.0, float(share[k, best[k]]))
-                    own = word_best[ends[k] - lengths[k]:ends[k]]
-                    cut = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
-                    spans[i] = [{"lang": model.langs[own[a]], "words": int(b - a)} for a, b in zip(cut[:-1], cut[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                                               pa.array(spans, kind)], names=["doc", "lang_pred", "score", "spans"])
-
         kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids.append(doc)
-                texts.append(text.as_py())
-                size += len(texts[-1])
-                if size * max(1, len(model.langs)) >= 4 * PORTION:
-                    yield portion(ids, texts)
-                    ids, texts, size = [], [], 0
-            yield portion(ids, texts)
+            found = list(label_texts(model, batch.column(1).cast(pa.binary()).to_pylist()))
+            lang, score, spans = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)],
+                names=["doc", "lang_pred", "score", "spans"])
 
     words = F.coalesce(letters(F.col(text_col)), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc"), words.alias("words")).mapInArrow(
         label, "doc long, lang_pred string, score double, spans array<struct<lang:string,words:long>>")
 
 
+def recognised(docs: DataFrame, model: Crf, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has letters and, if any language was learned, one with at least a share of ``least``."""
+
+    @F.pandas_udf("boolean")
+    def fits(words: pd.Series) -> pd.Series:
+        texts = [w.encode() for w in words]
+        if not model.langs:
+            return pd.Series([bool(t) for t in texts])
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score, _ in label_texts(model, texts)], dtype=bool)
+
+    columns = [f"`{c}`" for c in docs.columns]
+    words = F.coalesce(letters(F.col(text_col)), F.lit(""))
+    return docs.select(F.struct(*columns).alias("row"), words.alias("words")).filter(fits("words")).select("row.*")
+
+
 @BOOK.add("op1_language_id")
 def op1_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
