@@ -30,8 +30,8 @@ LENGTH = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 BUCKET_PIECES = 50_000
-#: Words whose ids a task keeps at hand; only speed depends on it.
-KNOWN_WORDS = 300_000
+#: Words whose ids a Python worker keeps at hand (250 MB); only speed depends on it.
+KNOWN_WORDS = 1_000_000
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -50,6 +50,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -58,9 +59,19 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 10_000):
-            part = words[i:i + 10_000]
-            self.known.update(zip(part, self._plain([" " + w for w in part])))
+        """Look up new words many at a time, with line feeds between them: a line feed is cut off on both sides and has an id
+        of its own. Words that hold white space themselves are encoded alone."""
+        import numpy as np
+
+        joined = [w for w in words if w and w.split() == [w]]
+        for i in range(0, len(joined), 1000):
+            part = joined[i:i + 1000]
+            ids = np.frombuffer(self._plain([" " + "\n ".join(part)])[0], "<u4")
+            cuts = np.flatnonzero(ids == self.feed)
+            for word, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                self.known[word] = ids[a:b].tobytes()
+        alone = [w for w in words if w not in self.known]
+        self.known.update(zip(alone, self._plain([" " + w for w in alone])))
 
     def encode(self, text: str) -> bytes:
         if "  " in text or any(s in text for s in self.special):
@@ -74,18 +85,26 @@ class Encoder:
         return b"".join([*self._plain([head]), *map(self.known.__getitem__, words)])
 
 
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which keeps it beside the tokenizer files' module for its later tasks."""
+    kept = vars(public_tokenizers).setdefault("_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length: int, end_id: int) -> DataFrame:
     """(doc, start, length, ids_crc32, doc_tokens): every document with its end id, cut into pieces of at most ``length``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        encoder = Encoder(public_tokenizers.path(tokenizer) if "/" not in tokenizer else tokenizer)
+        encode = encoder(public_tokenizers.path(tokenizer) if "/" not in tokenizer else tokenizer).encode
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
+                ids = encode(text.as_py() or "") + end
                 for at in range(0, len(ids), 4 * length):
                     part = ids[at:at + 4 * length]
                     rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
