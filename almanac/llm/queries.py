@@ -1,4 +1,4 @@
 """Registers the queries of all operators of this subpackage."""
 
-from almanac.llm import exact_dedup, language_id, licenses, mixing, ngram_join, packing, sharding, toxicity  # noqa: F401
+from almanac.llm import exact_dedup, language_id, licenses, mixing, ngram_join, packing, secrets, sharding, toxicity  # noqa: F401
 from almanac.llm.common import BOOK  # noqa: F401
