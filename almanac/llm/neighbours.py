@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from almanac.llm.common import BOOK, read
 from almanac.storage import written
 
-NEIGHBOURS = 14
-TREES = 4
-BLOCK = 512
+NEIGHBOURS = 20
+TREES = 8
+BLOCK = 1024
 ROUNDS = 2
 CHUNK = 64
-BEAM = 96
-OPEN = 24
+BEAM = 400
+OPEN = 64
 ENTRIES = 32
 TASK_NODES = 2000
 GRAPH = "node long, vec binary, nbrs array<long>, dists array<float>, farthest float"
@@ -51,18 +51,18 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def packed(v: Column) -> Column:
-    """The vector as single-precision bytes, for building and walking the graph."""
+def packed(v: Column, largest: float) -> Column:
+    """The vector in units of the ``largest`` component of all, as half-precision bytes, for building and walking the graph."""
 
     @F.pandas_udf("binary")
     def pack(vectors: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(x, np.float32).tobytes() for x in vectors])
+        return pd.Series([(np.asarray(x) / largest).astype(np.float16).tobytes() for x in vectors])
 
     return pack(v)
 
 
 def matrix(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1)
+    return np.frombuffer(b"".join(blobs), np.float16).astype(np.float32).reshape(len(blobs), -1)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def _first_lists(points: DataFrame, n: int, tasks: int, k: int) -> DataFrame:
             rng = np.random.default_rng(5)
             for tree in range(trees):
                 planes = rng.standard_normal((x.shape[1], depth)).astype(np.float32)
-                code = ((x - 0) @ planes > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(x), np.int64)
+                code = (x @ planes > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(x), np.int64)
                 yield pdf.assign(tree=tree, code=code.astype(np.int64))
 
     coded = points.select("node", "vec").mapInPandas(codes, "node long, vec binary, tree int, code long")
@@ -210,7 +210,7 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
             opened = np.asarray(own["opened"] if own["opened"] is not None else [], bool)
             more = more[~more["node"].isin(ids)]
             if len(more):
-                d = distances(np.frombuffer(own["vec"], np.float32)[None], matrix(more["its"].tolist()))[0]
+                d = distances(matrix([own["vec"]]), matrix(more["its"].tolist()))[0]
                 ids, dist = np.concatenate([ids, more["node"].to_numpy(np.int64)]), np.concatenate([dist, d])
                 opened = np.concatenate([opened, np.zeros(len(d), bool)])
             order = np.lexsort((ids, dist))[:beam]
@@ -242,7 +242,8 @@ def nearest_rows(rows: DataFrame, is_query: Column, id_col: str, vector_col: str
     kept = written(usable(rows, id_col, vector_col), "vectors")
     nodes = written(kept.groupBy("v").agg(F.min("id").alias("node")), "distinct-vectors")
     members = written(kept.join(nodes, "v").select("id", "node"), "members")
-    points = written(nodes.select("node", packed(F.col("v")).alias("vec")), "points")
+    largest = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    points = written(nodes.select("node", packed(F.col("v"), largest).alias("vec")), "points")
     graph = build(points)
 
     asked = rows.filter(is_query).select(F.col(id_col).cast("long").alias("id")).distinct().join(members, "id")
