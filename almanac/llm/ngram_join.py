@@ -9,10 +9,11 @@ emitted by both. This keeps out the subsets that share little or nothing and wou
 
 *Candidates.* Signatures travel packed by bucket. Sets that share one are linked to the smallest (a star), the stars are
 verified, and the links give first components. Only groups that still hold sets of several components are looked at again, in
-tiles of bounded size inside tasks; pairs are never rows unless they are links. So no link between different sets is lost.
+tiles of bounded size inside tasks, by parity sketches: the differing bits are at most as many as the differing shingles, so
+a pair beyond the bound is no link, and no other pair of a group becomes a row. So no link between different sets is lost.
 
 *Skew.* Equal sets of one batch are one set before anything travels, sets that share a signature within a batch send it
-once, equal sets meet by digest with partial aggregates, stars are split in chunks of ``CHUNK`` members, groups in tiles.
+once, equal sets meet by digest with partial aggregates, stars are joins of written tables, groups come in tiles.
 
 Defined results: a text with fewer words than a shingle is one shingle; null texts and texts without words have the empty set and
 are linked with nothing; rows without id take no part; rows repeated with one id are one document (its size is that of the
@@ -35,8 +36,8 @@ from almanac.storage import written
 
 WORDS = 4
 PERCENT = 85
-CHUNK = 256
 TILE = 128
+TASK_TILES = 64
 BUCKET_SIGNATURES = 1_500_000
 SIGNATURES_PER_SHINGLE = 0.45
 PORTION = 4 << 20
@@ -128,6 +129,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity bits of a set: how many of its elements fall on each of a power of two of bits, at least two per element, modulo 2.
+    Every element in which two sets differ changes one bit, so the bits that differ are at most as many."""
+    bits = 64
+    while bits < 2 * len(shingles):
+        bits *= 2
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def possible(sketches: np.ndarray, sizes: np.ndarray, other: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
+    """Which sets of equally wide sketches (one per row) may be similar to one set with a sketch as wide or wider."""
+    narrow = np.bitwise_xor.reduce(other.reshape(-1, sketches.shape[1]), axis=0)
+    differ = np.bitwise_count(sketches ^ narrow).sum(axis=1, dtype=np.int64)
+    near = 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
+    return near & (differ * (100 + percent) <= (sizes + size) * (100 - percent))
+
+
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
     for batch in batches:
         ids, texts, size = [], [], 0
@@ -142,27 +160,38 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], li
             yield ids, texts
 
 
-def _sets(docs: DataFrame, words: int, content: bool) -> DataFrame:
-    """(doc, n, digest) of every document, and with ``content`` its shingle hashes as bytes."""
+def _digests(docs: DataFrame, words: int) -> DataFrame:
+    """(doc, n, digest) of the set of every document."""
 
     def build(batches):
         import hashlib
 
         for ids, texts in _portions(batches):
             sets = list(shingle_sets(texts, words))
-            columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            if content:
-                columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-            else:
-                columns.append(pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "content" if content else "digest"])
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())],
+                                             names=["doc", "n", "digest"])
+
+    return docs.mapInArrow(build, "doc long, n long, digest binary")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc, content, sketch) of every document: its shingle hashes and their parity bits."""
+
+    def build(batches):
+        for ids, texts in _portions(batches):
+            sets = list(shingle_sets(texts, words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["doc", "content", "sketch"])
 
-    return docs.mapInArrow(build, f"doc long, n long, {'content' if content else 'digest'} binary")
+    return docs.mapInArrow(build, "doc long, content binary, sketch binary")
 
 
 def _packed_signatures(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """Signatures of all documents, packed by bucket: (bucket, codes, owners) to be grouped, and (chain, low, high): sets that
-    shared a signature within one batch, which is then sent for the smallest of them only."""
+    """Signatures of all documents, packed by bucket: codes, owners and how many sets an owner stands for. Three and more sets that
+    share a signature within one batch send it for the smallest of them only; the others follow as (chain, low, high), dealt by
+    set and not by signature."""
 
     def build(batches):
         import hashlib
@@ -182,10 +211,15 @@ def _packed_signatures(docs: DataFrame, words: int, percent: int, buckets: int)
             code, owner = np.concatenate(codes), np.concatenate(owners)
             order = np.lexsort((owner, code))
             first = np.concatenate([[True], code[order][1:] != code[order][:-1]])
-            low = owner[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-            chain = (code[order][~first], low[~first], owner[order][~first])
-            sent = np.sort(order[first])
-            code, owner = code[sent], owner[sent]
+            run = np.cumsum(first) - 1
+            many = (np.bincount(run) > 2)[run]
+            low = owner[order][np.flatnonzero(first)[run]]
+            chained = many & ~first
+            chain = (code[order][chained], low[chained], owner[order][chained])
+            stands = np.ones(len(code), np.uint8)
+            stands[order[many & first]] = 3
+            sent = np.sort(order[~chained])
+            code, owner, stands = code[sent], owner[sent], stands[sent]
             to = (code % np.uint64(buckets)).astype(np.int64)
             to_chain = (mixed(chain[0] ^ chain[2].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             by, by_chain = np.argsort(to, kind="stable"), np.argsort(to_chain, kind="stable")
@@ -194,85 +228,103 @@ def _packed_signatures(docs: DataFrame, words: int, percent: int, buckets: int)
             for b in range(buckets):
                 x, y = by[at[b]:at[b + 1]], by_chain[at_chain[b]:at_chain[b + 1]]
                 if len(x) or len(y):
-                    out.append((b, code[x].tobytes(), owner[x].tobytes(), *(c[y].tobytes() for c in chain)))
+                    out.append((b, *(c[x].tobytes() for c in (code, owner, stands)), *(c[y].tobytes() for c in chain)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 6))],
-                names=["bucket", "codes", "owners", "chain", "low", "high"])
+                [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(1, 7))],
+                names=["bucket", "codes", "owners", "stands", "chain", "low", "high"])
 
-    return docs.mapInArrow(build, "bucket int, codes binary, owners binary, chain binary, low binary, high binary")
+    return docs.mapInArrow(build, "bucket int, codes binary, owners binary, stands binary, chain binary, low binary, high binary")
 
 
 def _meetings(packed: DataFrame) -> DataFrame:
-    """(code, member, low): the sets that share a signature, each with the smallest that was seen with it."""
+    """(low, member): sets that share a signature with a smaller one; and (code, member): those that share one with two others or
+    more."""
 
     def meet(table: pa.Table) -> pa.Table:
         def column(name, kind):
             return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-        code, owner = column("codes", np.uint64), column("owners", np.int64)
+        code, owner, stands = column("codes", np.uint64), column("owners", np.int64), column("stands", np.uint8)
         order = np.lexsort((owner, code))
-        code, owner = code[order], owner[order]
+        code, owner, stands = code[order], owner[order], stands[order]
         first = np.concatenate([[True], code[1:] != code[:-1]])[:len(code)]
         run = np.cumsum(first) - 1
-        shared = np.bincount(run, minlength=1)[run] > 1 if len(run) else first
         low = owner[np.flatnonzero(first)[run]] if len(run) else owner
+        many = (np.bincount(run, stands.astype(np.float64)) > 2)[run] & (np.bincount(run) > 1)[run] if len(run) else first
         chain, below, above = column("chain", np.uint64), column("low", np.int64), column("high", np.int64)
-        return pa.table({"code": np.concatenate([code[shared], chain, chain]).view(np.int64),
-                         "member": np.concatenate([owner[shared], above, below]),
-                         "low": np.concatenate([low[shared], below, below])})
+        pairs = np.unique(np.stack([np.concatenate([low[~first], below]), np.concatenate([owner[~first], above])]), axis=1)
+        group = np.concatenate([code[many], chain, chain]).view(np.int64)
+        member = np.concatenate([owner[many], above, below])
+        return pa.table({"code": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(group)]),
+                         "member": np.concatenate([pairs[1], member]),
+                         "low": pa.concat_arrays([pa.array(pairs[0]), pa.nulls(len(group), pa.int64())])})
 
     return packed.groupBy("bucket").applyInArrow(meet, "code long, member long, low long")
 
 
-def _verified_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the pairs (low, member). A star's members come in chunks, each with its own copy of the centre."""
-    parts = pairs.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    dealt = pairs.join(parts, "low").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
-    members = dealt.join(sets.select(F.col("doc").alias("member"), "content"), "member").select("low", "part", "member", "content")
-    centres = sets.select(F.col("doc").alias("low"), F.col("content").alias("own")).join(parts, "low").select(
-        F.col("low").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("nth"), "own")
+def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (low, member, low_n, member_n) with the bytes of both sets as ``own`` and ``its``. Plain joins of written tables:
+    a centre with a large share of all pairs is a skewed side that adaptive execution splits."""
+    its = sets.select(F.col("doc").alias("member"), F.col(column).alias("its"))
+    own = sets.select(F.col("doc").alias("low"), F.col(column).alias("own"))
+    return pairs.join(its, "member").join(own, "low")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links: those whose sketches allow it, compared in full."""
 
-    def verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        links = []
-        if len(left) and len(right):
-            centre = np.frombuffer(right["own"].iloc[0], np.uint64)
-            for member, content in zip(left["member"], left["content"]):
-                if similar(centre, np.frombuffer(content, np.uint64), percent):
-                    links.append((right["centre"].iloc[0], member))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    @F.pandas_udf("boolean")
+    def may_hold(own: pd.Series, its: pd.Series, low_n: pd.Series, member_n: pd.Series) -> pd.Series:
+        held = []
+        for a, b, n, m in zip(own, its, low_n, member_n):
+            (narrow, size), (wide, other) = sorted(((a, n), (b, m)), key=lambda x: len(x[0]))
+            x, y = np.frombuffer(narrow, np.uint8), np.frombuffer(wide, np.uint8)
+            held.append(bool(possible(x[None], np.array([size]), y, other, percent)[0]))
+        return pd.Series(held, dtype=bool)
 
-    return members.groupBy("low", "part").cogroup(centres.groupBy("centre", "nth")).applyInPandas(verify, "a long, b long")
+    @F.pandas_udf("boolean")
+    def is_link(own: pd.Series, its: pd.Series) -> pd.Series:
+        return pd.Series([similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(own, its)], dtype=bool)
 
+    names = ["low", "member", "low_n", "member_n"]
+    near = written(_with(pairs, sets, "sketch").filter(may_hold("own", "its", "low_n", "member_n")).select(*names), "near-pairs")
+    return written(_with(near, sets, "content").filter(is_link("own", "its")).select(*names), "links-found")
 
-def _verified_tiles(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of different components in the groups (code, member, root, blocks), tile by tile."""
+
+def _tile_pairs(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(low, member, low_n, member_n) of different components whose sketches allow a link, in the groups (code, member, n, root,
+    blocks), tile by tile; the tiles are dealt over ``tasks`` groups of rows."""
     block = F.pmod(F.xxhash64("member"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     tiles = groups.withColumn("block", block).withColumn("other", other).select(
-        "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "member", "root", "block")
-    rows = tiles.join(sets.select(F.col("doc").alias("member"), "content"), "member")
+        "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "member", "n", "root", "block")
+    rows = tiles.join(sets.select(F.col("doc").alias("member"), "sketch"), "member")
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member")
-        ids, root, side = (pdf[c].to_numpy() for c in ("member", "root", "block"))
-        content = [np.frombuffer(c, np.uint64) for c in pdf["content"]]
+    def compare(pdf: pd.DataFrame) -> list[tuple]:
+        ids, sizes, root, block = (pdf[c].to_numpy() for c in ("member", "n", "root", "block"))
         within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        join: dict[int, int] = {}
-
-        def top(x):
-            while x in join:
-                x = join[x]
-            return x
-
-        links = []
+        widths = pdf["sketch"].str.len().to_numpy()
+        bits = {w: np.stack([np.frombuffer(x, np.uint8) for x in pdf["sketch"][widths == w]]) for w in np.unique(widths)}
+        found = []
         for y in range(len(ids)):
-            for x in range(y):
-                if (within or side[x] != side[y]) and (p := top(root[x])) != (q := top(root[y])) and similar(content[x], content[y], percent):
-                    links.append((ids[x], ids[y]))
-                    join[max(p, q)] = min(p, q)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("code", "i", "j").applyInPandas(verify, "a long, b long")
+            own = np.frombuffer(pdf["sketch"].iloc[y], np.uint8)
+            for width in (widths[y], widths[y] // 2):
+                if width in bits:
+                    at = np.flatnonzero(widths == width)
+                    fits = possible(bits[width], sizes[at], own, sizes[y], percent) & (root[at] != root[y])
+                    if not within:
+                        fits &= block[at] != block[y]
+                    if width == widths[y]:
+                        fits &= ids[at] < ids[y]
+                    found += [sorted(((ids[x], sizes[x]), (ids[y], sizes[y]))) for x in at[fits]]
+        return [(a, b, n, m) for (a, n), (b, m) in found]
+
+    def compare_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [pair for _, tile in pdf.groupby(["code", "i", "j"], sort=False) for pair in compare(tile)]
+        return pd.DataFrame(found, columns=["low", "member", "low_n", "member_n"], dtype="int64")
+
+    dealt = rows.groupBy(F.pmod(F.xxhash64("code", "i", "j"), F.lit(tasks)))
+    return dealt.applyInPandas(compare_all, "low long, member long, low_n long, member_n long").distinct()
 
 
 def similar_components(
@@ -282,7 +334,7 @@ def similar_components(
     by links (Jaccard similarity of at least ``percent`` in a hundred)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
-    rows = _sets(texts, words, content=False).groupBy("doc").agg(F.min(F.struct("n", "digest")).alias("s"))
+    rows = _digests(texts, words).groupBy("doc").agg(F.min(F.struct("n", "digest")).alias("s"))
     sized = written(rows.select("doc", "s.n", "s.digest"), "set-digests")
     total = sized.agg(F.sum("n")).first()[0] or 0
     equal = written(sized.filter("n > 0").groupBy("digest").agg(F.min("doc").alias("rep")), "equal-sets")
@@ -291,29 +343,32 @@ def similar_components(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * SIGNATURES_PER_SHINGLE / BUCKET_SIGNATURES) + 1)
     met = written(_meetings(_packed_signatures(texts, words, percent, buckets)), "meetings")
     name = {c: named.select(F.col("doc").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n")) for c in ("member", "low")}
-    pairs = met.select("low", "member").filter("low != member").distinct().join(name["member"], "member").join(name["low"], "low")
-    pairs = pairs.select(F.least("low_rep", "member_rep").alias("low"), F.greatest("low_rep", "member_rep").alias("member"),
-                         F.least("low_n", "member_n").alias("least"), F.greatest("low_n", "member_n").alias("most"))
-    pairs = pairs.filter(f"low != member and 100 * least >= {percent} * most").select("low", "member").distinct()
-    pairs = written(pairs, "stars")
-
-    shared = written(met.join(name["member"], "member").select("code", F.col("member_rep").alias("member")).distinct(), "sharers")
-    wanted = shared.select(F.col("member").alias("doc")).distinct()
-    sets = written(_sets(texts.join(wanted, "doc", "left_semi"), words, content=True).select("doc", "content"), "shared-sets")
-    links = written(_verified_stars(pairs, sets, percent), "star-links")
-    roots = components(links)
-
-    rooted = shared.join(roots.withColumnRenamed("node", "member"), "member", "left").select(
-        "code", "member", F.coalesce("root", "member").alias("root"))
-    rooted = written(rooted, "rooted")
+    pairs = met.filter("low is not null").select("low", "member").distinct().join(name["member"], "member").join(name["low"], "low")
+    swap = F.col("low_rep") > F.col("member_rep")
+    pairs = pairs.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (
+        ("low_rep", "member_rep", "low"), ("member_rep", "low_rep", "member"), ("low_n", "member_n", "low_n"), ("member_n", "low_n", "member_n"))])
+    pairs = written(pairs.filter(f"low != member and 100 * least(low_n, member_n) >= {percent} * greatest(low_n, member_n)").distinct(), "stars")
+    # Groups of the same members are one group, named by them.
+    groups = met.filter("code is not null").join(name["member"], "member").select(
+        "code", F.col("member_rep").alias("member"), F.col("member_n").alias("n")).distinct()
+    groups = written(groups, "groups")
+
+    wanted = pairs.select(F.explode(F.array("low", "member")).alias("doc")).union(groups.select("member")).distinct()
+    sets = written(_sets(texts.join(wanted, "doc", "left_semi"), words), "shared-sets")
+    links = _links(pairs, sets, percent)
+    roots = components(links.select(F.col("low").alias("a"), F.col("member").alias("b")))
+
+    rooted = written(groups.join(roots.withColumnRenamed("node", "member"), "member", "left").select(
+        "code", "member", "n", F.coalesce("root", "member").alias("root")), "rooted")
     open_groups = rooted.groupBy("code").agg(
-        F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count(F.lit(1)).alias("n"),
+        F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count(F.lit(1)).alias("members"),
         F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("same"))
-    # A group of two is a star and was verified as one; groups of the same members are looked at once.
-    open_groups = open_groups.filter("n > 2 and lowest != highest").dropDuplicates(["n", "same"])
-    open_groups = written(open_groups.select("code", F.ceil(F.col("n") / TILE).alias("blocks")), "open-groups")
-    more = written(_verified_tiles(rooted.join(open_groups, "code"), sets, percent), "tile-links")
-    roots = components(links.union(more))
+    open_groups = open_groups.filter("lowest != highest").dropDuplicates(["members", "same"])
+    open_groups = written(open_groups.select("code", F.ceil(F.col("members") / TILE).alias("blocks")), "open-groups")
+    tiles = open_groups.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tiles / TASK_TILES))
+    more = _links(written(_tile_pairs(rooted.join(open_groups, "code"), sets, percent, tasks), "tile-pairs"), sets, percent)
+    roots = components(links.union(more).select(F.col("low").alias("a"), F.col("member").alias("b")))
 
     return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc", "n", "rep", F.coalesce("root", "rep").alias("root"))
