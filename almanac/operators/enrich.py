@@ -12,10 +12,12 @@ from almanac.storage import written
 
 def with_true_names(
     records: DataFrame, cities: DataFrame, identifier: str = "Identifier", true_name: str = "True Name",
-    on_missing: str = "error",
+    on_missing: str = "error", order: str | None = None,
 ) -> DataFrame:
-    """Replace the city by the stripped true name of its identifier (the part after the last dash)."""
-    names = cities.select(F.col(identifier).alias("_id"), text.strip(F.col(f"`{true_name}`")).alias("_true"))
+    """Replace the city by the stripped true name of its identifier (the part after the last dash). Of a repeated identifier the
+    row that is last by ``order`` counts, or without an order the one whose name is last."""
+    last = F.col(f"`{order or true_name}`")
+    names = cities.groupBy(F.col(identifier).alias("_id")).agg(F.max_by(text.strip(F.col(f"`{true_name}`")), last).alias("_true"))
     joined = lookup_join(records.withColumn("_id", F.substring_index("city", "-", -1)), names, "_id")
     if on_missing == "error":
         missing = F.raise_error(F.concat(F.lit("no city with identifier "), F.col("_id"))).cast("string")
@@ -36,11 +38,12 @@ def without(df: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def removal_counts(df: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:
     flags = listed.select(*on).distinct().withColumn("_listed", F.lit(True))
-    joined = df.join(flags, list(on), "left")
+    # Counted per key before the join, so a key with a large share of the rows is one row.
+    joined = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(flags, list(on), "left")
     return joined.agg(
-        F.count(F.lit(1)).alias("n_before"),
-        F.count_if(F.col("_listed").isNull()).alias("n_after"),
-        F.count_if(F.col("_listed")).alias("n_removed"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_before"),
+        F.coalesce(F.sum(F.when(F.col("_listed").isNull(), F.col("_n"))), F.lit(0)).alias("n_after"),
+        F.coalesce(F.sum(F.when(F.col("_listed"), F.col("_n"))), F.lit(0)).alias("n_removed"),
     )
 
 
@@ -98,7 +101,7 @@ def enrich_distinct(df: DataFrame, key: str, function: Callable[[Column], Column
     """
     unique = df.select(key).filter(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
     done = unique.select(key, F.coalesce(function(F.col(key)), F.col(key)).alias(name))
-    return lookup_join(df, done, key).withColumn(name, F.coalesce(name, key))
+    return lookup_join(df, written(done, "distinct"), key).withColumn(name, F.coalesce(name, key))
 
 
 def union_splits(*splits: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import series, text
-from almanac.operators.index import hash_key, lookup_join
+from almanac.operators.index import hash_index, lookup_join
 
 TOKEN = "(" + "|".join(text.PROTECTED_TAGS) + r"|[\p{L}\p{N}_]+|[^\p{L}\p{N}_])"
+WORD = r"^[\p{L}\p{N}_]"
 MIN_FREE_CHARS = 20
 
 
@@ -18,18 +19,20 @@ def _tokens(c: str | Column) -> Column:
 def _matches(df: DataFrame, key: str, text_col: str, gazetteer: DataFrame) -> DataFrame:
     """(key, matches): leftmost-longest, non-overlapping gazetteer spans as structs (start, len, name)."""
     names = gazetteer.select("name").filter("name <> ''").distinct()
-    # Only lengths that occur among the names are tried: a handful of small numbers.
-    sizes = sorted(r["n"] for r in names.select(F.size(_tokens("name")).alias("n")).distinct().collect())
+    # Only lengths that occur among the names are tried, and only signs with which a name begins: two small arrays in the plan.
+    sizes = names.agg(F.sort_array(F.collect_set(F.size(_tokens("name")))).alias("v")).scalar()
+    signs = names.select(F.get(_tokens("name"), F.lit(0)).alias("t")).filter(~F.col("t").rlike(WORD) & ~F.col("t").isin(text.PROTECTED_TAGS))
+    signs = signs.agg(F.sort_array(F.collect_set("t")).alias("v")).scalar()
 
     def spans(tokens: Column) -> Column:
-        lengths = F.array(*[F.lit(n) for n in sizes or [1]])
-        at = F.transform(series.positions(F.size(tokens)), lambda i: F.transform(
+        lengths = F.col("_sizes")
+        begins = F.filter(series.positions(F.size(tokens)), lambda i: F.get(tokens, i).rlike(WORD) | F.array_contains(F.col("_signs"), F.get(tokens, i)))
+        at = F.transform(begins, lambda i: F.transform(
             lengths, lambda n: F.struct(i.alias("start"), n.alias("len"), F.array_join(F.slice(tokens, i + 1, n), "").alias("name"))))
-        words_only = F.filter(at, lambda options: options[0]["name"].rlike(r"^[\p{L}\p{N}_]"))
-        return F.filter(F.flatten(words_only), lambda s: s["start"] + s["len"] <= F.size(tokens))
+        return F.filter(F.flatten(at), lambda s: s["start"] + s["len"] <= F.size(tokens))
 
     tokens = _tokens(text_col)
-    candidates = df.select(key, tokens.alias("_tokens")).select(key, F.inline(spans(F.col("_tokens"))))
+    candidates = df.select(key, tokens.alias("_tokens"), sizes.alias("_sizes"), signs.alias("_signs")).select(key, F.inline(spans(F.col("_tokens"))))
     found = lookup_join(candidates, names, "name", "inner")
     # Only real matches of one text are gathered, so a group is bounded by the length of that text.
     per_text = found.groupBy(key).agg(
@@ -78,6 +81,6 @@ def entity_counts(
     """(name, n) over all texts, or over a seeded sample of ``sample`` texts."""
     texts = df.filter(F.col(text_col).isNotNull())
     if sample is not None:
-        texts = texts.orderBy(hash_key(seed, key), F.col(key)).limit(sample)
+        texts = texts.join(hash_index(texts.select(key), [key], seed).filter(F.col("idx") < sample).select(key), key, "left_semi")
     found = _matches(texts, key, text_col, gazetteer)
     return found.select(F.explode("matches.name").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import series
@@ -12,7 +12,6 @@ from almanac.operators.records import fix_wind
 from almanac.schema import NAN
 from almanac.storage import written
 
-MAX_DIRECTIONS = 4096
 # Number columns of each profile, in feature order.
 NUMBERS = {
     "standard": ["temp", "risk", "rain", "speed", "pressure", "humidity", "cloud"],
@@ -25,13 +24,10 @@ SLOT_COLUMNS = {
 }
 
 
-def wind_vocabulary(df: DataFrame, limit: int = MAX_DIRECTIONS) -> list[str]:
-    """Sorted distinct wind directions. They become feature columns, so their number must stay below ``limit``."""
-    found = df.select(F.explode("windrichtung").alias("d")).filter(F.col("d") != NAN).distinct().limit(limit + 1)
-    names = sorted(r["d"] for r in found.collect())
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} wind directions; clean them first")
-    return names
+def wind_vocabulary(df: DataFrame) -> Column:
+    """Sorted distinct wind directions as one array inside the plan; each becomes a feature of every slot."""
+    found = df.select(F.explode("windrichtung").alias("d")).filter(F.col("d") != NAN).distinct()
+    return found.agg(F.sort_array(F.collect_list("d")).alias("v")).scalar()
 
 
 def feature_rows(df: DataFrame, profile: str, key: str, directions: Sequence[str] | None = None) -> DataFrame:
@@ -44,27 +40,24 @@ def feature_rows(df: DataFrame, profile: str, key: str, directions: Sequence[str
     if profile not in NUMBERS:
         raise ValueError(f"unknown profile {profile!r}")
     df = fix_wind(df)
-    names = wind_vocabulary(df) if directions is None else list(directions)
+    vocabulary = wind_vocabulary(df) if directions is None else F.array(*[F.lit(d) for d in directions]).cast("array<string>")
+    df = df.withColumn("_vocabulary", vocabulary)
     arrays = [F.col(c).alias(short) for c, short in SLOT_COLUMNS.items()]
     rain = series.forward_fill("niederschlagsmenge_in_l_per_sqm").alias("rain")
     zipped = F.slice(F.arrays_zip(*arrays, rain), 1, F.size("temperatur_in_deg_C"))
     # Clocks and the flag are parsed once per record, before the explode.
     slots = df.select(
-        key, series.clock_hours("sunrise").alias("rise"), series.clock_hours("sundown").alias("down"),
+        key, "_vocabulary", series.clock_hours("sunrise").alias("rise"), series.clock_hours("sundown").alias("down"),
         series.hardly_any_sun("sunhours").alias("dim"), F.posexplode(zipped).alias("pos", "s"))
     slots = slots.select(
-        key, "pos", "rise", "down", "dim", "s.rain", "s.wind",
+        key, "_vocabulary", "pos", "rise", "down", "dim", "s.rain", "s.wind",
         *[series.number(F.col(f"s.{c}")).alias(c) for c in ("temp", "risk", "speed", "pressure", "humidity")],
         series.cloud_fraction(F.col("s.cloud")).alias("cloud"), series.slot_start(F.col("s.slot")).alias("now"),
         series.slot_hour(F.col("s.slot")).alias("hour"))
     head = [F.col(n).cast("double") for n in NUMBERS[profile]]
     sun = series.sun_features(F.col("rise"), F.col("down"), F.col("now"))
     tail = [*series.cyclic(F.col("hour")), *sun, F.col("dim")]
-    if len(names) <= 64:
-        features = F.array(*head, *[F.when(F.col("wind") == d, 1.0).otherwise(0.0) for d in names], *tail)
-    else:
-        vocabulary = F.array(*[F.lit(d) for d in names])
-        features = F.concat(F.array(*head), series.one_hot(F.coalesce("wind", F.lit(NAN)), vocabulary), F.array(*tail))
+    features = F.concat(F.array(*head), series.one_hot(F.coalesce("wind", F.lit(NAN)), F.col("_vocabulary")), F.array(*tail))
     return slots.select(key, "pos", features.alias("features"))
 
 

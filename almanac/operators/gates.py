@@ -15,10 +15,11 @@ REQUIRED = ["city", "created_day", "times", "report_short_wout_boeen"]
 # Keys and texts by profile.
 PROFILE_BASE = ["city", "times", "temperatur_in_deg_C", "relative_feuchte_in_perc", "bewölkungsgrad", "windrichtung"]
 PROFILE_KEYS = {
-    "standard": PROFILE_BASE + ["niederschlagsrisiko_in_perc", "niederschlagsmenge_in_l_per_sqm",
-                                "windgeschwindigkeit_in_km_per_h", "luftdruck_in_hpa", "report_long"],
+    "standard": PROFILE_BASE + ["niederschlagsrisiko_in_perc", "niederschlagsmenge_in_l_per_sqm", "luftdruck_in_hpa", "report_long"],
     "simple": PROFILE_BASE,
 }
+# The wind speed's key now and in older records; the standard profile needs either.
+SPEED_KEYS = ["windgeschwindigkeit_in_km_per_h", "windgeschwindigkeit_in_km_per_s"]
 PROFILE_TEXTS = {
     "standard": ["report_long", "gpt_rewritten_v2", "gpt_rewritten_apokalyptisch_v2"],
     "simple": ["gpt_rewritten_apokalyptisch_v2", "gpt_rewritten_v2", "report_long"],
@@ -34,6 +35,13 @@ def _all(conditions: Sequence[Column]) -> Column:
     return out
 
 
+def _any(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def _have(df: DataFrame, names: Sequence[str]) -> list[Column]:
     """Non-null test per name; a column the frame lacks counts as absent."""
     return [F.col(n).isNotNull() if n in df.columns else F.lit(False) for n in names]
@@ -58,10 +66,9 @@ def loadable(df: DataFrame, profile: str) -> Column:
     """Required keys of the profile, one text at least, and a city that is not blank."""
     if profile not in PROFILE_KEYS:
         raise ValueError(f"unknown profile {profile!r}")
-    any_text = F.lit(False)
-    for c in _have(df, PROFILE_TEXTS[profile]):
-        any_text = any_text | c
-    return _all(_have(df, PROFILE_KEYS[profile])) & any_text & (text.strip("city") != "")
+    any_text = _any(_have(df, PROFILE_TEXTS[profile]))
+    speed = _any(_have(df, SPEED_KEYS)) if profile == "standard" else F.lit(True)
+    return _all(_have(df, PROFILE_KEYS[profile])) & speed & any_text & (text.strip("city") != "")
 
 
 def is_readable(df: DataFrame) -> Column:
@@ -93,11 +100,11 @@ def drop_undescribed(raw: DataFrame, standard: DataFrame, base: str, description
     return raw.filter(description.isNotNull()), standard.join(gone, base, "left_anti")
 
 
-def due_cities(cities: DataFrame, hour: int, difference: str, key: str, cap: int = 5000, seed: int = 42) -> DataFrame:
-    """Cities whose local midnight is now; a seeded random ``cap`` of them when there are more."""
+def due_cities(cities: DataFrame, hour: int, difference: str, key: str, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """Cities whose local midnight is now; on request a seeded random ``cap`` of them when there are more."""
     to_midnight = 24 - hour if hour else 0
     due = cities.filter(F.col(difference) == to_midnight)
-    return due.orderBy(hash_key(seed, key), F.col(key)).limit(cap)
+    return due if cap is None else due.orderBy(hash_key(seed, key), F.col(key)).limit(cap)
 
 
 def active_flag(cities: DataFrame, files: DataFrame, identifier: str, name: str, description: str) -> DataFrame:

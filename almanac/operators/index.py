@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 HEX_DIGITS = 3
 RANGE_SAMPLE = 4096
-RANGES = 64
+LEAST_RANGES = 64
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
@@ -50,12 +50,14 @@ def hash_index(
     return _with_offsets(bucketed, "_bucket", order, name, total).drop("_hash")
 
 
-def sorted_index(df: DataFrame, col: str, name: str = "id", ranges: int = RANGES) -> DataFrame:
+def sorted_index(df: DataFrame, col: str, name: str = "id", ranges: int | None = None) -> DataFrame:
     """0-based position of every row in the natural order of ``col``; values must be distinct.
 
     Range bounds come from the 4096 values with the lowest md5, a sample that is the same on every evaluation; the
-    bounds reach the tasks as one scalar subquery of ``ranges - 1`` values. Each range is ranked on its own.
+    bounds reach the tasks as one scalar subquery of ``ranges - 1`` values, as many as there are shuffle partitions and 64 at least.
+    Each range is ranked on its own.
     """
+    ranges = ranges or max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     as_text = F.md5(F.col(col).cast("string"))
     sample = df.select(col).orderBy(as_text, F.col(col)).limit(RANGE_SAMPLE)
     ordered = sample.agg(F.sort_array(F.collect_list(col)).alias("v"))

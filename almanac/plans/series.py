@@ -111,9 +111,8 @@ SELECT path, i - 1 AS pos, array_to_string(list_transform(vs, lambda v: CASE WHE
 FROM (SELECT path, richtung, unnest(range(1, len(richtung) + 1)) AS i FROM w), vocab""")
 def f13(spark, sf):
     df = R.fix_wind(records(spark, sf))
-    vocabulary = F.array(*[F.lit(d) for d in X.wind_vocabulary(df)])
-    slots = df.select("path", F.posexplode("windrichtung").alias("pos", "direction"))
-    return slots.select("path", F.col("pos").cast("bigint").alias("pos"), F.array_join(S.one_hot(F.col("direction"), vocabulary).cast("array<string>"), ",").alias("one_hot"))
+    slots = df.withColumn("vocabulary", X.wind_vocabulary(df)).select("path", "vocabulary", F.posexplode("windrichtung").alias("pos", "direction"))
+    return slots.select("path", F.col("pos").cast("bigint").alias("pos"), F.array_join(S.one_hot(F.col("direction"), F.col("vocabulary")).cast("array<string>"), ",").alias("one_hot"))
 
 
 @BOOK.add("F14_hardly_any_sun", SQL_RECORDS + "SELECT path, CASE WHEN contains(sunhours, 'fast nicht zu sehen') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flag FROM rec")
@@ -197,8 +196,10 @@ def f17(spark, sf):
                        (F.round("value", 4) + 0.0).alias("value"))
 
 
-@BOOK.add("F18_standardize_globally", SQL_RECORDS + SIMPLE_SQL + """
-SELECT path, pos, feature, round((value - (SELECT avg(value) FROM long)) / ((SELECT stddev_samp(value) FROM long) + 1e-8), 6) + 0.0 AS value FROM long""")
+@BOOK.add("F18_standardize_globally", SQL_RECORDS + SIMPLE_SQL + """,
+held AS MATERIALIZED (SELECT path, pos, feature, value FROM long),
+m AS (SELECT avg(value) AS mean, stddev_samp(value) AS deviation FROM held)
+SELECT path, pos, feature, round((value - mean) / (deviation + 1e-8), 6) + 0.0 AS value FROM held, m""")
 def f18(spark, sf):
     rows = X.feature_rows(records(spark, sf), "simple", "path")
     return _rounded(X.long_features(X.standardize_globally(rows), "path"), "path", digits=6)

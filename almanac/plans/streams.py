@@ -13,7 +13,7 @@ BOOK = Book()
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
     # Event times become instants: watermarks need a timestamp with zone.
-    return S.read_stream(spark, sf, "events.parquet", schema).withColumn("ts", utc_instant("ts"))
+    return S.read_stream(spark, f"{sf}/events.parquet", schema).withColumn("ts", utc_instant("ts"))
 
 
 @BOOK.add("L1_incremental_ingest", "SELECT event_id, user_id, event_type FROM events")
@@ -37,17 +37,20 @@ def l2(spark, sf):
     docs.select("doc_id", F.when(~labelled, F.col("lang")).alias("report"),
                 F.when(~labelled | (F.col("quality") == 0), F.col("source")).alias("details")).write.parquet(f"{base}/version=0")
     schema = table(spark, sf, "documents").schema
-    late = S.read_stream(spark, sf, "documents.parquet", schema).select(
+    late = S.read_stream(spark, f"{sf}/documents.parquet", schema).select(
         "doc_id", F.concat(F.lit("neu "), "source").alias("report"), F.lit(None).cast("string").alias("details"), F.col("n_chars").alias("order"))
 
+    last = [0]
+
     def stored(batch_id):
         return spark.read.parquet(f"{base}/version={batch_id}")
 
     def save(rows, batch_id):
         rows.write.mode("overwrite").parquet(f"{base}/version={batch_id + 1}")
+        last[0] = batch_id + 1
 
     S.merge_late_texts(late, stored, save, "doc_id", "order", ["report", "details"], f"{base}/checkpoint")
-    return spark.read.schema("doc_id bigint, report string, details string").parquet(f"{base}/version=1")
+    return spark.read.schema("doc_id bigint, report string, details string").parquet(f"{base}/version={last[0]}")
 
 
 @BOOK.add("L3_complete_days", """

@@ -162,12 +162,11 @@ def e10(spark, sf):
     return entities.mask_entities(docs, "doc_id", "text", _gazetteer(spark, sf))
 
 
-@BOOK.add("E11_entity_counts", _GAZETTEER + """,
-sample AS (SELECT doc_id FROM documents ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 500)
-SELECT name, count(*) AS n FROM hit JOIN sample USING (doc_id) WHERE name IS NOT NULL GROUP BY name""")
+@BOOK.add("E11_entity_counts", _GAZETTEER + """
+SELECT name, count(*) AS n FROM hit WHERE name IS NOT NULL GROUP BY name""")
 def e11(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return entities.entity_counts(docs, "doc_id", "text", _gazetteer(spark, sf), sample=500)
+    return entities.entity_counts(docs, "doc_id", "text", _gazetteer(spark, sf))
 
 
 @BOOK.add("E12_unmask_city", SQL_REPORTS + f"SELECT path, replace({_MASKED}, '<city>', created_day) AS text FROM rep")

@@ -10,12 +10,13 @@ from almanac.operators.enrich import backfill, latest_per_key
 HOURS = 24
 
 
-def read_stream(spark: SparkSession, folder: str, files: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Files of a folder as a stream; the checkpoint of the query remembers which were read."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+def read_stream(spark: SparkSession, table: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """The files of a table, a folder or a single file, as a stream; the checkpoint of the query remembers which were read."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # A path that is a pattern (here one that matches itself only) may be a single file as well as a folder.
+    return reader.parquet(f"{table[:-1]}[{table[-1]}]")
 
 
 def unseen(stream: DataFrame, key: list[str], stamp: str, delay: str) -> DataFrame:

@@ -189,3 +189,14 @@ def test_late_text_merge(spark, tmp_path):
         "k", "o", ["s", "l"], str(base / "checkpoint"))
     got = {r["k"]: (r["s"], r["l"]) for r in spark.read.parquet(str(base / "v1")).collect()}
     assert got == {1: ("newer", "l"), 2: ("s", "L"), 3: ("s", "l")}
+
+
+def test_streams_read_folders_of_several_files_as_they_read_one_file(spark, tmp_path):
+    """Also when the late texts come in several batches: the last version is the one read."""
+    from almanac.plans import streams
+
+    for name in ("events", "documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in ("L1_incremental_ingest", "L2_late_texts", "L3_complete_days"):
+        one, many = (sorted(map(str, streams.BOOK.queries[query](spark, sf).collect())) for sf in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert one == many and one

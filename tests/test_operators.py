@@ -190,3 +190,58 @@ def test_histogram_edges(spark):
 def test_offset_names(spark):
     df = spark.createDataFrame([(5.5,), (-3.0,), (0.0,)], "o double")
     assert [r[0] for r in df.select(P.offset_bucket(F.col("o"))).collect()] == ["UTC_plus_5_5", "UTC_minus_3_0", "UTC_plus_0_0"]
+
+
+def test_due_cities_without_cap_are_all(spark):
+    cities = spark.range(12_000).selectExpr("id AS k", "1 AS d")
+    assert G.due_cities(cities, 23, "d", "k").count() == 12_000
+
+
+def test_older_speed_key_is_loadable(spark):
+    rows = spark.createDataFrame([("Ulm",)], "city string")
+    for name in G.PROFILE_KEYS["standard"]:
+        if name != "city":
+            rows = rows.withColumn(name, F.lit("x"))
+    assert not rows.select(G.loadable(rows, "standard")).first()[0]
+    for speed in G.SPEED_KEYS:
+        with_speed = rows.withColumn(speed, F.lit("x"))
+        assert with_speed.select(G.loadable(with_speed, "standard")).first()[0]
+
+
+def test_last_true_name_wins(spark):
+    from almanac.operators import enrich
+
+    records = spark.createDataFrame([("x-7",)], "city string")
+    cities = spark.createDataFrame([("7", " Ulm ", 2), ("7", "Aalen", 1)], "Identifier string, `True Name` string, line int")
+    assert [r["city"] for r in enrich.with_true_names(records, cities, order="line").collect()] == ["Ulm"]
+
+
+def test_costly_function_runs_once_per_text(spark):
+    from almanac.operators import enrich
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(t):
+        calls.add(1)
+        return t.upper()
+
+    rows = spark.createDataFrame([(i, f"text {i % 10}") for i in range(40)], "k int, t string")
+    assert enrich.enrich_distinct(rows, "t", costly, "up").filter("up = upper(t)").count() == 40
+    assert calls.value == 10
+
+
+def test_many_wind_directions_become_features(spark):
+    from almanac.operators import features
+
+    names = [f"W{i:05}" for i in range(5000)]
+    vocabulary = spark.createDataFrame([(names,)], "windrichtung array<string>")
+    assert vocabulary.select(F.size(features.wind_vocabulary(vocabulary))).first()[0] == 5000
+
+
+def test_names_that_begin_with_a_sign_are_masked(spark):
+    from almanac.operators import entities
+
+    rows = spark.createDataFrame([(1, "Regen in 's-Hertogenbosch und in Ulm am <city> heute")], "k int, t string")
+    places = spark.createDataFrame([("'s-Hertogenbosch",), ("Ulm",)], "name string")
+    assert entities.mask_entities(rows, "k", "t", places).first()["t"] == "Regen in <ne> und in <ne> am <city> heute"
