@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from almanac.functions import text
 from almanac.functions.text import SPACE, col
-from almanac.schema import FIRST_SLOT
+from almanac.schema import FIRST_SLOT, NAN
 
 # Patterns of an hourly overview row, and how many characters are cut at the start and end of a match.
 HOUR_PATTERNS = {
@@ -59,6 +59,7 @@ CITY_PAGE = {
     "sundown": Field("span", "tail", "title", "Sonnenuntergang"),
     "sunhours": Field("span", "next", "class", "icon-sun_hours", contains=True),
 }
+OVERVIEW = ("id", "uebersicht")
 OVERVIEW_ROW = ("class", "swg-row-wrapper border--grey-next")
 DIAGRAM = ("id", "vhs-detail-diagram")
 
@@ -226,26 +227,67 @@ def with_fields(df, html: str, fields: dict[str, Field]):
     return read.withColumns({n: tidied(F.col(f"_fields.{n}"), f.take) for n, f in fields.items()}).drop("_fields")
 
 
-def element_texts(html: str | Column, attribute: str, part: str) -> Column:
-    """Text of every element whose attribute contains ``part``, in document order."""
+def element_texts(html: str | Column, attribute: str, part: str, within: tuple[str, str] | None = None) -> Column:
+    """Text of every element whose attribute contains ``part``, in document order; with ``within`` (attribute, value) only of those
+    below the first element that has it."""
     make = _reader
 
     def batch(pages: pd.Series) -> pd.Series:
         read, walk, texts = make()
-        return pages.map(lambda p: None if p is None else [
-            "".join(texts(n)) for n, _, _ in walk(read(p)) if part in n[1].get(attribute, "")])
+
+        def found(page):
+            if page is None:
+                return None
+            top = read(page)
+            if within is not None:
+                top = next((n for n, _, _ in walk(top) if n[1].get(within[0]) == within[1]), ("", {}, []))
+            return ["".join(texts(n)) for n, _, _ in walk(top) if part in (n[1].get(attribute) or "")]
+
+        return pages.map(found)
 
     return F.pandas_udf(batch, T.ArrayType(T.StringType()))(col(html))
 
 
 def first_table(html: str | Column, attribute: str | None = None, value: str | None = None) -> Column:
     """Cells of the first table as rows of texts, white space collapsed; with an attribute, the first table that is or
-    lies in an element with that value."""
+    lies in an element with that value. Rows of the head (in ``thead``, or without one the leading rows of heading cells only) are no data, an
+    empty cell is the missing marker, and a cell that spans rows or columns is repeated in each of them."""
     make = _reader
 
     def batch(pages: pd.Series) -> pd.Series:
         read, walk, texts = make()
 
+        def span(cell, name):
+            given = cell[1].get(name) or ""
+            return max(1, int(given)) if given.isdigit() else 1
+
+        def data(table):
+            out, below, head = [], {}, True
+            for row, parent, _ in walk(table):
+                if row[0] != "tr":
+                    continue
+                cells = [c for c, up, _ in walk(row) if up is row and c[0] in ("td", "th")]
+                head = head and parent[0] != "thead" and all(c[0] == "th" for c in cells)
+                if parent[0] == "thead" or (head and cells):
+                    continue
+                line = []
+
+                def from_above():
+                    while below.get(len(line), (0,))[0]:
+                        n, shown = below[len(line)]
+                        below[len(line)] = (n - 1, shown)
+                        line.append(shown)
+
+                for cell in cells:
+                    from_above()
+                    shown = " ".join("".join(texts(cell)).split()) or NAN
+                    for _ in range(span(cell, "colspan")):
+                        below[len(line)] = (span(cell, "rowspan") - 1, shown)
+                        line.append(shown)
+                from_above()
+                out.append(line)
+            return out
+
         def rows(page):
             if page is None:
                 return None
@@ -257,8 +299,7 @@ def first_table(html: str | Column, attribute: str | None = None, value: str | N
                 tree = ("", {}, [inside])
             for node, _, _ in walk(tree):
                 if node[0] == "table":
-                    return [[" ".join("".join(texts(c)).split()) for c, up, _ in walk(r) if up is r and c[0] in ("td", "th")]
-                            for r, _, _ in walk(node) if r[0] == "tr"]
+                    return data(node)
             return None
 
         return pages.map(rows)

@@ -13,7 +13,7 @@ def standardise_pages(df: DataFrame, html: str, timezone: bool = True) -> DataFr
     Texts and hourly rows are read first. Pages that do not start with the first hour are dropped before the diagram
     table is parsed: Spark does not move a filter below a Python function, so the gate stands between the two.
     """
-    read = df.withColumn("_rows", P.element_texts(html, *P.OVERVIEW_ROW))
+    read = df.withColumn("_rows", P.element_texts(html, *P.OVERVIEW_ROW, within=P.OVERVIEW))
     read = P.with_fields(read, html, P.CITY_PAGE)
     hours = read.withColumn("_hours", F.transform("_rows", P.hour_columns))
     columns = {name: F.col(f"_hours.{name}") for name in P.HOUR_COLUMNS}

@@ -200,3 +200,17 @@ def test_streams_read_folders_of_several_files_as_they_read_one_file(spark, tmp_
     for query in ("L1_incremental_ingest", "L2_late_texts", "L3_complete_days"):
         one, many = (sorted(map(str, streams.BOOK.queries[query](spark, sf).collect())) for sf in ("/root/testdata/sf0.001", str(tmp_path)))
         assert one == many and one
+
+
+def test_table_cells_as_a_reader_of_tables_gives_them(one):
+    rows = '<tr><th>a</th><th>b</th></tr><tr><td rowspan=2>x</td><td></td></tr><tr><td>y</td></tr><tr><td colspan="2"> z  w </td></tr></table>'
+    body = [["x", "NaN"], ["x", "y"], ["z w", "z w"]]
+    assert one(P.first_table("h"), "h string", ("<table>" + rows,)) == body
+    assert one(P.first_table("h"), "h string", ("<table><thead><tr><th>top</th></tr></thead>" + rows,)) == [["a", "b"], *body]
+
+
+def test_hours_are_read_below_the_overview_only(one):
+    page = '<p class="k">out</p><div id="uebersicht"><p class="k j">in</p></div><p class="k">after</p>'
+    assert one(P.element_texts("h", "class", "k", within=("id", "uebersicht")), "h string", (page,)) == ["in"]
+    assert one(P.element_texts("h", "class", "k", within=("id", "none")), "h string", (page,)) == []
+    assert one(P.element_texts("h", "class", "k"), "h string", (page,)) == ["out", "in", "after"]
