@@ -170,6 +170,11 @@ def window_score(df: DataFrame, run: str, key: str, ids: str, scorer: Callable[[
     return per_record.groupBy(run).agg(F.avg("_s").alias("mean_score"))
 
 
+def per_run(scores: DataFrame, run: str, *names: str) -> DataFrame:
+    """Means of the named figures over the pairs of every run."""
+    return scores.groupBy(run).agg(*[F.avg(n).alias(n) for n in names])
+
+
 def metric_rows(metrics: dict[str, DataFrame], run: str) -> DataFrame:
     """(run, metric, name, value): one row per figure of the chosen metrics, each a frame with one row per run."""
     out = None

@@ -153,6 +153,48 @@ UNION ALL SELECT run, 'TemperatureCorrectness', 'accuracy', accuracy FROM ({_TEM
 UNION ALL SELECT run, 'TemperatureRange', 'mean_score', mean_score FROM ({_RANGE_SQL})"""
 
 
+# The pairs of conversations fall into runs by their number.
+_RUN_SQL = "CAST(CAST(split_part(key, '-', 1) AS BIGINT) % 3 AS VARCHAR)"
+
+
+def _per_run(scores, *names):
+    number = F.substring_index("key", "-", 1).cast("bigint")
+    return M.per_run(scores.withColumn("run", (number % 3).cast("string")), "run", *names)
+
+
+def _mean_sql(query: str, *names: str) -> str:
+    means = ", ".join(f"round(avg({n}), 5) AS {n}" for n in names)
+    return f"SELECT {_RUN_SQL} AS run, {means} FROM ({BOOK.oracles[query]}) GROUP BY 1"
+
+
+@BOOK.add("J4_rouge_per_run", _mean_sql("J4_rouge_ngrams", "rouge_1", "rouge_2"))
+def j4_run(spark, sf):
+    means = _per_run(j4(spark, sf), "rouge_1", "rouge_2")
+    return means.select("run", *[F.round(n, 5).alias(n) for n in ("rouge_1", "rouge_2")])
+
+
+@BOOK.add("J5_bleu_per_run", _mean_sql("J5_bleu", "bleu"))
+def j5_run(spark, sf):
+    return _per_run(j5(spark, sf), "bleu").withColumn("bleu", F.round("bleu", 5))
+
+
+@BOOK.add("J6_match_per_run", "SELECT CAST(pair % 2 AS VARCHAR) AS run, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, "
+          f"round(avg(f1), 5) AS f1 FROM ({BOOK.oracles['J6_greedy_match']}) GROUP BY 1")
+def j6_run(spark, sf):
+    names = ("precision", "recall", "f1")
+    means = M.per_run(j6(spark, sf).withColumn("run", (F.col("pair") % 2).cast("string")), "run", *names)
+    return means.select("run", *[F.round(n, 5).alias(n) for n in names])
+
+
+@BOOK.add("J11_pair_metric_rows", f"""
+SELECT run, 'ROUGE' AS metric, 'rouge_1' AS name, rouge_1 AS value FROM ({BOOK.oracles['J4_rouge_per_run']})
+UNION ALL SELECT run, 'ROUGE', 'rouge_2', rouge_2 FROM ({BOOK.oracles['J4_rouge_per_run']})
+UNION ALL SELECT run, 'BLEU', 'bleu', bleu FROM ({BOOK.oracles['J5_bleu_per_run']})
+UNION ALL SELECT run, 'GreedyMatch', unnest(['precision', 'recall', 'f1']), unnest([precision, recall, f1]) FROM ({BOOK.oracles['J6_match_per_run']})""")
+def j11_pairs(spark, sf):
+    return M.metric_rows({"ROUGE": j4_run(spark, sf), "BLEU": j5_run(spark, sf), "GreedyMatch": j6_run(spark, sf)}, "run")
+
+
 @BOOK.add("J11_metric_rows", PREDICTIONS + _ROWS)
 def j11(spark, sf):
     return _chosen(spark, sf)
