@@ -1,5 +1,9 @@
 import os
 import sys
+import tempfile
+
+# One thread per numpy call: the tasks of a test session already use all cores. Workers inherit it.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 import pytest
 from pyspark.sql import SparkSession
@@ -13,7 +17,8 @@ def spark():
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="almanac-tests-")).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
