@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import BOOK, read
@@ -36,7 +36,7 @@ from almanac.storage import written
 
 WORDS = 4
 PERCENT = 85
-TILE = 128
+TILE = 512
 TASK_TILES = 64
 BUCKET_SIGNATURES = 1_500_000
 SIGNATURES_PER_SHINGLE = 0.45
@@ -130,10 +130,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity bits of a set: how many of its elements fall on each of a power of two of bits, at least two per element, modulo 2.
+    """Parity bits of a set: how many of its elements fall on each of a power of two of bits, at least eight per element, modulo 2.
     Every element in which two sets differ changes one bit, so the bits that differ are at most as many."""
     bits = 64
-    while bits < 2 * len(shingles):
+    while bits < 8 * len(shingles):
         bits *= 2
     return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -206,7 +206,7 @@ def _packed_signatures(docs: DataFrame, words: int, percent: int, buckets: int)
                     seen.add(digest)
                     codes.append(scheme.signatures(s))
                     owners.append(np.full(len(codes[-1]), doc, np.int64))
-            if not codes:
+            if not sum(map(len, codes)):
                 continue
             code, owner = np.concatenate(codes), np.concatenate(owners)
             order = np.lexsort((owner, code))
@@ -292,17 +292,29 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _tile_pairs(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """(low, member, low_n, member_n) of different components whose sketches allow a link, in the groups (code, member, n, root,
-    blocks), tile by tile; the tiles are dealt over ``tasks`` groups of rows."""
-    block = F.pmod(F.xxhash64("member"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tiles = groups.withColumn("block", block).withColumn("other", other).select(
-        "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "member", "n", "root", "block")
-    rows = tiles.join(sets.select(F.col("doc").alias("member"), "sketch"), "member")
+    """(low, member, low_n, member_n) of different components whose sketches allow a link, in the groups (code, member, n, root;
+    main, main_blocks, rest_blocks). The members of a group's largest component meet the rest, block by block, but not each other;
+    the rest meet among themselves too. These tiles are dealt over ``tasks`` groups of rows."""
+    main = F.col("root") == F.col("main")
+    block = F.pmod(F.xxhash64("member"), F.when(main, F.col("main_blocks")).otherwise(F.col("rest_blocks")))
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    def tile(kind: str, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    b = F.col("block")
+    with_main = F.transform(upto("main_blocks"), lambda k: tile("main", b, k))
+    with_rest = F.transform(upto("rest_blocks"), lambda j: tile("rest", F.least(b, j), F.greatest(b, j)))
+    tiles = F.when(main, F.transform(upto("rest_blocks"), lambda i: tile("main", i, b))).otherwise(F.concat(with_main, with_rest))
+    rows = groups.withColumn("block", block).select(
+        "code", "member", "n", "root", "block", main.alias("is_main"), F.explode(tiles).alias("t")).select("*", "t.*").drop("t")
+    rows = rows.join(sets.select(F.col("doc").alias("member"), "sketch"), "member")
 
     def compare(pdf: pd.DataFrame) -> list[tuple]:
-        ids, sizes, root, block = (pdf[c].to_numpy() for c in ("member", "n", "root", "block"))
-        within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        ids, sizes, root, block, main = (pdf[c].to_numpy() for c in ("member", "n", "root", "block", "is_main"))
+        with_main, within = pdf["kind"].iloc[0] == "main", pdf["i"].iloc[0] == pdf["j"].iloc[0]
         widths = pdf["sketch"].str.len().to_numpy()
         bits = {w: np.stack([np.frombuffer(x, np.uint8) for x in pdf["sketch"][widths == w]]) for w in np.unique(widths)}
         found = []
@@ -312,7 +324,9 @@ def _tile_pairs(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) ->
                 if width in bits:
                     at = np.flatnonzero(widths == width)
                     fits = possible(bits[width], sizes[at], own, sizes[y], percent) & (root[at] != root[y])
-                    if not within:
+                    if with_main:
+                        fits &= main[at] != main[y]
+                    elif not within:
                         fits &= block[at] != block[y]
                     if width == widths[y]:
                         fits &= ids[at] < ids[y]
@@ -320,10 +334,10 @@ def _tile_pairs(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) ->
         return [(a, b, n, m) for (a, n), (b, m) in found]
 
     def compare_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [pair for _, tile in pdf.groupby(["code", "i", "j"], sort=False) for pair in compare(tile)]
+        found = [pair for _, tile in pdf.groupby(["code", "kind", "i", "j"], sort=False) for pair in compare(tile)]
         return pd.DataFrame(found, columns=["low", "member", "low_n", "member_n"], dtype="int64")
 
-    dealt = rows.groupBy(F.pmod(F.xxhash64("code", "i", "j"), F.lit(tasks)))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("code", "kind", "i", "j"), F.lit(tasks)))
     return dealt.applyInPandas(compare_all, "low long, member long, low_n long, member_n long").distinct()
 
 
@@ -360,12 +374,14 @@ def similar_components(
 
     rooted = written(groups.join(roots.withColumnRenamed("node", "member"), "member", "left").select(
         "code", "member", "n", F.coalesce("root", "member").alias("root")), "rooted")
-    open_groups = rooted.groupBy("code").agg(
-        F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count(F.lit(1)).alias("members"),
-        F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("same"))
-    open_groups = open_groups.filter("lowest != highest").dropDuplicates(["members", "same"])
-    open_groups = written(open_groups.select("code", F.ceil(F.col("members") / TILE).alias("blocks")), "open-groups")
-    tiles = open_groups.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    by_root = rooted.groupBy("code", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("same"))
+    open_groups = by_root.groupBy("code").agg(
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members"), F.sum("same").alias("same"), F.max(F.struct("n", "root")).alias("main"))
+    open_groups = open_groups.filter("roots > 1").dropDuplicates(["members", "same"])
+    open_groups = written(open_groups.select(
+        "code", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / TILE).alias("main_blocks"),
+        F.ceil((F.col("members") - F.col("main.n")) / TILE).alias("rest_blocks")), "open-groups")
+    tiles = open_groups.agg(F.sum(F.expr("rest_blocks * main_blocks + rest_blocks * (rest_blocks + 1) / 2"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tiles / TASK_TILES))
     more = _links(written(_tile_pairs(rooted.join(open_groups, "code"), sets, percent, tasks), "tile-pairs"), sets, percent)
     roots = components(links.union(more).select(F.col("low").alias("a"), F.col("member").alias("b")))
