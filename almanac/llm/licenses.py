@@ -3,9 +3,9 @@
 A text is compared in four kinds of units: as a whole, by paragraph (between blank lines), by line, and by sentence within a
 line. A unit is normalised to lower-case words of letters and digits and compared with every template by the Dice coefficient of
 their sets of word bigrams. Two bounds prune exactly: a Dice coefficient of t needs sizes in the ratio t / (2 - t) at least, so
-units outside all size ranges go before any bigram is built; and it needs so many shared bigrams that one of a template's
-first few must be among them, so only units that hold such a bigram meet the template. The templates are a fixed
-list; their tables have one row per template or first bigram.
+units outside all size ranges go before any bigram is compared; and it needs so many shared bigrams that one of any few of
+a template's must be among them, so a few telling words are looked for first, and only units that hold a bigram with one of
+them meet its templates. The templates are a fixed list; their tables have one row per template or telling bigram.
 
 Defined results: null, empty and one-word units match nothing; a template that is found in several units of a document is reported
 for each; of several templates of one licence the best counts (ties: the first in the list); rows without id are kept; rows
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,23 +66,30 @@ TEMPLATES = [
 ]
 
 
+#: Words too frequent to tell a licence.
+COMMON = set("a an and any are as at be by for from in is it may not of on or out that the this to under with without you".split())
+
+
 def template_words(text: str) -> list[str]:
     return re.sub(r"[^\w]+|_", " ", text.lower()).split()
 
 
-def template_rows(templates: Sequence[tuple[str, str]], least: float) -> tuple[list[tuple], list[tuple[int, str]]]:
-    """Templates as (template, licence, bigrams, size, lowest, highest) and their first bigrams as (template, bigram). Bigrams that
-    fewer templates hold come first; a unit that matches must share one of the first size - needed + 1."""
+def template_rows(templates: Sequence[tuple[str, str]], least: float) -> tuple[list[tuple], list[tuple[int, str]], list[str]]:
+    """Templates as (template, licence, bigrams, size, lowest, highest), their telling bigrams as (template, bigram), and words of
+    which every match holds one. A match shares so many bigrams with a template that it can miss fewer than ``n - needed + 1``; so
+    one of any so many is in it. Words are chosen until the bigrams that hold one are so many for every template."""
     sets = [sorted({f"{a} {b}" for a, b in zip(w, w[1:])}) for w in (template_words(t) for _, t in templates)]
-    held = Counter(b for s in sets for b in s)
-    words = Counter(w for s in sets for w in {x for b in s for x in b.split()})
-    rows, firsts = [], []
-    for i, ((name, _), bigrams) in enumerate(zip(templates, sets)):
-        n, ratio = len(bigrams), least / (2 - least)
-        rows.append((i, name, bigrams, n, _up(n * ratio), int(n / ratio + 1e-9)))
-        order = sorted(bigrams, key=lambda b: (held[b], sum(words[x] for x in b.split()), -len(b), b))
-        firsts += [(i, b) for b in order[:n - _up(n * ratio) + 1]]
-    return rows, firsts
+    ratio = least / (2 - least)
+    lacking = {i: len(s) - _up(len(s) * ratio) + 1 for i, s in enumerate(sets)}
+    chosen: list[str] = []
+    while lacking:
+        gain = Counter(w for i in lacking for b in sets[i] if not set(b.split()) & set(chosen) for w in set(b.split()))
+        chosen.append(min(gain, key=lambda w: (w in COMMON or w.isdigit(), len(w) < 4, -gain[w], w)))
+        held = {i: sum(bool(set(b.split()) & set(chosen)) for b in sets[i]) for i in lacking}
+        lacking = {i: n for i, n in lacking.items() if held[i] < n}
+    rows = [(i, name, s, len(s), _up(len(s) * ratio), int(len(s) / ratio + 1e-9)) for i, ((name, _), s) in enumerate(zip(templates, sets))]
+    telling = [(i, b) for i, s in enumerate(sets) for b in s if set(b.split()) & set(chosen)]
+    return rows, telling, chosen
 
 
 def _up(x: float) -> int:
@@ -99,25 +107,28 @@ def bigrams(words: Column) -> Column:
         F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, longest: int) -> DataFrame:
-    """(doc, unit, position, words) of all units of at least two and at most ``longest`` words."""
-    def blocks(name: str, border: str) -> Column:
-        return F.transform(F.split(F.col("text"), border), lambda t, i: F.struct(F.lit(name).alias("unit"), i.alias("position"), t.alias("text")))
+def units(docs: DataFrame, id_col: str, text_col: str, telling: Sequence[str]) -> DataFrame:
+    """(doc, unit, position, words) of all units of at least two words that hold a telling word."""
+    def tells(text: Column) -> Column:
+        # The one-element array has the text lowered once, whatever the number of words.
+        return F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in telling]))
+
+    def named(unit: str, parts: Column) -> Column:
+        return F.transform(parts, lambda t, i: F.struct(F.lit(unit).alias("unit"), i.alias("position"), t.alias("text")))
 
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    # The whole text and its paragraphs are units of their own only where they span several lines.
-    lines = texts.select("doc", F.posexplode(F.split("text", r"\n")).alias("position", "text"))
-    sentences = lines.select("doc", "position", F.split("text", r"(?<=[.!?])\s+").alias("parts"))
-    sentences = sentences.filter(F.size("parts") > 1).select("doc", F.lit("sentence").alias("unit"), "position", F.explode("parts").alias("text"))
-    whole = texts.filter(F.instr("text", "\n") > 0)
-    paragraphs = whole.select("doc", F.explode(blocks("paragraph", r"\n[\x20\t\r]*\n")).alias("u")).select("doc", "u.*")
-    paragraphs = paragraphs.filter(F.instr("text", "\n") > 0)
-    whole = whole.select("doc", F.lit("text").alias("unit"), F.lit(0).alias("position"), "text")
-    lines = lines.select("doc", F.lit("line").alias("unit"), "position", "text")
-    every = lines.unionByName(sentences).unionByName(paragraphs).unionByName(whole)
-    # A word takes at least one character and a blank, so longer units can be seen to be too long only after splitting.
-    words = F.split(normal(F.col("text")), " ")
-    return every.select("doc", "unit", "position", words.alias("words")).filter(F.size("words").between(2, longest))
+    text = F.col("text")
+    lines = F.split(text, r"\n")
+    # A sentence is a unit of its own where its line has several, a text or paragraph where it has several lines.
+    sentences = F.flatten(F.transform(lines, lambda t, i: F.transform(
+        F.split(t, r"(?<=[.!?])\s+"), lambda s: F.struct(F.lit("sentence").alias("unit"), i.alias("position"), s.alias("text"), t.alias("whole")))))
+    sentences = F.transform(F.filter(sentences, lambda s: s["text"] != s["whole"]),
+                            lambda s: F.struct(s["unit"].alias("unit"), s["position"].alias("position"), s["text"].alias("text")))
+    larger = F.concat(named("text", F.array(text)), named("paragraph", F.split(text, r"\n[\x20\t\r]*\n")))
+    larger = F.filter(larger, lambda u: F.instr(u["text"], "\n") > 0)
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(tells(text))
+    every = texts.select("doc", F.explode(F.concat(larger, named("line", lines), sentences)).alias("u")).select("doc", "u.*")
+    words = F.split(normal(text), " ")
+    return every.filter(tells(text)).select("doc", "unit", "position", words.alias("words")).filter(F.size("words") > 1)
 
 
 def scan(
@@ -126,11 +137,10 @@ def scan(
 ) -> DataFrame:
     """(doc, unit, position, licence, dice): every unit with the licences it matches."""
     spark = docs.sparkSession
-    rows, firsts = template_rows(templates, least)
+    rows, firsts, telling = template_rows(templates, least)
     table = spark.createDataFrame(rows, "template int, licence string, model array<string>, size int, lowest int, highest int")
     first = spark.createDataFrame(firsts, "template int, bigram string")
-    # A text of n distinct bigrams may repeat them; the bound on words leaves room for each to come as often as in the template.
-    found = units(docs, id_col, text_col, 4 * max(r[5] for r in rows)).withColumn("pairs", bigrams(F.col("words"))).drop("words")
+    found = units(docs, id_col, text_col, telling).withColumn("pairs", bigrams(F.col("words"))).drop("words")
     found = found.filter(F.size("pairs").between(min(r[4] for r in rows), max(r[5] for r in rows)))
     known = F.array(*[F.lit(b) for b in sorted({b for _, b in firsts})])
     near = found.filter(F.arrays_overlap("pairs", known))
