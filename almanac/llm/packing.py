@@ -30,8 +30,8 @@ LENGTH = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 BUCKET_PIECES = 50_000
-#: Words whose ids a Python worker keeps at hand (250 MB); only speed depends on it.
-KNOWN_WORDS = 1_000_000
+#: Words whose ids a Python worker keeps at hand (150 MB); only speed depends on it.
+KNOWN_WORDS = 600_000
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
