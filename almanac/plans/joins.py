@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from almanac.functions import text as T
 from almanac.operators import enrich as E
@@ -90,7 +91,7 @@ def d8(spark, sf):
     return pairs.select("doc_id", "partner_doc_id", F.md5("class_1").alias("class_1"), F.md5("class_0").alias("class_0"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _spoken(location: pd.Series) -> pd.Series:
     """Stand-in for a translation service: swaps the two words, fails (NULL) on Spanish places."""
     return location.map(lambda s: None if s.endswith(" es") else " ".join(reversed(s.split(" "))))
@@ -123,7 +124,7 @@ def d11(spark, sf):
     return E.file_index(records(spark, sf).select("path", "city"), "path", "city")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _share_of_vowels(text: pd.Series) -> pd.Series:
     return text.str.count("[aeiou]") / text.str.len()
 

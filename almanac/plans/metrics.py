@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from almanac.functions import text as T
 from almanac.operators import metrics as M
@@ -126,7 +127,7 @@ def j9(spark, sf):
     return _r(M.temperature_range(predictions(spark, sf), "run", "prediction", "temperatur_in_deg_C"), "mean_score")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _share_of_long(window: pd.Series) -> pd.Series:
     """Stand-in for a classifier: share of ids above 4."""
     return window.map(lambda ids: float((ids > 4).mean()) if len(ids) else None)
