@@ -1,12 +1,16 @@
 """Operator 3: licence scan, with DataFrame functions only.
 
-A text is compared in four kinds of units: as a whole, by paragraph (between blank lines), by line, and by sentence within a
-line. A unit is normalised to lower-case words of letters and digits and compared with every template by the Dice coefficient of
-their sets of word bigrams. Two bounds prune exactly: a Dice coefficient of t needs sizes in the ratio t / (2 - t) at least, so
+A text is compared in five kinds of units: as a whole, by paragraph (between blank lines), by line, by sentence within a line, and
+by window of words anywhere in the text, so that a notice in a comment block or amid other words is found too. A unit is normalised
+to lower-case words of letters and digits and compared with every template by the Dice coefficient of their sets of word bigrams. Two bounds prune exactly: a Dice coefficient of t needs sizes in the ratio t / (2 - t) at least, so
 units outside all size ranges go before any bigram is compared; and it needs so many shared bigrams that one of any few of
 a template's must be among them, so a few telling words are looked for first, and only units that hold a bigram with one of
 them meet its templates. The templates are a fixed list; their tables have one row per template or telling bigram.
 
+Windows have as many bigrams as a template's size range allows. The best one begins and ends with a bigram of the template, and
+each holds a telling bigram, so only the bigrams around those are looked at. Of windows of one licence that overlap, the best stays
+(ties: the shorter, then the earlier); its position is that of its first word.
+
 Defined results: null, empty and one-word units match nothing; a template that is found in several units of a document is reported
 for each; of several templates of one licence the best counts (ties: the first in the list); rows without id are kept; rows
 repeated with equal id give one finding; an empty table gives an empty result; other columns are not read.
@@ -107,12 +111,13 @@ def bigrams(words: Column) -> Column:
         F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def tells(text: Column, telling: Sequence[str]) -> Column:
+    # The one-element array has the text lowered once, whatever the number of words.
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in telling]))
+
+
 def units(docs: DataFrame, id_col: str, text_col: str, telling: Sequence[str]) -> DataFrame:
     """(doc, unit, position, words) of all units of at least two words that hold a telling word."""
-    def tells(text: Column) -> Column:
-        # The one-element array has the text lowered once, whatever the number of words.
-        return F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in telling]))
-
     def named(unit: str, parts: Column) -> Column:
         return F.transform(parts, lambda t, i: F.struct(F.lit(unit).alias("unit"), i.alias("position"), t.alias("text")))
 
@@ -125,10 +130,69 @@ def units(docs: DataFrame, id_col: str, text_col: str, telling: Sequence[str]) -
                             lambda s: F.struct(s["unit"].alias("unit"), s["position"].alias("position"), s["text"].alias("text")))
     larger = F.concat(named("text", F.array(text)), named("paragraph", F.split(text, r"\n[\x20\t\r]*\n")))
     larger = F.filter(larger, lambda u: F.instr(u["text"], "\n") > 0)
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(tells(text))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(tells(text, telling))
     every = texts.select("doc", F.explode(F.concat(larger, named("line", lines), sentences)).alias("u")).select("doc", "u.*")
     words = F.split(normal(text), " ")
-    return every.filter(tells(text)).select("doc", "unit", "position", words.alias("words")).filter(F.size("words") > 1)
+    return every.filter(tells(text, telling)).select("doc", "unit", "position", words.alias("words")).filter(F.size("words") > 1)
+
+
+def apart(ordered: str) -> Column:
+    """Of windows (worse, length in bigrams, position), best first, those that share no word with a better one that stays."""
+    return F.aggregate(ordered, F.slice(ordered, F.lit(1), F.lit(0)), lambda chosen, w: F.when(
+        F.exists(chosen, lambda c: (c["position"] <= w["position"] + w["length"]) & (w["position"] <= c["position"] + c["length"])), chosen
+    ).otherwise(F.array_append(chosen, w)))
+
+
+def windows(
+    docs: DataFrame, id_col: str, text_col: str, table: DataFrame, firsts: Sequence[tuple[int, str]], telling: Sequence[str], reach: int,
+    least: float,
+) -> DataFrame:
+    """(doc, unit, position, licence, dice) of the best windows of words; ``reach`` is the size of the largest window in bigrams."""
+    text = F.col("text")
+    known = sorted({b for _, b in firsts})
+    ours: dict[int, list[str]] = {}
+    for i, b in firsts:
+        ours.setdefault(i, []).append(b)
+    spark = docs.sparkSession
+    first = spark.createDataFrame([(i, b, ours[i]) for i, b in firsts], "template int, bigram string, telling array<string>")
+
+    def around(words: Column) -> Column:
+        # Lambda variables are arrays made once; the bigrams around a telling one are cut out before anything is exploded.
+        every = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.flatten(F.transform(F.array(every), lambda pairs: F.transform(
+            F.filter(F.transform(pairs, lambda b, i: F.struct(b.alias("bigram"), i.alias("at"))), lambda h: h["bigram"].isin(known)),
+            lambda h: F.struct(h["bigram"].alias("bigram"), h["at"].alias("at"), F.greatest(h["at"] - reach + 1, F.lit(0)).alias("begin"),
+                               F.slice(pairs, F.greatest(h["at"] - reach + 1, F.lit(0)) + 1,
+                                       h["at"] - F.greatest(h["at"] - reach + 1, F.lit(0)) + reach).alias("near")))))
+
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(tells(text, telling))
+    several = F.transform(F.array(F.split(normal(text), " ")), lambda w: F.when(F.size(w) > 1, around(w)))
+    found = texts.select("doc", F.xxhash64("text").alias("key"), F.explode(F.flatten(several)).alias("h")).select("doc", "key", "h.*")
+    met = found.join(F.broadcast(first), "bigram").join(F.broadcast(table), "template").filter(
+        F.size(F.array_intersect("near", "model")) >= F.col("lowest"))
+    # A window belongs to its first telling bigram: it starts behind the one before.
+    here = F.col("at") - F.col("begin")
+    seen = F.filter(F.transform(F.slice("near", F.lit(1), here), lambda b, i: F.when(F.array_contains("telling", b), i + 1)), lambda i: i.isNotNull())
+    start = F.greatest(F.coalesce(F.array_max(seen), F.lit(0)), here - F.col("highest") + 1, F.lit(0))
+    starts = F.transform(F.filter(F.sequence(start, here), lambda i: F.array_contains("model", F.element_at("near", i + 1))),
+                         lambda i: F.struct((F.col("begin") + i).alias("position"), F.slice("near", i + 1, F.col("highest")).alias("next")))
+    begun = met.select("doc", "key", "licence", "model", "size", "lowest", F.explode(starts).alias("s")).select(
+        "doc", "key", "licence", "model", "size", "lowest", "s.*").filter(F.size(F.array_intersect("next", "model")) >= F.col("lowest"))
+    steps = F.transform("next", lambda b, i: F.struct((F.array_position("next", b) == i + 1).alias("new"), F.array_contains("model", b).alias("hit")))
+
+    def step(a: Column, t: Column) -> Column:
+        shared, own = a["shared"] + (t["new"] & t["hit"]).cast("int"), a["own"] + t["new"].cast("int")
+        dice = 2 * shared / (own + F.col("size"))
+        better = dice > a["dice"]
+        return F.struct(shared.alias("shared"), own.alias("own"), (a["n"] + 1).alias("n"), F.when(better, dice).otherwise(a["dice"]).alias("dice"),
+                        F.when(better, a["n"] + 1).otherwise(a["length"]).alias("length"))
+
+    none = F.struct(*[F.lit(0).alias(c) for c in ("shared", "own", "n")], F.lit(0.0).alias("dice"), F.lit(0).alias("length"))
+    best = begun.select("doc", "key", "licence", "position", F.aggregate(steps, none, step).alias("b")).filter(F.col("b.dice") >= least)
+    ordered = F.sort_array(F.collect_set(F.struct((-F.col("b.dice")).alias("worse"), F.col("b.length").alias("length"), "position")))
+    groups = best.groupBy("doc", "key", "licence").agg(ordered.alias("ordered")).withColumn("w", F.explode(apart("ordered")))
+    return groups.select("doc", F.lit("window").alias("unit"), F.col("w.position").alias("position"), "licence", (-F.col("w.worse")).alias("dice"))
 
 
 def scan(
@@ -148,7 +212,8 @@ def scan(
     met = hits.join(F.broadcast(first), "bigram").join(F.broadcast(table), "template").filter(F.size("pairs").between(F.col("lowest"), F.col("highest")))
     dice = 2 * F.size(F.array_intersect("pairs", "model")) / (F.size("pairs") + F.col("size"))
     scored = met.select("doc", "unit", "position", "licence", dice.alias("dice")).filter(F.col("dice") >= least)
-    return scored.groupBy("doc", "unit", "position", "licence").agg(F.max("dice").alias("dice"))
+    around = windows(docs, id_col, text_col, table, firsts, telling, max(r[5] for r in rows), least)
+    return scored.unionByName(around).groupBy("doc", "unit", "position", "licence").agg(F.max("dice").alias("dice"))
 
 
 @BOOK.add("op3_license_scan")

@@ -115,6 +115,40 @@ def test_licence_scan_equals_brute_force(spark, sf, docs):
     assert got == want and got
 
 
+def test_licences_in_windows_equal_brute_force(spark):
+    gpl, mit, mpl = (next(t for n, t in licenses.TEMPLATES if n == name and len(t) > 150) for name in ("GPL-3.0", "MIT", "MPL-2.0"))
+    wrapped = [gpl[:70] + "\n # " + gpl[70:140] + "\n # " + gpl[140:] + "\n #\n # This program is distributed in the hope that it will be useful, but "
+               "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."]
+    words_of = mit.split()
+    block = "/*\n * Copyright (c) 2020 The authors of this very small program\n *\n" + "".join(
+        " * " + " ".join(words_of[i:i + 9]) + "\n" for i in range(0, len(words_of), 9)) + " *\n * The above notice shall be in all copies of it.\n */"
+    texts = ["# Some tool, by somebody. " + wrapped[0], block, "One line says much. " + mpl + " And so the line goes on with words that are not of it.",
+             mpl + " " + mpl, "Notes released under the MIT license in spring", "The software is free and the public reads a license version of it."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[2]), (0, texts[4])], "doc_id long, text string")
+    models = licenses.template_rows(licenses.TEMPLATES, 0.8)[0]
+    want = set()
+    for doc, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
+        w = licenses.template_words(text)
+        pairs, found = [f"{a} {b}" for a, b in zip(w, w[1:])], {}
+        for _, name, model, size, lowest, highest in models:
+            for a in range(len(pairs)):
+                for b in range(a + 1, min(len(pairs), a + highest) + 1):
+                    own = set(pairs[a:b])
+                    dice = 2 * len(own & set(model)) / (len(own) + size)
+                    if dice >= 0.8:
+                        found.setdefault(name, set()).add((-dice, b - a, a))
+        for name, every in found.items():
+            kept = []
+            for d, n, a in sorted(every):
+                if not any(x <= a + n and a <= x + m for _, m, x in kept):
+                    kept.append((d, n, a))
+            want |= {(doc, a, name, round(-d, 9)) for d, _, a in kept}
+    got = {(r["doc"], r["position"], r["licence"], round(r["dice"], 9)) for r in licenses.scan(docs).filter("unit = 'window'").collect()}
+    assert got == want
+    assert {(0, "GPL-3.0"), (1, "MIT"), (2, "MPL-2.0"), (4, "MIT")} <= {(d, n) for d, _, n, _ in got} and not [x for x in got if x[0] == 5]
+    assert len([x for x in got if x[0] == 3 and x[2] == "MPL-2.0"]) == 2
+
+
 def test_secrets_are_told_from_other_strings(spark, none, odd):
     real, other = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "4556737586899855"
     docs = spark.createDataFrame([
