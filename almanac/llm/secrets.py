@@ -1,12 +1,13 @@
 """Operator 7: secret scan with a random forest that removes false positives, with DataFrame functions only.
 
-Candidates are runs of at least ``LEAST_LENGTH`` key characters that hold a digit. The forest judges each by its length, its
+Candidates are runs of at least ``LEAST_LENGTH`` key characters that hold a digit; ``=`` belongs to one only as padding at its end,
+so that a name and its value are apart. The text beside a candidate is what stands there, other candidates included. The forest judges each by its length, its
 character transitions (how often the kind of character changes, and the log-likelihood ratio of its character pairs under the
 genuine and the false training findings), how much of it dictionary words cover, signs of a path, and the words beside it.
 
 The forest is trained on labelled findings (before, candidate, after, genuine). A caller may give a table of them; the default is
 a bounded table of ``FINDINGS`` rows that Spark derives from hashes: keys in the formats of services and in assignments against
-checksums, identifiers, paths, numbers and placeholders. Texts are scanned whole, every candidate is returned with its score.
+checksums, identifiers, paths, numbers and placeholders. Findings are written out as lines and cut as texts are. Texts are scanned whole, every candidate is returned with its score.
 
 Defined results: null texts and texts without candidates give no row; equal candidates in one text are rows of their own, told apart
 by their position; rows without id are kept; rows repeated with equal id give repeated findings; an empty table gives an empty
@@ -27,7 +28,10 @@ from almanac.llm.common import BOOK, read
 from almanac.storage import written
 
 LEAST_LENGTH = 16
-KEY = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{{LEAST_LENGTH},}}"
+SIGN = r"A-Za-z0-9_+/\-"
+PADDING = f"={{1,2}}(?![{SIGN}=])"
+KEY = (rf"(?<![{SIGN}])(?=[A-Za-z_+/-]*+[0-9])(?:[{SIGN}]{{{LEAST_LENGTH},}}+(?:{PADDING})?|[{SIGN}]{{{LEAST_LENGTH - 1}}}{PADDING}"
+       rf"|[{SIGN}]{{{LEAST_LENGTH - 2}}}==(?![{SIGN}=]))")
 BESIDE = 64
 FINDINGS = 6000
 TREES, DEPTH = 40, 8
@@ -83,7 +87,7 @@ def features(found: DataFrame, odds: Column) -> DataFrame:
         "covered": 1 - F.length(rest) / F.length(c),
         "slashes": F.regexp_count(c, F.lit("/")).cast("double"), "after_path": before.rlike(r"[/\\.@#]$").cast("double"),
         "before_path": after.rlike(r"^([/\\@]|\.[a-z])").cast("double"), "grouped": c.rlike("^[0-9a-zA-Z]+([-_][0-9a-zA-Z]+)+$").cast("double"),
-        "announced": says(ANNOUNCING), "denied": says(DENYING), "assigned": before.rlike(r"[=:]\s*[\"'`]?$").cast("double"),
+        "names": after.rlike(r"^[\"'`]?\s{0,4}[=:]").cast("double"), "announced": says(ANNOUNCING), "denied": says(DENYING), "assigned": before.rlike(r"[=:]\s*[\"'`]?$").cast("double"),
         "quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double")}
     return found.withColumn("f", F.struct(*[v.cast("double").alias(k) for k, v in columns.items()]))
 
@@ -107,6 +111,7 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
                     pick([" = \"", ": \"", "=", " = '", ": ", "\": \""], 2))
     tail = F.when(F.endswith(lead, F.lit("\"")), "\"").when(F.endswith(lead, F.lit("'")), "'").otherwise(" ")
     prose = F.concat(word(3), F.lit(" "), word(4), F.lit(" "))
+    url = F.concat(prose, F.lit("https://"), word(17), F.lit(".example/"), word(18), F.lit("?"), pick(["", "page=3&", "id=7&"], 19))
     genuine = [  # before, candidate, after
         (F.concat(prose, lead), F.substring(wide, 1, 40), tail), (F.concat(prose, lead), F.substring(wide, 5, 32), tail),
         (F.concat(prose, lead), F.substring(wide, 1, 64), tail), (F.concat(prose, lead), F.upper(F.substring(wide, 3, 40)), tail),
@@ -114,7 +119,10 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (prose, F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 14)), F.lit("7Q")), F.lit(" ")),
         (prose, F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.lit(" ")),
         (F.concat(F.lit("Authorization: Bearer "), F.lit("")), F.concat(F.lit("eyJ0eXAi"), F.substring(mixed, 1, 60)), F.lit(".")),
-        (F.concat(prose, lead), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), tail)]
+        (F.concat(prose, lead), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), tail),
+        (F.concat(url, pick(["token=", "key=", "access_token=", "api_key=", "auth="], 14)), F.substring(wide, 1, 40), pick(["&", " ", "&page=2 "], 15)),
+        (F.concat(url, pick(["token=", "secret=", "access_token=", "api_key="], 14)), F.substring(mixed, 2, 32), pick(["&", " ", "\""], 15)),
+        (F.concat(prose, lead), F.concat(F.substring(mixed, 1, 30), pick(["=", "=="], 16)), tail)]
     false = [
         (F.concat(prose, pick(["commit ", "sha1 ", "sha256: ", "checksum: ", "md5 = ", "digest ", "etag \"", "revision "], 5)),
          F.substring(wide, 1, 40), F.lit(" ")),
@@ -126,7 +134,11 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (prose, number(16), F.lit(" ")), (F.concat(prose, pick(["call ", "card ", "invoice ", "+"], 11)), number(18), F.lit(" ")),
         (F.concat(prose, lead), F.concat(F.repeat(pick(["x", "0", "a", "abc", "1234", "test"], 12), 8), number(2)), tail),
         (prose, F.concat_ws("-", word(7), F.concat(F.lit("v"), number(1)), word(8), number(4)), F.lit(" ")),
-        (F.concat(prose, lead), F.concat(F.lit("AKIAIOSFODNN7"), F.upper(pick(["example", "sample", "placeholder"], 13)), number(1)), tail)]
+        (F.concat(prose, lead), F.concat(F.lit("AKIAIOSFODNN7"), F.upper(pick(["example", "sample", "placeholder"], 13)), number(1)), tail),
+        (F.concat(url, pick(["id=", "session=", "etag=", "order=", "v="], 14)), F.substring(wide, 1, 32), pick(["&", " ", "&page=2 "], 15)),
+        (F.concat(url, pick(["id=", "order=", "call="], 14)), number(18), pick(["&", " "], 15)),
+        (prose, F.concat_ws("_", word(7), pick(["api_key", "token", "secret", "password", "access_key"], 1), word(8), number(3)),
+         F.concat(pick([" = \"", "=", ": "], 2), F.substring(mixed, 5, 30), F.lit(" ")))]
     sides = [(1.0, kind) for kind in genuine] + [(0.0, kind) for kind in false]
     parts = [rows.filter(F.pmod("id", F.lit(len(sides))) == k).select(
         before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(y).alias("genuine"))
@@ -134,10 +146,19 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return reduce(DataFrame.union, parts).filter((F.length("candidate") >= LEAST_LENGTH) & F.col("candidate").rlike("[0-9]"))
 
 
+def cut(findings: DataFrame) -> DataFrame:
+    """The findings as the scan would make them of the lines they stand in; those it does not make are left out."""
+    lines = findings.select(F.struct("candidate", F.col("genuine").cast("double").alias("genuine")).alias("finding"), F.concat(
+        F.coalesce("before", F.lit("")), "candidate", F.coalesce("after", F.lit(""))).alias("line"))
+    made = candidates(lines, "finding", "line").filter(
+        F.contains("doc.candidate", "candidate") | F.contains("candidate", "doc.candidate"))
+    return made.select("before", "candidate", "after", F.col("doc.genuine").alias("genuine"))
+
+
 def fit(findings: DataFrame) -> tuple[RandomForestClassificationModel, Column]:
     """Train on labelled findings: the forest and the map of character pair odds. A quarter of the findings, chosen by hash, gives
     the odds, so that the forest sees them on findings that did not make them."""
-    findings = written(findings, "findings")
+    findings = written(cut(findings), "findings")
     first = F.pmod(F.xxhash64("before", "candidate"), F.lit(4)) == 0
     counted = findings.filter(first).select("genuine", F.explode(pairs(F.col("candidate"))).alias("pair")).groupBy("pair").agg(
         F.sum("genuine").alias("yes"), F.sum(1 - F.col("genuine")).alias("no"))
@@ -153,12 +174,31 @@ def fit(findings: DataFrame) -> tuple[RandomForestClassificationModel, Column]:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, position, before, candidate, after): every run of key characters with the text beside it."""
     text = F.col(text_col).cast("string")
-    found = docs.select(F.col(id_col).alias("doc"), F.regexp_extract_all(text, F.lit(KEY), F.lit(0)).alias("found"), text.alias("text"))
-    found = found.filter(F.size("found") > 0).withColumn("between", F.split("text", KEY))
-    rows = found.select("doc", F.posexplode(F.arrays_zip("found", "between", F.slice("between", F.lit(2), F.size("found")).alias("next"))).alias("position", "x"))
-    return rows.filter(F.col("x.found").isNotNull()).select(
-        "doc", "position", F.right(F.col("x.between"), F.lit(BESIDE)).alias("before"), F.col("x.found").alias("candidate"),
-        F.left(F.col("x.next"), F.lit(BESIDE)).alias("after"))
+    found, between = F.regexp_extract_all(text, F.lit(KEY), F.lit(0)), F.split(text, KEY)
+    pieces = BESIDE // LEAST_LENGTH + 1  # so many candidates at most reach into the text beside another
+
+    def joined(parts: Column) -> Column:
+        return F.array_join(parts, "")
+
+    def ends(p: Column) -> Column:
+        """What precedes each candidate with the candidate, and it with what follows, as far as others can have use for it."""
+        n = F.size(p["found"])
+        return F.struct(
+            p["found"].alias("found"), p["between"].alias("between"),
+            F.zip_with(F.slice(p["between"], F.lit(1), n), p["found"], lambda b, c: F.right(F.concat(b, c), F.lit(BESIDE))).alias("tails"),
+            F.zip_with(p["found"], F.slice(p["between"], F.lit(2), n), lambda c, b: F.left(F.concat(c, b), F.lit(BESIDE))).alias("heads"))
+
+    def beside(p: Column) -> Column:
+        first = lambda i: F.greatest(i - pieces, F.lit(0))
+        return F.transform(p["found"], lambda c, i: F.struct(
+            F.right(F.concat(joined(F.slice(p["tails"], first(i) + 1, i - first(i))), F.get(p["between"], i)), F.lit(BESIDE)).alias("before"),
+            c.alias("candidate"),
+            F.left(F.concat(F.get(p["between"], i + 1), joined(F.slice(p["heads"], i + 2, F.lit(pieces)))), F.lit(BESIDE)).alias("after")))
+
+    # The one-element arrays make what stands in them once, not for every candidate.
+    parts = F.transform(F.array(F.struct(found.alias("found"), between.alias("between"))), ends)
+    rows = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.flatten(F.transform(parts, beside))).alias("position", "x"))
+    return rows.select("doc", "position", "x.before", "x.candidate", "x.after")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

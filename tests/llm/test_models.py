@@ -160,6 +160,23 @@ def test_secrets_are_told_from_other_strings(spark, none, odd):
     assert secrets.scan(none).count() == 0 and secrets.scan(odd).count() == 0
 
 
+def test_secrets_in_assignments_without_blanks(spark):
+    real = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    padded = "dGhpcyBpcyBhIGxvbmcga2V5IDEyMzQ1Njc4OTA="
+    lines = [f"api_key={real}", f"see https://shop.example/cb?page=2&token={real}&lang=en now", f'export ACCESS_KEY="{real}" # set', f"client_secret={padded};end",
+             f'production_api_key_2024 = "{real}"']
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    score = {(r["doc"], r["candidate"]): r["score"] for r in secrets.scan(docs).collect()}
+    genuine = [(i, padded if i == 3 else real) for i in range(5)]
+    assert all(score.get(x, 0) > 0.5 for x in genuine) and all(s < 0.5 for x, s in score.items() if x not in genuine), score
+    beside = {(r["doc"], r["candidate"]): (r["before"], r["after"]) for r in secrets.candidates(docs).collect()}
+    for doc, candidate in genuine:
+        at = lines[doc].index(candidate)
+        assert beside[(doc, candidate)] == (lines[doc][:at][-64:], lines[doc][at + len(candidate):][:64])
+    made = [r["candidate"] for r in secrets.cut(secrets.default_findings(spark)).collect()]
+    assert len(made) > 5000 and not [c for c in made if "=" in c.rstrip("=")]
+
+
 def brute_neighbours(rows, queries, k=10):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], float)
