@@ -1,7 +1,9 @@
 """Operator 7: secret scan with a random forest that removes false positives, with DataFrame functions only.
 
 Candidates are runs of at least ``LEAST_LENGTH`` key characters that hold a digit; ``=`` belongs to one only as padding at its end,
-so that a name and its value are apart. The text beside a candidate is what stands there, other candidates included. The forest judges each by its length, its
+so that a name and its value are apart. Where an announcing word and an assignment or a quote stand before a run, it is a candidate
+from ``LEAST_ANNOUNCED`` characters on, with or without a digit, and other signs of passwords belong to it; in quotes it reaches to
+the closing one or the next blank. The text beside a candidate is what stands there, other candidates included. The forest judges each by its length, its
 character transitions (how often the kind of character changes, and the log-likelihood ratio of its character pairs under the
 genuine and the false training findings), how much of it dictionary words cover, signs of a path, and the words beside it.
 
@@ -27,11 +29,7 @@ from pyspark.sql import functions as F
 from almanac.llm.common import BOOK, read
 from almanac.storage import written
 
-LEAST_LENGTH = 16
-SIGN = r"A-Za-z0-9_+/\-"
-PADDING = f"={{1,2}}(?![{SIGN}=])"
-KEY = (rf"(?<![{SIGN}])(?=[A-Za-z_+/-]*+[0-9])(?:[{SIGN}]{{{LEAST_LENGTH},}}+(?:{PADDING})?|[{SIGN}]{{{LEAST_LENGTH - 1}}}{PADDING}"
-       rf"|[{SIGN}]{{{LEAST_LENGTH - 2}}}==(?![{SIGN}=]))")
+LEAST_LENGTH, LEAST_ANNOUNCED = 16, 6
 BESIDE = 64
 FINDINGS = 6000
 TREES, DEPTH = 40, 8
@@ -50,6 +48,22 @@ ANNOUNCING = "api_key apikey key token secret password passwd pwd auth authoriza
 DENYING = ("sha sha1 sha256 md5 checksum digest hash commit revision uuid guid etag id isbn phone call tel card invoice serial version "
            "build example sample path file").split()
 
+SIGN = r"A-Za-z0-9_+/\-"
+MORE = rf"{SIGN}~!@#$%^*"
+PADDING = f"={{1,2}}(?![{SIGN}=])"
+#: An announcing word, the rest of its name, and an assignment or an opening quote.
+ASSIGNED = (rf"(?i:{'|'.join(ANNOUNCING)})(?![A-Za-z0-9])[A-Za-z0-9_-]{{0,30}}(?:[\"'`]?\s{{0,8}}(?::=|=>|->|={{1,3}}|:)\s{{0,8}}[\"'`]?|\s{{0,8}}[\"'`])"
+            r"(?:(?i:bearer|basic)\x20{1,4})?")
+#: What is no value but a name with one after it.
+NAME = rf"(?:[A-Za-z0-9]{{1,30}}[_-]){{0,6}}{ASSIGNED}"
+LEAD = rf"(?<![A-Za-z0-9]){ASSIGNED}(?!{NAME})"
+#: A run of any kind after a lead: up to the quote or blank where one was opened, else of key characters and signs, not ending in a stop.
+VALUE = (rf"(?:(?<=[\"'`])[^\s\"'`]{{{LEAST_ANNOUNCED},}}+"
+         rf"|(?:[{MORE}]|[.?](?=[.?]*+[{MORE}])){{{LEAST_ANNOUNCED},}}+(?:{PADDING})?)")
+PLAIN = (rf"(?<![{SIGN}])(?=[A-Za-z_+/-]*+[0-9])(?!{NAME})(?:[{SIGN}]{{{LEAST_LENGTH},}}+(?:{PADDING})?|[{SIGN}]{{{LEAST_LENGTH - 1}}}{PADDING}"
+         rf"|[{SIGN}]{{{LEAST_LENGTH - 2}}}==(?![{SIGN}=]))")
+KEY = rf"{LEAD}{VALUE}|{PLAIN}"
+
 
 def shares(candidate: Column) -> dict[str, Column]:
     """Shares of digits, capitals and other signs, and whether all is hexadecimal."""
@@ -96,7 +110,8 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """Labelled findings (before, candidate, after, genuine), each derived from the hash of its number."""
     rows = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit("finding-"), F.col("id").cast("string")), 512))
     wide = F.concat("h", F.md5("h"))
-    mixed = F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "")
+    rows = rows.withColumn("m", F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", ""))
+    mixed = F.col("m")
 
     def pick(options, at: int) -> Column:
         return F.element_at(F.array(*[F.lit(o) for o in options]), F.pmod(F.xxhash64(F.lit(at), "id"), F.lit(len(options))).cast("int") + 1)
@@ -112,6 +127,8 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     tail = F.when(F.endswith(lead, F.lit("\"")), "\"").when(F.endswith(lead, F.lit("'")), "'").otherwise(" ")
     prose = F.concat(word(3), F.lit(" "), word(4), F.lit(" "))
     url = F.concat(prose, F.lit("https://"), word(17), F.lit(".example/"), word(18), F.lit("?"), pick(["", "page=3&", "id=7&"], 19))
+    short = F.expr("substring(m, 2, 8 + pmod(id, 7))")
+    sign = pick(["!", "~", ".", "#", "$", "@", "%", "-", "*"], 23)
     genuine = [  # before, candidate, after
         (F.concat(prose, lead), F.substring(wide, 1, 40), tail), (F.concat(prose, lead), F.substring(wide, 5, 32), tail),
         (F.concat(prose, lead), F.substring(wide, 1, 64), tail), (F.concat(prose, lead), F.upper(F.substring(wide, 3, 40)), tail),
@@ -122,7 +139,12 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(prose, lead), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), tail),
         (F.concat(url, pick(["token=", "key=", "access_token=", "api_key=", "auth="], 14)), F.substring(wide, 1, 40), pick(["&", " ", "&page=2 "], 15)),
         (F.concat(url, pick(["token=", "secret=", "access_token=", "api_key="], 14)), F.substring(mixed, 2, 32), pick(["&", " ", "\""], 15)),
-        (F.concat(prose, lead), F.concat(F.substring(mixed, 1, 30), pick(["=", "=="], 16)), tail)]
+        (F.concat(prose, lead), F.concat(F.substring(mixed, 1, 30), pick(["=", "=="], 16)), tail),
+        (F.concat(prose, lead), short, tail), (F.concat(prose, lead), F.concat(F.substring(mixed, 9, 4), sign, F.substring(mixed, 21, 4), sign), tail),
+        (F.concat(prose, lead), F.concat(F.initcap(word(20)), number(2), sign, F.substring(mixed, 31, 3)), tail),
+        (F.concat(prose, lead), F.substring(F.regexp_replace(mixed, "[0-9]", ""), 1, 24), tail),
+        (F.concat(prose, lead), F.concat_ws(".", F.substring(mixed, 1, 12), F.substring(mixed, 13, 12), F.substring(mixed, 25, 12)), tail),
+        (F.concat(prose, lead), F.translate(F.initcap(F.concat(word(21), word(22))), "oeias", "03145"), tail)]
     false = [
         (F.concat(prose, pick(["commit ", "sha1 ", "sha256: ", "checksum: ", "md5 = ", "digest ", "etag \"", "revision "], 5)),
          F.substring(wide, 1, 40), F.lit(" ")),
@@ -138,12 +160,18 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(url, pick(["id=", "session=", "etag=", "order=", "v="], 14)), F.substring(wide, 1, 32), pick(["&", " ", "&page=2 "], 15)),
         (F.concat(url, pick(["id=", "order=", "call="], 14)), number(18), pick(["&", " "], 15)),
         (prose, F.concat_ws("_", word(7), pick(["api_key", "token", "secret", "password", "access_key"], 1), word(8), number(3)),
-         F.concat(pick([" = \"", "=", ": "], 2), F.substring(mixed, 5, 30), F.lit(" ")))]
+         F.concat(pick([" = \"", "=", ": "], 2), F.substring(mixed, 5, 30), F.lit(" "))),
+        (F.concat(prose, lead), word(20), tail), (F.concat(prose, lead), F.concat(word(20), pick(["_", "-", "."], 24), word(21)), tail),
+        (F.concat(prose, lead), pick(["required", "changeme", "optional", "undefined", "placeholder", "redacted", "************", "xxxxxxxx", "xxxxxxxxxxxx",
+                                      "your_password", "your-token", "your_key_here", "${PASSWORD}", "example123", "process.env.TOKEN", "config.secret",
+                                      "settings.password", "forgotten", "something", "expired", "missing"], 25), tail),
+        (F.concat(prose, pick(["the key: ", "a token: ", "private: ", "access: ", "secret: ", "password: "], 26)),
+         pick(["because", "whatever", "between", "nothing", "everyone", "together", "remember", "morning", "without", "another"], 27), F.concat(F.lit(" "), word(28)))]
     sides = [(1.0, kind) for kind in genuine] + [(0.0, kind) for kind in false]
     parts = [rows.filter(F.pmod("id", F.lit(len(sides))) == k).select(
         before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(y).alias("genuine"))
         for k, (y, (before, candidate, after)) in enumerate(sides)]
-    return reduce(DataFrame.union, parts).filter((F.length("candidate") >= LEAST_LENGTH) & F.col("candidate").rlike("[0-9]"))
+    return reduce(DataFrame.union, parts)
 
 
 def cut(findings: DataFrame) -> DataFrame:
@@ -175,7 +203,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc, position, before, candidate, after): every run of key characters with the text beside it."""
     text = F.col(text_col).cast("string")
     found, between = F.regexp_extract_all(text, F.lit(KEY), F.lit(0)), F.split(text, KEY)
-    pieces = BESIDE // LEAST_LENGTH + 1  # so many candidates at most reach into the text beside another
+    pieces = BESIDE // LEAST_ANNOUNCED + 1  # so many candidates at most reach into the text beside another
 
     def joined(parts: Column) -> Column:
         return F.array_join(parts, "")
@@ -188,6 +216,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.zip_with(F.slice(p["between"], F.lit(1), n), p["found"], lambda b, c: F.right(F.concat(b, c), F.lit(BESIDE))).alias("tails"),
             F.zip_with(p["found"], F.slice(p["between"], F.lit(2), n), lambda c, b: F.left(F.concat(c, b), F.lit(BESIDE))).alias("heads"))
 
+    def parted(p: Column) -> Column:
+        """The lead of an announced candidate belongs to the text before it."""
+        lead = F.transform(p["found"], lambda c: F.regexp_extract(c, f"^{LEAD}(?={VALUE}$)", 0))
+        n = F.size(p["found"])
+        return F.struct(
+            F.zip_with(p["found"], lead, lambda c, l: F.substring(c, F.length(l) + 1, F.length(c))).alias("found"),
+            F.concat(F.zip_with(F.slice(p["between"], F.lit(1), n), lead, lambda b, l: F.concat(b, l)), F.slice(p["between"], n + 1, F.lit(1))).alias("between"))
+
     def beside(p: Column) -> Column:
         first = lambda i: F.greatest(i - pieces, F.lit(0))
         return F.transform(p["found"], lambda c, i: F.struct(
@@ -196,7 +232,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.left(F.concat(F.get(p["between"], i + 1), joined(F.slice(p["heads"], i + 2, F.lit(pieces)))), F.lit(BESIDE)).alias("after")))
 
     # The one-element arrays make what stands in them once, not for every candidate.
-    parts = F.transform(F.array(F.struct(found.alias("found"), between.alias("between"))), ends)
+    parts = F.transform(F.transform(F.array(F.struct(found.alias("found"), between.alias("between"))), parted), ends)
     rows = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.flatten(F.transform(parts, beside))).alias("position", "x"))
     return rows.select("doc", "position", "x.before", "x.candidate", "x.after")
 

@@ -177,6 +177,18 @@ def test_secrets_in_assignments_without_blanks(spark):
     assert len(made) > 5000 and not [c for c in made if "=" in c.rstrip("=")]
 
 
+def test_short_and_letter_only_secrets_after_announcements(spark):
+    lines = ['db password = "Tr0ub4dor3" here', "token: k9Xw2LmQ7vBz end", 'secret: "qWxZvTyPlKmNbHgFdSaJ"', "set api_key=Ab3.x9~Qz!7Lm2 now", '{"password": "hT7!x.Qp2"}',
+             "the words Tr0ub4dor3 and k9Xw2LmQ7vBz alone"]
+    want = {(0, "Tr0ub4dor3"), (1, "k9Xw2LmQ7vBz"), (2, "qWxZvTyPlKmNbHgFdSaJ"), (3, "Ab3.x9~Qz!7Lm2"), (4, "hT7!x.Qp2")}
+    false = [(6, 'password = "required" is shown', "required"), (7, "the key: because of that", "because"), (8, "secret: password = \"Zk4w9QxT\"", None)]
+    docs = spark.createDataFrame(list(enumerate(lines)) + [f[:2] for f in false], "doc_id long, text string")
+    score = {(r["doc"], r["candidate"]): r["score"] for r in secrets.scan(docs).collect()}
+    assert set(score) == want | {(i, c) for i, _, c in false if c} | {(8, "Zk4w9QxT")}
+    assert all(score[x] > 0.5 for x in want), score
+    assert all(score[(i, c)] < 0.5 for i, _, c in false if c), score
+
+
 def brute_neighbours(rows, queries, k=10):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], float)
