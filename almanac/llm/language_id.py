@@ -2,7 +2,7 @@
 
 Every word is a position of the chain, every learned language a state. Emissions come from hashed byte n-grams of the word with
 its borders (those at a border are its affixes) and from a lexicon of whole words; transitions are learned with them. Training
-runs on the driver over a bounded sample (``SAMPLE_ROWS`` labelled rows per language, of at most ``SAMPLE_CHARS`` characters each,
+runs on the driver over a bounded sample (``SAMPLE_ROWS`` distinct labelled texts per language, of at most ``SAMPLE_CHARS`` characters each,
 from which ``SEQUENCES`` chains of ``CHAIN`` words are cut, switching language on the way); labelling runs in Arrow batches over
 whole texts. Forward-backward is exact: a text is cut into blocks, each block becomes one transfer matrix, the matrices are
 chained, and the messages are filled in inside all blocks at once.
@@ -225,11 +225,14 @@ def train(samples: dict[str, list[str]], seed: int = 7) -> Crf:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Crf:
-    """Train on a bounded sample of the labelled rows: per language those with the smallest hash of their text."""
+    """Train on a bounded sample of the labelled texts: per language those with the smallest hash, copies taken once."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("order"))
-    first = Window.partitionBy("lang").orderBy("order", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS)
+    # Copies have one hash, so the sample is drawn from distinct hashes; two texts of one hash would count as one.
+    keys = rows.select("lang", "order").groupBy("lang", "order").agg(F.count(F.lit(1)).alias("copies"))
+    first = Window.partitionBy("lang").orderBy("order")
+    chosen = keys.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS).select("lang", "order", "n")
+    sample = rows.join(F.broadcast(chosen), ["lang", "order"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
     for row in sample.orderBy("lang", "n").select("lang", letters(F.col("text")).alias("words")).collect():
         texts.setdefault(row["lang"], []).append(row["words"])

@@ -41,6 +41,24 @@ def test_code_switching_is_cut_into_runs(spark, sf, docs):
     assert {s["lang"] for s in runs} == {"en", "de"} and min(s["words"] for s in runs) >= 20
 
 
+def test_language_sample_is_drawn_from_distinct_texts(spark, docs):
+    english = [r["text"] for r in docs.filter("lang = 'en' and n_chars < 4000").select("text", "n_chars").distinct().orderBy("text").limit(60).collect()]
+    german = [r["text"] for r in docs.filter("lang = 'de' and n_chars < 4000").select("text", "n_chars").distinct().orderBy("text").limit(40).collect()]
+    order = {t: h for t, h in spark.createDataFrame([(t,) for t in english], "text string").select("text", F.xxhash64("text")).collect()}
+    copied = min(english, key=order.get)  # the first of its language: its copies alone would fill the sample
+    rows = spark.createDataFrame([(t, "en") for t in english] + [(t, "de") for t in german], "text string, lang string").union(
+        spark.range(3000).select(F.lit(copied).alias("text"), F.lit("en").alias("lang")))
+    seen = {}
+    real = L.train
+    try:
+        L.train = lambda samples, *a: seen.update(samples) or real(samples, *a)
+        L.fit(rows)
+    finally:
+        L.train = real
+    assert {lang: len(texts) for lang, texts in seen.items()} == {"en": len(set(english)), "de": len(set(german))}
+    assert len(set(seen["en"])) > 1
+
+
 def test_language_of_odd_rows(odd, none):
     model = L.fit(odd)
     rows = L.labelled(odd, model).collect()
