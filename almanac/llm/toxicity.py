@@ -7,7 +7,9 @@ document's score is a logistic function of the shares of its windows that save a
 saving, calibrated on labelled documents that took no part in the dictionaries; 0.7 is the threshold of a prediction.
 
 Training uses a bounded sample: ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` labelled rows of the learning part (those with the
-smallest hash of the id), of at most ``SAMPLE_CHARS`` characters each. Scoring reads whole texts in Arrow batches.
+smallest hash of the id), of at most ``SAMPLE_CHARS`` characters each. The calibrated log odds are then shifted by
+those of all labels of the learning part less those of the calibration rows, so that the score does not depend on how much of a
+class the sample holds. Scoring reads whole texts in Arrow batches.
 
 Defined results: null and empty texts are scored like any text without a toxic window; when the sample lacks one of the classes
 every score is 0; of several labels for one document the largest counts; rows without id are scored and none of them is held out;
@@ -146,8 +148,9 @@ def without_copies(rows: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes
     return kept
 
 
-def train(sample: list[tuple[str, int]]) -> Toxicity:
-    """Fit on (text, toxic) rows: two of three for the dictionaries, the third to calibrate."""
+def train(sample: list[tuple[str, int]], labelled: dict[int, int] | None = None) -> Toxicity:
+    """Fit on (text, toxic) rows: two of three for the dictionaries, the third to calibrate. ``labelled`` has the numbers of labels 0
+    and 1 that the rows were drawn from, the rows' own if there is none."""
     rows = without_copies([(words_of(text), toxic) for text, toxic in sorted(sample)])
     dictionary, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
     sides = [[words for words, toxic in dictionary if toxic == y] for y in (1, 0)]
@@ -157,6 +160,8 @@ def train(sample: list[tuple[str, int]]) -> Toxicity:
     model = Toxicity(*train_dictionaries(*sides))
     features = model.meter()
     model.weights = logistic(np.array([features(words) for words, _ in rest]), labels)
+    every = labelled or Counter(toxic for _, toxic in sample)
+    model.weights[0] += np.log(every[1] / every[0]) - np.log(labels.sum() / (len(labels) - labels.sum()))
     return model
 
 
@@ -167,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sides = [marked.filter(F.col("mark") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
     chosen = F.broadcast(sides[0].union(sides[1]))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    return train([(r["text"], r["mark"]) for r in texts.join(chosen, "id").select("text", "mark").collect()])
+    labelled = {r["mark"]: r["n"] for r in marked.filter(F.col("mark").isin(0, 1)).groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return train([(r["text"], r["mark"]) for r in texts.join(chosen, "id").select("text", "mark").collect()], labelled)
 
 
 def scored(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

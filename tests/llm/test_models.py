@@ -93,6 +93,27 @@ def test_toxicity_query_on_held_out_rows(spark):
     assert np.mean([a > b for a in toxic for b in calm]) > 0.8
 
 
+def test_toxicity_does_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    plain, rude = [f"word{i}" for i in range(300)], ["moron", "loser", "trash", "stupid"]
+    rows = []
+    for i in range(1500):  # a tenth toxic; a rude word stands in most toxic texts and in some others
+        words, toxic = list(rng.choice(plain, 16)), int(i % 10 == 0)
+        if rng.random() < (0.8 if toxic else 0.06):
+            words[5] = str(rng.choice(rude))
+        rows.append((i, " ".join(words), toxic))
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 160)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 1400)
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    large = table.crossJoin(spark.range(10)).select((F.col("doc_id") + 10000 * F.col("id")).alias("doc_id"), "text", "toxic")
+    monkeypatch.setattr(toxicity, "without_copies", lambda sample: sample)
+    small_model = toxicity.fit(table, table)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 240)
+    large_model = toxicity.fit(large, large)
+    mean = [np.mean([r["score"] for r in toxicity.scored(table, m).collect()]) for m in (small_model, large_model)]
+    assert abs(mean[0] - 0.1) < 0.03 and abs(mean[1] - 0.1) < 0.03, mean
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (1, 1), (6, None), (None, 1), (77, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
