@@ -1,12 +1,12 @@
 """Scores of generated reports: a score per row first, then the mean per run. Punctuation is removed before scoring."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from almanac.functions import text
 from almanac.operators.index import lookup_join
@@ -14,6 +14,9 @@ from almanac.operators.training import SCORE_BLOCK, score_windows
 from almanac.schema import NAN
 
 CHUNK = 512
+LCS_BITS = 62
+#: Windows that a scorer with context gets at once.
+WINDOW_BATCH = 1024
 
 
 def _ngram_counts(df: DataFrame, key: str, left: str, right: str, orders: int) -> DataFrame:
@@ -37,26 +40,51 @@ def _f1(hits: Column, left: Column, right: Column) -> Column:
     return F.coalesce(F.try_divide(2 * hits, left + right), F.lit(0.0))
 
 
-def common_length(left: Column, right: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays.
+def common_length(df: DataFrame, row: str, left: str, right: str, bits: int = LCS_BITS) -> DataFrame:
+    """(row, common): length of the longest common subsequence of two token arrays; rows without a common token are left out.
 
-    Bit-parallel rows: one big-integer step per token, so texts of many thousand words stay cheap.
+    Bit-parallel: bit j of a row of bits is 0 where the subsequence grows at token j of the right side, and one token of the left
+    side moves the row on by ``(v + (v & m)) | (v & ~m)`` for the mask m of its places. The row is kept in blocks of ``bits`` bits
+    with a carry between them; blocks are shorter than a long, so no sum overflows. Masks are partial aggregates over exploded
+    tokens, the walk is one fold per row. Everything is partitioned by ``row``, which must be unique, and shuffled once.
     """
-    def length(a, b) -> int:
-        where: dict = {}
-        for i, token in enumerate(b):
-            where[token] = where.get(token, 0) | (1 << i)
-        full = (1 << len(b)) - 1
-        row = full
-        for token in a:
-            hit = row & where.get(token, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return len(b) - row.bit_count()
+    whole = (1 << bits) - 1
 
-    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([length(x, y) for x, y in zip(a, b)], dtype="int64")
+    def tokens(name: str, side: int) -> Column:
+        return F.transform(F.col(name), lambda t, i: F.struct(F.lit(side).alias("side"), t.alias("token"), i.alias("at")))
 
-    return F.pandas_udf(batch, T.LongType())(left, right)
+    flat = df.select(row, left, right).repartition(row).select(
+        row, F.ceil(F.size(right) / bits).cast("int").alias("_blocks"), F.inline(F.concat(tokens(left, 0), tokens(right, 1))))
+    on_right = F.col("side") == 1
+    bit = F.expr(f"shiftleft(1L, at % {bits})")
+    masks = flat.groupBy(row, "_blocks", "token", "side", F.when(on_right, F.floor(F.col("at") / bits)).otherwise(-1).cast("int").alias("block")).agg(
+        F.bit_or(F.when(on_right, bit)).alias("mask"), F.collect_list(F.when(~on_right, F.col("at"))).alias("at"))
+    words = masks.groupBy(row, "_blocks", "token").agg(
+        F.flatten(F.collect_list("at")).alias("at"), F.sort_array(F.collect_list(F.when(on_right, F.struct("block", "mask")))).alias("masks"))
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+
+    met = F.aggregate("masks", F.array().cast("array<long>"), lambda a, m: F.concat(a, zeros(m["block"] - F.size(a)), F.array(m["mask"])))
+    dense = F.concat(met, zeros(F.col("_blocks") - F.size(met)))
+    steps = words.filter("size(at) > 0 and size(masks) > 0").select(row, "_blocks", dense.alias("masks"), F.explode("at").alias("at"))
+    walk = steps.groupBy(row, "_blocks").agg(F.sort_array(F.collect_list(F.struct("at", "masks"))).alias("steps"))
+
+    def moved(held: Column, step: Column) -> Column:
+        """All blocks after one token; the carry goes from block to block."""
+        start = F.struct(F.array().cast("array<long>").alias("row"), F.lit(0).cast("long").alias("carry"))
+
+        def block(done: Column, pair: Column) -> Column:
+            v, m = pair["v"], pair["m"]
+            total = v + v.bitwiseAND(m) + done["carry"]
+            kept = total.bitwiseAND(F.lit(whole)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
+            return F.struct(F.concat(done["row"], F.array(kept)).alias("row"), F.shiftright(total, bits).alias("carry"))
+
+        return F.aggregate(F.zip_with(held, step["masks"], lambda v, m: F.struct(v.alias("v"), m.alias("m"))), start, block, lambda a: a["row"])
+
+    ones = F.array_repeat(F.lit(whole).cast("long"), F.col("_blocks"))
+    grown = F.aggregate("steps", ones, moved, lambda v: F.aggregate(v, F.lit(0), lambda n, x: n + bits - F.bit_count(x)))
+    return walk.select(row, grown.cast("long").alias("common"))
 
 
 def _tokenized(df: DataFrame, key: str, prediction: str, label: str, tokens: Callable[[Column], Column]) -> DataFrame:
@@ -74,9 +102,15 @@ def rouge_ngrams(df: DataFrame, key: str, prediction: str, label: str, letters:
 
 
 def rouge_l(df: DataFrame, key: str, prediction: str, label: str, letters: str = "a-z0-9") -> DataFrame:
-    """(key, rouge_l): F1 of the longest common subsequence."""
-    pairs = _tokenized(df, key, prediction, label, lambda c: text.rouge_tokens(c, letters))
-    return pairs.select(key, _f1(common_length(F.col("_p"), F.col("_l")), F.size("_p"), F.size("_l")).alias("rouge_l"))
+    """(key, rouge_l): F1 of the longest common subsequence, one row per distinct (key, prediction, label) and copy of it."""
+    def tokens_of(c: str, letters: str) -> Column:
+        return text.rouge_tokens(text.remove_punctuation(c), letters)
+
+    rows = df.groupBy(key, F.col(prediction).alias("_p"), F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumns({"_row": F.sha2(F.to_json(F.struct(key, "_p", "_l")), 256), "_p": tokens_of("_p", letters), "_l": tokens_of("_l", letters)})
+    lengths = common_length(rows, "_row", "_p", "_l")
+    score = _f1(F.coalesce("common", F.lit(0)), F.size(F.coalesce("_p", F.array())), F.size(F.coalesce("_l", F.array())))
+    return rows.join(lengths, "_row", "left").select(key, score.alias("rouge_l"), F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("col")
 
 
 def bleu(df: DataFrame, key: str, prediction: str, label: str, orders: int = 4) -> DataFrame:
@@ -170,6 +204,32 @@ def window_score(df: DataFrame, run: str, key: str, ids: str, scorer: Callable[[
     return per_record.groupBy(run).agg(F.avg("_s").alias("mean_score"))
 
 
+def context_window_score(
+    df: DataFrame, run: str, key: str, ids: str, context: str, scorer: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = SCORE_BLOCK,
+) -> DataFrame:
+    """(run, mean_score): mean over a run's records of the mean score of their windows, each scored beside the record's context.
+
+    ``scorer(context, windows)`` is the plug-in: it gets the context ids of one record once and a (windows, block) matrix of
+    ids, at most ``WINDOW_BATCH`` rows at a time, and returns a score per window. A record shorter than a block is one window of
+    its length, a null context is empty; a score that is NaN counts for nothing, and a record without any score is left out.
+    """
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = []
+            for own, beside in zip(batch.column(2), batch.column(3)):
+                own, beside = (np.array(x.as_py() or [], np.int64) for x in (own, beside))
+                windows = np.lib.stride_tricks.sliding_window_view(own, block) if len(own) >= block else own[None]
+                found = np.concatenate([np.asarray(scorer(beside, windows[a:a + WINDOW_BATCH]), np.float64) for a in range(0, len(windows), WINDOW_BATCH)])
+                found = found[~np.isnan(found)]
+                means.append(float(found.mean()) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(means, pa.float64())], names=[run, key, "score"])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = df.select(run, key, F.col(ids).cast("array<long>"), F.col(context).cast("array<long>"))
+    scored = rows.mapInArrow(score, f"`{run}` {types[run]}, `{key}` {types[key]}, score double")
+    return scored.groupBy(run).agg(F.avg("score").alias("mean_score"))
+
+
 def per_run(scores: DataFrame, run: str, *names: str) -> DataFrame:
     """Means of the named figures over the pairs of every run."""
     return scores.groupBy(run).agg(*[F.avg(n).alias(n) for n in names])

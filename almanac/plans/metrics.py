@@ -1,5 +1,6 @@
 """Evaluation metrics (J4-J13)."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -26,6 +27,11 @@ def pairs(spark, sf):
     return user.join(answer, ["conv_id", "turn"]).select(key.alias("key"), "prediction", "label")
 
 
+def _run(key):
+    """The pairs of conversations fall into runs by their number."""
+    return (F.substring_index(key, "-", 1).cast("bigint") % 3).cast("string")
+
+
 def _grams(orders: int) -> str:
     parts = []
     for n in range(1, orders + 1):
@@ -49,7 +55,12 @@ def j4(spark, sf):
     return scores.select("key", F.round("rouge_1", 6).alias("rouge_1"), F.round("rouge_2", 6).alias("rouge_2"))
 
 
-@BOOK.add("J4_rouge_l")
+# One row of the table of common subsequences per token of the prediction; an entry is the largest so far in its row.
+@BOOK.add("J4_rouge_l", PAIRS.replace("WITH", "WITH RECURSIVE") + f"tok AS (SELECT key, {_ROUGE.format('p')} AS pt, {_ROUGE.format('l')} AS lt FROM pairs), " + """
+walk AS (SELECT key, 0 AS i, pt, lt, list_transform(lt, lambda w: 0) AS best FROM tok
+  UNION ALL SELECT key, i + 1, pt, lt, list_transform(range(1, len(lt) + 1), lambda j: list_max(list_transform(lt[1:j], lambda w, k:
+    CASE WHEN w = pt[i + 1] THEN greatest(best[k], coalesce(best[k - 1], 0) + 1) ELSE best[k] END))) FROM walk WHERE i < len(pt))
+SELECT key, round(coalesce(2.0 * best[len(lt)] / nullif(len(pt) + len(lt), 0), 0.0), 6) AS rouge_l FROM walk WHERE i = len(pt)""")
 def j4_l(spark, sf):
     return M.rouge_l(pairs(spark, sf), "key", "prediction", "label").withColumn("rouge_l", F.round("rouge_l", 6))
 
@@ -144,6 +155,39 @@ def j10(spark, sf):
     return _r(M.window_score(rows, "run", "key", "ids", _share_of_long), "mean_score")
 
 
+def _overlap(context: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Stand-in for a classifier that sees the context: share of a window's ids that occur in it."""
+    return np.isin(windows, context).mean(axis=1) if windows.size else np.full(len(windows), np.nan)
+
+
+def _answer_ids(spark, sf):
+    """Answers as word lengths, beside them the question's as context; runs by conversation."""
+    lengths = [F.transform(T.words(c), lambda w: F.length(w).cast("bigint")).alias(n) for c, n in (("prediction", "ids"), ("label", "context"))]
+    return pairs(spark, sf).select("key", _run("key").alias("run"), *lengths)
+
+
+_LENGTHS = r"list_transform(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''), lambda w: len(w))"
+_RUN_SQL = "CAST(CAST(split_part(key, '-', 1) AS BIGINT) % 3 AS VARCHAR)"
+_WINDOWS = f"""
+SELECT run, round(avg(v), 5) AS mean_score FROM (SELECT run, key, avg(v) AS v FROM (
+  SELECT run, key, ids[s + 1:s + 20] AS w, context FROM (SELECT *, unnest(range(0, greatest(len(ids) - 19, 1))) AS s
+    FROM (SELECT key, {_RUN_SQL} AS run, {_LENGTHS.format('p')} AS ids, {_LENGTHS.format('l')} AS context FROM (SELECT u.conv_id || '-' || u.turn AS key, a.text AS p, u.text AS l
+      FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')))
+) AS t, LATERAL (SELECT len(list_filter(w, lambda x: VALUE_OF)) / CAST(nullif(len(w), 0) AS DOUBLE) AS v) GROUP BY ALL) GROUP BY run"""
+
+
+@BOOK.add("J10_window_score_context", _WINDOWS.replace("VALUE_OF", "list_contains(context, x)"))
+def j10_context(spark, sf):
+    scores = M.context_window_score(_answer_ids(spark, sf), "run", "key", "ids", "context", _overlap)
+    return scores.withColumn("mean_score", F.round("mean_score", 5))
+
+
+@BOOK.add("J10_answer_windows", _WINDOWS.replace("VALUE_OF", "x > 4"))
+def j10_answers(spark, sf):
+    scores = M.window_score(_answer_ids(spark, sf), "run", "key", "ids", _share_of_long)
+    return scores.withColumn("mean_score", F.round("mean_score", 5))
+
+
 def _chosen(spark, sf):
     return M.metric_rows({"CityAppearance": j7(spark, sf), "TemperatureCorrectness": j8(spark, sf), "TemperatureRange": j9(spark, sf)}, "run")
 
@@ -154,13 +198,8 @@ UNION ALL SELECT run, 'TemperatureCorrectness', 'accuracy', accuracy FROM ({_TEM
 UNION ALL SELECT run, 'TemperatureRange', 'mean_score', mean_score FROM ({_RANGE_SQL})"""
 
 
-# The pairs of conversations fall into runs by their number.
-_RUN_SQL = "CAST(CAST(split_part(key, '-', 1) AS BIGINT) % 3 AS VARCHAR)"
-
-
 def _per_run(scores, *names):
-    number = F.substring_index("key", "-", 1).cast("bigint")
-    return M.per_run(scores.withColumn("run", (number % 3).cast("string")), "run", *names)
+    return M.per_run(scores.withColumn("run", _run("key")), "run", *names)
 
 
 def _mean_sql(query: str, *names: str) -> str:
@@ -174,6 +213,11 @@ def j4_run(spark, sf):
     return means.select("run", *[F.round(n, 5).alias(n) for n in ("rouge_1", "rouge_2")])
 
 
+@BOOK.add("J4_rouge_l_per_run", _mean_sql("J4_rouge_l", "rouge_l"))
+def j4_l_run(spark, sf):
+    return _per_run(j4_l(spark, sf), "rouge_l").withColumn("rouge_l", F.round("rouge_l", 5))
+
+
 @BOOK.add("J5_bleu_per_run", _mean_sql("J5_bleu", "bleu"))
 def j5_run(spark, sf):
     return _per_run(j5(spark, sf), "bleu").withColumn("bleu", F.round("bleu", 5))
@@ -187,13 +231,33 @@ def j6_run(spark, sf):
     return means.select("run", *[F.round(n, 5).alias(n) for n in names])
 
 
-@BOOK.add("J11_pair_metric_rows", f"""
-SELECT run, 'ROUGE' AS metric, 'rouge_1' AS name, rouge_1 AS value FROM ({BOOK.oracles['J4_rouge_per_run']})
-UNION ALL SELECT run, 'ROUGE', 'rouge_2', rouge_2 FROM ({BOOK.oracles['J4_rouge_per_run']})
-UNION ALL SELECT run, 'BLEU', 'bleu', bleu FROM ({BOOK.oracles['J5_bleu_per_run']})
-UNION ALL SELECT run, 'GreedyMatch', unnest(['precision', 'recall', 'f1']), unnest([precision, recall, f1]) FROM ({BOOK.oracles['J6_match_per_run']})""")
+def _figures_sql(metric: str, query: str, *names: str) -> str:
+    each = " UNION ALL ".join(f"SELECT run, '{metric}' AS metric, '{n}' AS name, {n} AS value FROM figures" for n in names)
+    return f"SELECT * FROM (WITH figures AS MATERIALIZED ({BOOK.oracles[query]}) {each})"
+
+
+_PAIR_ROWS = " UNION ALL ".join(_figures_sql(*f) for f in (
+    ("ROUGE", "J4_rouge_per_run", "rouge_1", "rouge_2"), ("ROUGE", "J4_rouge_l_per_run", "rouge_l"), ("BLEU", "J5_bleu_per_run", "bleu"),
+    ("GreedyMatch", "J6_match_per_run", "precision", "recall", "f1"), ("WindowScore", "J10_answer_windows", "mean_score"),
+    ("WindowScoreContext", "J10_window_score_context", "mean_score")))
+
+
+def _pair_rows(spark, sf):
+    rouge = j4_run(spark, sf).join(j4_l_run(spark, sf), "run", "full")
+    return M.metric_rows({"ROUGE": rouge, "BLEU": j5_run(spark, sf), "GreedyMatch": j6_run(spark, sf), "WindowScore": j10_answers(spark, sf),
+                          "WindowScoreContext": j10_context(spark, sf)}, "run")
+
+
+@BOOK.add("J11_pair_metric_rows", _PAIR_ROWS)
 def j11_pairs(spark, sf):
-    return M.metric_rows({"ROUGE": j4_run(spark, sf), "BLEU": j5_run(spark, sf), "GreedyMatch": j6_run(spark, sf)}, "run")
+    return _pair_rows(spark, sf)
+
+
+@BOOK.add("J11_pair_report", f"""
+SELECT run, '{{' || string_agg('"' || metric || '":{{' || figures || '}}', ',' ORDER BY metric) || '}}' AS report FROM (
+  SELECT run, metric, string_agg('"' || name || '":' || CAST(value AS VARCHAR), ',' ORDER BY name) AS figures FROM ({_PAIR_ROWS}) GROUP BY ALL) GROUP BY run""")
+def j11_pair_report(spark, sf):
+    return M.metric_report(_pair_rows(spark, sf), "run")
 
 
 @BOOK.add("J11_metric_rows", PREDICTIONS + _ROWS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from almanac.functions import text as T
 from almanac.operators import metrics as M
 from almanac.operators import similarity as S
+from almanac.operators.postings import Postings, best
 
 
 def brute_force(texts):
@@ -35,20 +36,43 @@ def test_similarity_equals_brute_force(spark, block_rows):
             assert got[k] == pytest.approx(expected[k].mean(), abs=1e-9)
 
 
-def test_tiles_give_the_same_as_one_product():
-    import pandas as pd
-
+def test_postings_find_all_above_the_floor():
     rng = np.random.default_rng(5)
-    rows = [{"signature": f"s{i:03d}", "copies": int(rng.integers(1, 4)), "block": i % 2,
-             "terms": np.sort(rng.choice(40, rng.integers(0, 9), replace=False)), "weights": None} for i in range(50)]
-    for r in rows:
-        r["weights"] = rng.random(len(r["terms"]))
-    pdf = pd.DataFrame(rows)
-    whole, tiled = S._best_of_blocks(50, tile=100), S._best_of_blocks(50, tile=4)
-    for block in ((0, 0), (0, 1)):
-        part = pdf if block == (0, 1) else pdf[pdf["block"] == 0]
-        a, b = (f(block, part).sort_values(["signature", "other"]).reset_index(drop=True) for f in (whole, tiled))
-        pd.testing.assert_frame_equal(a, b)
+    dense = rng.random((80, 60)) * (rng.random((80, 60)) < 0.15) * rng.choice([0.05, 1.0], 60)
+    sparse = [(np.flatnonzero(r), r[r > 0]) for r in dense]
+    index = Postings([t for t, _ in sparse[:50]], [w for _, w in sparse[:50]])
+    whole = dense @ dense[:50].T
+    stopped = 0
+    for i, (t, w) in enumerate(sparse):
+        for floor in (0.0, 0.1, 0.5, 1.5, 9.0):
+            rows, scores = index.above(t, w, floor)
+            assert rows.tolist() == np.flatnonzero(whole[i] > floor).tolist() and np.allclose(scores, whole[i][rows])
+            stopped += not len(rows)
+    assert stopped and not len(Postings([], []).above(np.array([1]), np.array([1.0]), 0.0)[0])
+    top, floor = best(np.array([0.2, 0.9, 0.5]), np.array([1, 2, 5]), 4)
+    assert top.tolist() == [1, 2] and floor == 0.5 and best(np.zeros(0), np.zeros(0, int), 3)[1] == 0.0
+
+
+def test_similarity_shuffles_less_than_the_square(spark):
+    """Rows that travel between blocks, for a number of distinct vectors and for ten times as many."""
+    sent = []
+    for n in (1000, 10_000):
+        distinct = spark.range(n).select(F.concat(F.lit("s"), F.lpad("id", 8, "0")).alias("signature"), (F.col("id") % 7).alias("lead"))
+        placed, blocks = S.blocked(distinct)
+        assert placed.count() == n and placed.select("block").distinct().count() == blocks
+        sent.append(n * (blocks - 1))
+    assert sent[1] <= 40 * sent[0]
+
+
+def test_corpus_similarity_is_the_mean_over_reports(spark):
+    texts = ["a b c", "a b d", "b c d e", "x y", "a b c", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    sims = np.sort(brute_force(texts), axis=1)
+    row = S.corpus_similarity(df, "k", F.col("t"), 2).first()
+    assert row["reports"] == 6 and row["mean_similarity"] == pytest.approx(sims[:, -3:-1].mean(), abs=1e-12)
+    none = df.filter("k < 0")
+    assert S.corpus_similarity(none, "k", F.col("t"), 2).first().asDict() == {"reports": 0, "mean_similarity": None}
+    assert S.nearest_similarities(none, "k", F.col("t"), 2).count() == 0
 
 
 def longest_common(a, b):
@@ -61,12 +85,38 @@ def longest_common(a, b):
     return row[-1]
 
 
-def test_common_length_equals_brute_force(spark):
+@pytest.mark.parametrize("bits", [62, 3])
+def test_common_length_equals_brute_force(spark, bits):
     rng = random.Random(2)
-    pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 90))], [rng.choice("abcd") for _ in range(rng.randint(0, 90))]) for _ in range(60)]
-    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
-    for r in df.select("a", "b", M.common_length(F.col("a"), F.col("b")).alias("n")).collect():
-        assert r["n"] == longest_common(r["a"], r["b"])
+    pairs = [(i, [rng.choice("abcd") for _ in range(rng.randint(0, 90))], [rng.choice("abcd") for _ in range(rng.randint(0, 200))]) for i in range(60)]
+    pairs += [(60, ["a"] * 130, ["a"] * 190), (61, None, ["a"]), (62, ["a"], None), (63, ["a"], ["b"]), (64, list("abc") * 60, list("cba") * 70)]
+    df = spark.createDataFrame(pairs, "k int, a array<string>, b array<string>")
+    got = {r["k"]: r["common"] for r in M.common_length(df, "k", "a", "b", bits).collect()}
+    for k, a, b in pairs:
+        assert got.get(k, 0) == longest_common(a or [], b or [])
+
+
+def test_rouge_l_keeps_rows_with_one_key_apart(spark):
+    rows = [(1, "a b c", "a b c"), (1, "a b c", "a b c"), (1, "x", "a"), (None, "a b", "b"), (2, None, "b"), (3, "b", None)]
+    df = spark.createDataFrame(rows, "k int, p string, l string")
+    got = sorted((str(r["k"]), round(r["rouge_l"], 4)) for r in M.rouge_l(df, "k", "p", "l").collect())
+    assert got == [("1", 0.0), ("1", 1.0), ("1", 1.0), ("2", 0.0), ("3", 0.0), ("None", 0.6667)]
+
+
+def test_scorer_sees_the_context_of_its_record(spark):
+    rows = [("a", 1, list(range(30)), [3, 4, 25]), ("a", 2, [7, 8], [8]), ("b", 3, [1, 1, 1], None), ("b", 4, [], [1]), ("c", 5, None, [1])]
+    df = spark.createDataFrame(rows, "run string, k int, ids array<bigint>, context array<bigint>")
+
+    def score(context, windows):
+        assert windows.ndim == 2
+        return np.isin(windows, context).mean(axis=1) if windows.size else np.full(len(windows), np.nan)
+
+    def plain(ids, context):
+        windows = [ids[i:i + 20] for i in range(max(1, len(ids) - 19))]
+        return np.mean([np.mean([t in context for t in w]) for w in windows])
+
+    got = {r["run"]: r["mean_score"] for r in M.context_window_score(df, "run", "k", "ids", "context", score).collect()}
+    assert got["a"] == pytest.approx((plain(rows[0][2], rows[0][3]) + 0.5) / 2) and got["b"] == 0.0 and got["c"] is None
 
 
 def test_rouge_and_bleu(spark):
