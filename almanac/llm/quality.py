@@ -56,7 +56,8 @@ def _blank_table() -> np.ndarray:
 
 def features(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row, place) arrays of the features of a text: the row of the table and the byte at which the feature stands. Words are runs
-    between blanks; an n-gram may begin or end with a blank but has none inside."""
+    between blanks; an n-gram may begin or end with a blank, but not both (that is a whole word, which is counted already), and has
+    none inside."""
     text = _blank_table()[np.frombuffer(b" " + data + b" ", np.uint8)]
     n = len(text)
     blank = text == 32
@@ -73,7 +74,6 @@ def features(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
         if order > 2:  # the byte before the last has become an inner one
             inside = inside[:length] | blank[order - 2:n - 1]
         if order in ORDERS:
-            # Of two bytes at least one is no blank.
             place = np.flatnonzero(~(inside[:length] | (blank[:length] & blank[order - 1:])))
             found.append((((code[place] ^ (code[place] >> np.uint32(15))) * np.uint32(0x9E3779B1) >> shift).astype(np.int32), place))
     starts = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
