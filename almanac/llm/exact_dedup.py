@@ -9,8 +9,10 @@ folder; an update writes new ones, so a lost task repeats itself on unchanged in
 Before a row travels it is summed with its copies per (digest, salt), so a digest that holds a third of all documents is at
 most ``SALTS`` rows, and a shard holds about ``SHARD_DIGESTS`` digests at any input size.
 
-Defined results: a null text counts as empty; a row without id cannot be named and takes no part; rows repeated with equal id
-and text are one document; an empty table gives an empty result; other columns are not read.
+Defined results: a null text counts as empty; in ``exact_groups`` a row without id cannot be named and takes no part, while
+``drop_copies`` ranks it below every id, so that of equal texts without any id one stays; rows repeated with equal id and text are
+one document; rows with one id and different texts are documents of their own; very long texts travel as digests until the rows that
+stay are chosen; an empty table gives an empty result; other columns, whatever their names, are kept and not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.common import BOOK, LOWER, UPPER, ascii_lower, read
@@ -29,6 +31,8 @@ SALTS = 8
 SHARD_DIGESTS = 100_000
 SLOTS = 4
 KICKS = 500
+#: Stands for a missing id among those that are compared.
+NO_ID = -(1 << 63)
 CONTENT = "shard int, digest binary, live long, keep long"
 FILTER = "shard int, buckets long, slots binary"
 
@@ -176,37 +180,47 @@ class CuckooIndex:
         return hit.join(self.content.select("digest", "live"), "digest")
 
 
+def text_digest(text_col: str = "text") -> Column:
+    """SHA-256 of the text after lower-casing A-Z; null counts as empty."""
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, digest) of every document: SHA-256 of the text after lower-casing A-Z."""
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-    return rows.filter(F.col("doc").isNotNull()).dropDuplicates(["doc", "digest"])
+    """(doc, digest) of every document; rows without id have one row per digest."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_digest(text_col).alias("digest")).dropDuplicates(["doc", "digest"])
+
+
+def _index(rows: DataFrame) -> CuckooIndex:
+    spark = rows.sparkSession
+    shards = max(1, math.ceil(rows.count() / SHARD_DIGESTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return CuckooIndex(spark, shards).insert(rows)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, digest, live, keep): every document with the size of its group and the document of it that stays."""
-    spark = docs.sparkSession
-    rows = written(digests(docs, id_col, text_col), "digests")
-    shards = max(1, math.ceil(rows.count() / SHARD_DIGESTS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = CuckooIndex(spark, shards).insert(rows)
+    rows = written(digests(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "digests")
     # The groups are a written table, so a hot digest is an ordinary skewed side that adaptive execution splits.
-    return rows.join(index.content.select("digest", "live", "keep"), "digest")
+    return rows.join(_index(rows).content.select("digest", "live", "keep"), "digest")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without exact copies: of each group the row with the largest id stays, once."""
-    return keep_rows(docs, exact_groups(docs, id_col, text_col).filter("doc = keep").select("doc"), id_col)
+    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    named = docs.select(rank.alias("doc"), F.col(text_col).alias("text"))
+    content = _index(written(digests(named, "doc"), "digests")).content
+    return keep_rows(docs, {"digest": text_digest(text_col), "doc": rank}, content.select("digest", F.col("keep").alias("doc")))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept.doc``, each id once. The join leaves the rows sorted by id, so the choice among
-    repeated rows needs no further shuffle."""
+def keep_rows(docs: DataFrame, key: dict[str, Column], kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key``, columns that are never null, is in ``kept``, each key once. The join leaves the rows dealt by
+    key, so the choice among repeated rows, by a hash of the whole row, needs no further shuffle."""
     from pyspark.sql import Window
 
     columns = [f"`{c}`" for c in docs.columns]
-    plain = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("doc"))
-    once = plain.join(kept.hint("merge"), "doc", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("doc")))
-    return once.filter("n = 1").select("row.*")
+    plain = docs.select(F.struct(*columns).alias("row"), *[c.alias(n) for n, c in key.items()])
+    hashed = F.xxhash64(*[F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    once = F.row_number().over(Window.partitionBy(*key).orderBy(hashed))
+    return plain.join(kept.hint("merge"), list(key), "left_semi").withColumn("n", once).filter("n = 1").select("row.*")
 
 
 @BOOK.add("op10_exact_dedup", f"""

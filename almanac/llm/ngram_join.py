@@ -8,16 +8,21 @@ agree; each set then leaves out its 2c lightest ones (by elements, then hash), a
 emitted by both. This keeps out the subsets that share little or nothing and would bring unrelated sets together.
 
 *Candidates.* Signatures travel packed by bucket. Sets that share one are linked to the smallest (a star), the stars are
-verified, and the links give first components. Only groups that still hold sets of several components are looked at again, in
-tiles of bounded size inside tasks, by parity sketches: the differing bits are at most as many as the differing shingles, so
-a pair beyond the bound is no link, and no other pair of a group becomes a row. So no link between different sets is lost.
+verified (after a look at parity sketches: the differing bits are at most as many as the differing shingles), and the links give first
+components. Only groups that still hold sets of several components are looked at again, in tiles of bounded size inside tasks: all
+pairs of a tile that lie in different components are compared exactly by counting, over postings of the tile's shingles, and of the links
+found only those that join two components leave the task. So no link between different components is lost, and a tile returns
+fewer rows than it has members, however many pairs just miss the threshold.
 
 *Skew.* Equal sets of one batch are one set before anything travels, sets that share a signature within a batch send it
-once, equal sets meet by digest with partial aggregates, stars are joins of written tables, groups come in tiles.
+once, equal sets meet by digest with partial aggregates, stars are joins of written tables, groups come in tiles bounded by
+members and bytes.
 
 Defined results: a text with fewer words than a shingle is one shingle; null texts and texts without words have the empty set and
 are linked with nothing; rows without id take no part; rows repeated with one id are one document (its size is that of the
-smallest set, should they differ); an empty table gives an empty result; other columns are not read. Shingles are compared by 64-bit hashes.
+smallest set, should they differ), but ``drop_near_copies`` names every row by id and text and so takes rows without id and rows of one
+id with different texts each for themselves; very long texts are whole sets like others; an empty table gives an empty result; other
+columns are not read. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,13 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import BOOK, read
+from almanac.llm.exact_dedup import keep_rows
 from almanac.llm.graph import components
 from almanac.storage import written
 
 WORDS = 4
 PERCENT = 85
-TILE = 512
-TASK_TILES = 64
+#: Members and bytes of shingles on one side of a tile; tiles of few members are dealt to tasks by the portion.
+TILE = 1024
+TILE_BYTES = 8 << 20
+FEW_MEMBERS = 64
+TASK_BYTES = 8 << 20
 BUCKET_SIGNATURES = 1_500_000
 SIGNATURES_PER_SHINGLE = 0.45
 PORTION = 4 << 20
@@ -291,10 +300,36 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(_with(near, sets, "content").filter(is_link("own", "its")).select(*names), "links-found")
 
 
-def _tile_pairs(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """(low, member, low_n, member_n) of different components whose sketches allow a link, in the groups (code, member, n, root;
-    main, main_blocks, rest_blocks). The members of a group's largest component meet the rest, block by block, but not each other;
-    the rest meet among themselves too. These tiles are dealt over ``tasks`` groups of rows."""
+def tile_forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (low, high) between the sets of a tile that join different components, as few as there are components less one.
+    Exact: the shingles that a set shares with each other set are counted over the postings of the tile."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    held, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    _, part = np.unique(roots, return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    found = []
+    for y in range(len(sets)):
+        if (part == part[y]).all():
+            continue
+        mine = code[starts[y]:starts[y + 1]]
+        length = at[mine + 1] - at[mine]
+        place = np.repeat(at[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        both = np.bincount(held[place], minlength=len(sets))
+        linked = np.flatnonzero((100 * both >= percent * (sizes + sizes[y] - both)) & (part != part[y]))
+        for x in linked:
+            if part[x] != part[y]:
+                found.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                part[part == part[x]] = part[y]
+    return found
+
+
+def _tile_links(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(low, member) that join different components, in the groups (code, member, n, root; main, main_blocks, rest_blocks, members). The
+    members of a group's largest component meet the rest, block by block, but not each other; the rest meet among themselves
+    too. Tiles of small groups are dealt over ``tasks`` groups of rows, each larger one is a group of its own."""
     main = F.col("root") == F.col("main")
     block = F.pmod(F.xxhash64("member"), F.when(main, F.col("main_blocks")).otherwise(F.col("rest_blocks")))
 
@@ -308,37 +343,24 @@ def _tile_pairs(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) ->
     with_main = F.transform(upto("main_blocks"), lambda k: tile("main", b, k))
     with_rest = F.transform(upto("rest_blocks"), lambda j: tile("rest", F.least(b, j), F.greatest(b, j)))
     tiles = F.when(main, F.transform(upto("rest_blocks"), lambda i: tile("main", i, b))).otherwise(F.concat(with_main, with_rest))
-    rows = groups.withColumn("block", block).select(
-        "code", "member", "n", "root", "block", main.alias("is_main"), F.explode(tiles).alias("t")).select("*", "t.*").drop("t")
-    rows = rows.join(sets.select(F.col("doc").alias("member"), "sketch"), "member")
-
-    def compare(pdf: pd.DataFrame) -> list[tuple]:
-        ids, sizes, root, block, main = (pdf[c].to_numpy() for c in ("member", "n", "root", "block", "is_main"))
-        with_main, within = pdf["kind"].iloc[0] == "main", pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        widths = pdf["sketch"].str.len().to_numpy()
-        bits = {w: np.stack([np.frombuffer(x, np.uint8) for x in pdf["sketch"][widths == w]]) for w in np.unique(widths)}
-        found = []
-        for y in range(len(ids)):
-            own = np.frombuffer(pdf["sketch"].iloc[y], np.uint8)
-            for width in (widths[y], widths[y] // 2):
-                if width in bits:
-                    at = np.flatnonzero(widths == width)
-                    fits = possible(bits[width], sizes[at], own, sizes[y], percent) & (root[at] != root[y])
-                    if with_main:
-                        fits &= main[at] != main[y]
-                    elif not within:
-                        fits &= block[at] != block[y]
-                    if width == widths[y]:
-                        fits &= ids[at] < ids[y]
-                    found += [sorted(((ids[x], sizes[x]), (ids[y], sizes[y]))) for x in at[fits]]
-        return [(a, b, n, m) for (a, n), (b, m) in found]
-
-    def compare_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [pair for _, tile in pdf.groupby(["code", "kind", "i", "j"], sort=False) for pair in compare(tile)]
-        return pd.DataFrame(found, columns=["low", "member", "low_n", "member_n"], dtype="int64")
-
-    dealt = rows.groupBy(F.pmod(F.xxhash64("code", "kind", "i", "j"), F.lit(tasks)))
-    return dealt.applyInPandas(compare_all, "low long, member long, low_n long, member_n long").distinct()
+    rows = groups.withColumn("block", block).select("code", "member", "root", "members", F.explode(tiles).alias("t")).select("*", "t.*").drop("t")
+    rows = rows.join(sets.select(F.col("doc").alias("member"), "content"), "member")
+
+    def compare(batch: pa.Table) -> pa.Table:
+        order = batch.sort_by([(c, "ascending") for c in ("code", "kind", "i", "j", "member")])
+        key = [order[c].to_pylist() for c in ("code", "kind", "i", "j")]
+        ids, roots, content = order["member"].to_numpy(), order["root"].to_numpy(), order["content"]
+        found, start = [], 0
+        for end in range(1, len(ids) + 1):
+            if end == len(ids) or any(k[end] != k[start] for k in key):
+                own = [np.frombuffer(c.as_py(), np.uint64) for c in content.slice(start, end - start)]
+                found += tile_forest(ids[start:end], roots[start:end], own, percent)
+                start = end
+        return pa.table({"low": pa.array([a for a, _ in found], pa.int64()), "member": pa.array([b for _, b in found], pa.int64())})
+
+    where = F.xxhash64("code", "kind", "i", "j")
+    dealt = rows.groupBy(F.when(F.col("members") > FEW_MEMBERS, where).otherwise(F.pmod(where, F.lit(tasks))))
+    return dealt.applyInArrow(compare, "low long, member long")
 
 
 def similar_components(
@@ -374,22 +396,48 @@ def similar_components(
 
     rooted = written(groups.join(roots.withColumnRenamed("node", "member"), "member", "left").select(
         "code", "member", "n", F.coalesce("root", "member").alias("root")), "rooted")
-    by_root = rooted.groupBy("code", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("same"))
+    by_root = rooted.groupBy("code", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("same"))
     open_groups = by_root.groupBy("code").agg(
-        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members"), F.sum("same").alias("same"), F.max(F.struct("n", "root")).alias("main"))
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members"), F.sum("shingles").alias("shingles"), F.sum("same").alias("same"),
+        F.max(F.struct("n", "root", "shingles")).alias("main"))
     open_groups = open_groups.filter("roots > 1").dropDuplicates(["members", "same"])
+
+    def blocks(members: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(members / TILE), F.ceil(8 * shingles / TILE_BYTES)).cast("long")
+
     open_groups = written(open_groups.select(
-        "code", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / TILE).alias("main_blocks"),
-        F.ceil((F.col("members") - F.col("main.n")) / TILE).alias("rest_blocks")), "open-groups")
-    tiles = open_groups.agg(F.sum(F.expr("rest_blocks * main_blocks + rest_blocks * (rest_blocks + 1) / 2"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tiles / TASK_TILES))
-    more = _links(written(_tile_pairs(rooted.join(open_groups, "code"), sets, percent, tasks), "tile-pairs"), sets, percent)
-    roots = components(links.union(more).select(F.col("low").alias("a"), F.col("member").alias("b")))
+        "code", "members", "shingles", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.shingles")).alias("main_blocks"),
+        blocks(F.col("members") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("rest_blocks")), "open-groups")
+    small = open_groups.filter(F.col("members") <= FEW_MEMBERS).agg(F.sum("shingles")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * 8 * small / TASK_BYTES))
+    more = written(_tile_links(rooted.join(open_groups.drop("shingles"), "code"), sets, percent, tasks), "tile-links")
+    roots = components(links.select("low", "member").union(more).select(F.col("low").alias("a"), F.col("member").alias("b")))
 
     return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc", "n", "rep", F.coalesce("root", "rep").alias("root"))
 
 
+def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every component the row with the smallest id stays (without any id, one of its rows), once.
+
+    Rows are named by a hash of id and text, so rows of one id with different texts, and rows without id, are compared each for
+    themselves. The names are checked against a second hash; should two rows share one, the next seed is taken."""
+    parts = [F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))]
+    seed = 0
+    while True:
+        name = F.xxhash64(F.lit(seed), *parts)
+        codes = docs.select(name.alias("name"), F.xxhash64(F.lit("check"), *parts).alias("code")).groupBy("name")
+        if codes.agg(F.min("code").alias("a"), F.max("code").alias("b")).filter("a != b").isEmpty():
+            break
+        seed += 1
+    named = docs.select(name.alias("name"), F.col(text_col).alias("text"))
+    found = similar_components(named, "name", "text", words, percent)
+    ids = docs.select(name.alias("doc"), parts[0].alias("id")).distinct()
+    first = found.join(ids, "doc").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("first"))
+    return keep_rows(docs, {"name": name}, first.select(F.col("first.doc").alias("name")))
+
+
 @BOOK.add("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark, sf_dir):
     found = similar_components(read(spark, sf_dir, "documents"))

@@ -31,7 +31,21 @@ def test_exact_groups_of_odd_rows(odd, none):
 def test_drop_copies_keeps_columns_and_each_id_once(odd):
     kept = X.drop_copies(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5, 7, 8, 9, 10, 11]
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 8, 9, 10, 11]  # 0: the text without an id; the null text is a copy
+
+
+def test_no_text_is_lost_with_ids_that_repeat_or_are_missing(spark):
+    schema = "doc_id long, text string, digest string, doc string, name string"
+    rows = [(1, "aaa"), (1, "bbb"), (2, "aaa"), (None, "unique text"), (None, "unique text"), (None, "AAA"), (3, "bbb"), (3, "bbb"), (-5, None), (None, "")]
+    for order in (1, -1):
+        docs = spark.createDataFrame([(*r, "x", "y", None) for r in rows[::order]], schema)
+        got = sorted(((r["doc_id"] or 0, r["text"]) for r in X.drop_copies(docs).collect()), key=str)
+        assert got == sorted([(2, "aaa"), (3, "bbb"), (0, "unique text"), (-5, None)], key=str)
+        long = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22 w23 w24 w25 w26 w27 w28 w29 w30"
+        near = [(7, long), (8, long + " more"), (8, "another text of its own, kept"), (None, long + " less"), (None, "no id but unique text"), (9, long), (10, ""), (None, None)]
+        docs = spark.createDataFrame([(*r, "x", "y", "z") for r in near[::order]], schema)
+        got = sorted(((r["doc_id"] or 0, r["text"]) for r in J.drop_near_copies(docs, 5, 80).collect()), key=str)
+        assert got == sorted([(7, long), (8, "another text of its own, kept"), (0, "no id but unique text"), (10, ""), (0, None)], key=str)
 
 
 def key(i):
@@ -151,6 +165,64 @@ def test_components_of_odd_rows(odd, none):
     assert J.similar_components(none).count() == 0
 
 
+def test_many_near_misses_leave_a_task_as_few_rows(spark, monkeypatch):
+    """Two thousand texts that share most shingles and pairwise just miss the threshold, some that do not miss it, and small tiles."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(2000):
+        text = list(base)
+        text[20] = f"z{i % 1900}"
+        text[34] = f"y{i if i % 10 else i // 100}"
+        rows.append((i, " ".join(text)))
+    rng.shuffle(rows)
+    seen = []
+    real = J.written
+    monkeypatch.setattr(J, "TILE", 300)
+    monkeypatch.setattr(J, "written", lambda df, label: seen.append((label, real(df, label))) or seen[-1][1])
+    got = {r["doc"]: (r["n"], r["root"]) for r in J.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=78).collect()}
+    found = next(df for label, df in seen if label == "tile-links").count()
+    assert 0 <= found < 2000
+    # Sets of equal size differ by eight or four shingles on each side; only equal third words leave four.
+    assert got == brute_by_postings(rows, 4, 78)
+
+
+def brute_by_postings(rows, words, percent):
+    sets = {i: shingles(t, words) for i, t in rows}
+    ids = sorted(sets)
+    codes = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    m = np.zeros((len(ids), len(codes)), np.float32)
+    for n, i in enumerate(ids):
+        m[n, [codes[s] for s in sets[i]]] = 1
+    both, size = m @ m.T, m.sum(axis=1)
+    linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+    root = list(range(len(ids)))
+    for n in range(len(ids)):
+        low = min(root[k] for k in np.flatnonzero(linked[n]))
+        merged = {root[k] for k in np.flatnonzero(linked[n])}
+        root = [low if r in merged else r for r in root]
+    return {i: (len(sets[i]), ids[root[n]]) for n, i in enumerate(ids)}
+
+
+def test_tile_forest_joins_what_brute_force_joins():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:rng.integers(40, 60)], rng.integers(0, 1 << 62, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(60)]
+    ids, roots = np.arange(60) * 3, rng.integers(0, 20, 60)
+    found = J.tile_forest(ids, roots, sets, 85)
+    part = roots.copy()
+    for a in range(60):
+        for b in range(60):
+            if J.similar(sets[a], sets[b]):
+                part[part == part[a]] = part[b]
+    again = roots.copy()
+    for low, high in found:
+        a, b = low // 3, high // 3
+        assert J.similar(sets[a], sets[b]) and again[a] != again[b]
+        again[again == again[a]] = again[b]
+    assert len(found) < 20 and all((again[a] == again[b]) == (part[a] == part[b]) for a in range(60) for b in range(60))
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 50), (50, 70)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(links).collect()}
