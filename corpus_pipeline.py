@@ -2,7 +2,12 @@
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes what each
 stage returns as Parquet in the shared folder and reads it again as the documents of the next. All stages but the last return
-the columns of ``documents``.
+the columns of ``documents``, extra ones whatever their names included.
+
+Defined results: null texts and texts without a letter are rejected by the first stage. Rows without id stay like others: of equal
+texts the row with the largest id stays and one without id only if there is no other; of near copies the one with the smallest id,
+one without id last. Rows repeated with equal id and text are one document, rows of one id with different texts are several. Very
+long texts go through whole. Ties are broken by hashes of the rows, so a run repeats itself. An empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -34,8 +39,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the one with the
     smallest id."""
-    found = ngram_join.similar_components(docs, words=5, percent=80)
-    return exact_dedup.keep_rows(docs, found.filter("doc = root").select("doc"))
+    return ngram_join.drop_near_copies(docs, words=5, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
