@@ -9,10 +9,11 @@ emitted by both. This keeps out the subsets that share little or nothing and wou
 
 *Candidates.* Signatures travel packed by bucket. Sets that share one are linked to the smallest (a star), the stars are
 verified (after a look at parity sketches: the differing bits are at most as many as the differing shingles), and the links give first
-components. Only groups that still hold sets of several components are looked at again, in tiles of bounded size inside tasks: all
-pairs of a tile that lie in different components are compared exactly by counting, over postings of the tile's shingles, and of the links
-found only those that join two components leave the task. So no link between different components is lost, and a tile returns
-fewer rows than it has members, however many pairs just miss the threshold.
+components. Only groups that still hold sets of several components are looked at again, in tiles of bounded size inside tasks. A
+tile names the pairs from different components whose sketches allow a link; where these are more than its members, it names itself
+instead and is compared in full: by counting over postings of its shingles, exactly, and of the links found only those that join two
+components leave the task. So no link between different components is lost, and no tile returns more rows than it has members,
+however many pairs just miss the threshold.
 
 *Skew.* Equal sets of one batch are one set before anything travels, sets that share a signature within a batch send it
 once, equal sets meet by digest with partial aggregates, stars are joins of written tables, groups come in tiles bounded by
@@ -46,6 +47,7 @@ PERCENT = 85
 TILE = 1024
 TILE_BYTES = 8 << 20
 FEW_MEMBERS = 64
+TILE_KEY = ["code", "kind", "i", "j"]
 TASK_BYTES = 8 << 20
 BUCKET_SIGNATURES = 1_500_000
 SIGNATURES_PER_SHINGLE = 0.45
@@ -326,10 +328,10 @@ def tile_forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], perc
     return found
 
 
-def _tile_links(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """(low, member) that join different components, in the groups (code, member, n, root; main, main_blocks, rest_blocks, members). The
-    members of a group's largest component meet the rest, block by block, but not each other; the rest meet among themselves
-    too. Tiles of small groups are dealt over ``tasks`` groups of rows, each larger one is a group of its own."""
+def _tiles(groups: DataFrame) -> DataFrame:
+    """(code, member, n, root, members, kind, i, j): the rows of the tiles of the groups (code, member, n, root; main, main_blocks,
+    rest_blocks, members). The members of a group's largest component meet the rest, block by block, but not each other; the rest
+    meet among themselves too."""
     main = F.col("root") == F.col("main")
     block = F.pmod(F.xxhash64("member"), F.when(main, F.col("main_blocks")).otherwise(F.col("rest_blocks")))
 
@@ -343,24 +345,79 @@ def _tile_links(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) ->
     with_main = F.transform(upto("main_blocks"), lambda k: tile("main", b, k))
     with_rest = F.transform(upto("rest_blocks"), lambda j: tile("rest", F.least(b, j), F.greatest(b, j)))
     tiles = F.when(main, F.transform(upto("rest_blocks"), lambda i: tile("main", i, b))).otherwise(F.concat(with_main, with_rest))
-    rows = groups.withColumn("block", block).select("code", "member", "root", "members", F.explode(tiles).alias("t")).select("*", "t.*").drop("t")
-    rows = rows.join(sets.select(F.col("doc").alias("member"), "content"), "member")
+    rows = groups.withColumn("block", block).select("code", "member", "n", "root", "members", F.explode(tiles).alias("t"))
+    return rows.select("*", "t.*").drop("t")
+
+
+def _by_tile(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each tile, in the order of the members."""
+    table = table.sort_by([(c, "ascending") for c in (*TILE_KEY, "member")])
+    key = [table[c].to_pylist() for c in TILE_KEY]
+    start = 0
+    for end in range(1, len(table) + 1):
+        if end == len(table) or any(k[end] != k[start] for k in key):
+            yield table.slice(start, end - start)
+            start = end
+
+
+def tile_pairs(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]] | None:
+    """Index pairs of a tile that lie in different components and whose sketches allow a link; None if they are more than the tile has
+    members."""
+    widths = np.array([len(s) for s in sketches])
+    bits = {w: np.stack([np.frombuffer(s, np.uint8) for s in sketches if len(s) == w]) for w in np.unique(widths)}
+    found = []
+    for y in range(len(ids)):
+        own = np.frombuffer(sketches[y], np.uint8)
+        for width in (widths[y], widths[y] // 2):
+            if width in bits:
+                at = np.flatnonzero(widths == width)
+                fits = possible(bits[width], sizes[at], own, sizes[y], percent) & (roots[at] != roots[y])
+                if width == widths[y]:
+                    fits &= ids[at] < ids[y]
+                found += [(x, y) for x in at[fits]]
+        if len(found) > len(ids):
+            return None
+    return found
+
+
+def _candidates(tiles: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Of each tile either the pairs (low, member, low_n, member_n) that may be links or, where these would be more than its members, one
+    row with its name: such a tile is compared in full. Tiles of small groups are dealt over ``tasks`` groups of rows."""
+    rows = tiles.join(sets.select(F.col("doc").alias("member"), "sketch"), "member")
+    numbers = ["low", "member", "low_n", "member_n"]
+    schema = pa.schema([(c, pa.int64()) for c in numbers] + [("code", pa.int64()), ("kind", pa.string()), ("i", pa.int64()), ("j", pa.int64())])
 
     def compare(batch: pa.Table) -> pa.Table:
-        order = batch.sort_by([(c, "ascending") for c in ("code", "kind", "i", "j", "member")])
-        key = [order[c].to_pylist() for c in ("code", "kind", "i", "j")]
-        ids, roots, content = order["member"].to_numpy(), order["root"].to_numpy(), order["content"]
-        found, start = [], 0
-        for end in range(1, len(ids) + 1):
-            if end == len(ids) or any(k[end] != k[start] for k in key):
-                own = [np.frombuffer(c.as_py(), np.uint64) for c in content.slice(start, end - start)]
-                found += tile_forest(ids[start:end], roots[start:end], own, percent)
-                start = end
+        pairs, dense = [np.zeros((4, 0), np.int64)], [batch.select(TILE_KEY).slice(0, 0)]
+        for tile in _by_tile(batch):
+            ids, sizes, roots = (tile[c].to_numpy() for c in ("member", "n", "root"))
+            found = tile_pairs(ids, sizes, roots, tile["sketch"].to_pylist(), percent)
+            if found is None:
+                dense.append(tile.select(TILE_KEY).slice(0, 1))
+            elif found:
+                x, y = np.array(found).T
+                x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+                pairs.append(np.stack([ids[x], ids[y], sizes[x], sizes[y]]))
+        pairs, dense = np.concatenate(pairs, axis=1), pa.concat_tables(dense)
+        none = [pa.nulls(len(dense), pa.int64())] * 4
+        named = pa.table([*none, *(dense[c] for c in TILE_KEY)], schema=schema)
+        plain = pa.table([*(pa.array(c) for c in pairs), *(pa.nulls(pairs.shape[1], schema.field(c).type) for c in TILE_KEY)], schema=schema)
+        return pa.concat_tables([plain, named])
+
+    where = F.xxhash64(*TILE_KEY)
+    dealt = rows.groupBy(F.when(F.col("members") > FEW_MEMBERS, where).otherwise(F.pmod(where, F.lit(tasks))))
+    return dealt.applyInArrow(compare, "low long, member long, low_n long, member_n long, code long, kind string, i long, j long")
+
+
+def _tile_links(tiles: DataFrame, dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(low, member) that join different components in the dense tiles, each tile compared in full in one task."""
+    rows = tiles.join(dense, TILE_KEY).join(sets.select(F.col("doc").alias("member"), "content"), "member")
+
+    def compare(tile: pa.Table) -> pa.Table:
+        found = tile_forest(tile["member"].to_numpy(), tile["root"].to_numpy(), [np.frombuffer(c, np.uint64) for c in tile["content"].to_pylist()], percent)
         return pa.table({"low": pa.array([a for a, _ in found], pa.int64()), "member": pa.array([b for _, b in found], pa.int64())})
 
-    where = F.xxhash64("code", "kind", "i", "j")
-    dealt = rows.groupBy(F.when(F.col("members") > FEW_MEMBERS, where).otherwise(F.pmod(where, F.lit(tasks))))
-    return dealt.applyInArrow(compare, "low long, member long")
+    return rows.groupBy(*TILE_KEY).applyInArrow(compare, "low long, member long")
 
 
 def similar_components(
@@ -410,9 +467,14 @@ def similar_components(
         "code", "members", "shingles", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.shingles")).alias("main_blocks"),
         blocks(F.col("members") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("rest_blocks")), "open-groups")
     small = open_groups.filter(F.col("members") <= FEW_MEMBERS).agg(F.sum("shingles")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * 8 * small / TASK_BYTES))
-    more = written(_tile_links(rooted.join(open_groups.drop("shingles"), "code"), sets, percent, tasks), "tile-links")
-    roots = components(links.select("low", "member").union(more).select(F.col("low").alias("a"), F.col("member").alias("b")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * small / TASK_BYTES))  # a sketch takes one to two bytes a shingle
+    tiles = _tiles(rooted.join(open_groups.drop("shingles"), "code"))
+    near = written(_candidates(tiles, sets, percent, tasks), "tile-candidates")
+    more = _links(near.filter("low is not null").select("low", "member", "low_n", "member_n").distinct(), sets, percent)
+    dense = near.filter("low is null").select(*TILE_KEY)
+    if not dense.isEmpty():
+        more = more.select("low", "member").union(written(_tile_links(tiles, dense, sets, percent), "tile-links"))
+    roots = components(links.select("low", "member").union(more.select("low", "member")).select(F.col("low").alias("a"), F.col("member").alias("b")))
 
     return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc", "n", "rep", F.coalesce("root", "rep").alias("root"))
