@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import text
 from almanac.operators.index import hash_index, hash_key, lookup_join, sorted_index, top_per_group
-from almanac.storage import written
+from almanac.storage import measured, written
 
 
 def with_true_names(
@@ -101,7 +101,7 @@ def enrich_distinct(df: DataFrame, key: str, function: Callable[[Column], Column
     """
     unique = df.select(key).filter(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
     done = unique.select(key, F.coalesce(function(F.col(key)), F.col(key)).alias(name))
-    return lookup_join(df, written(done, "distinct"), key).withColumn(name, F.coalesce(name, key))
+    return lookup_join(df, measured(done, "distinct"), key).withColumn(name, F.coalesce(name, key))
 
 
 def union_splits(*splits: DataFrame) -> DataFrame:

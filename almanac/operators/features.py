@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from almanac.functions import series
 from almanac.operators.gates import is_finite
-from almanac.operators.index import lookup_join
 from almanac.operators.records import fix_wind
 from almanac.schema import NAN
-from almanac.storage import written
 
 # Number columns of each profile, in feature order.
 NUMBERS = {
@@ -81,11 +79,13 @@ def _moments(rows: DataFrame, *keys: str) -> DataFrame:
 def standardize_by_batch(rows: DataFrame, batch: str, epsilon: float = 1e-8) -> DataFrame:
     """Features as (x - mean) / (std + epsilon), with the moments of each feature within its batch.
 
-    One short array of moments per batch is looked up; the rows themselves stay where they are.
+    Rows are dealt by batch once. Moments (count, mean, squared deviations, which merge) are made of the dealt rows and meet them
+    again where they lie, so nothing is shuffled a second time.
     """
-    moments = _moments(rows, batch, "feature").groupBy(batch).agg(
+    dealt = rows.repartition(batch)
+    moments = _moments(dealt, batch, "feature").groupBy(batch).agg(
         F.sort_array(F.collect_list(F.struct("feature", "mean", "deviation"))).alias("_m"))
-    joined = lookup_join(rows, written(moments, "moments"), batch, max_rows=50_000)
+    joined = dealt.join(moments.hint("shuffle_hash"), batch)
     scaled = F.zip_with("features", "_m", lambda x, m: (x - m["mean"]) / (m["deviation"] + epsilon))
     return joined.withColumn("features", scaled).drop("_m")
 

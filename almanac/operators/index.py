@@ -5,12 +5,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.storage import Lookup, measured, written
+
 HEX_DIGITS = 3
 RANGE_SAMPLE = 4096
 LEAST_RANGES = 64
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
 SEP = "\x01"
 
 
@@ -77,45 +78,52 @@ def row_total(df: DataFrame, name: str = "n") -> Column:
     return df.agg(F.count(F.lit(1)).alias(name)).scalar()
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    """Rough size of a row: bytes of texts, sixteen per array element, eight for anything else."""
-    total = F.lit(0)
-    for field in df.schema:
-        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
-        size = F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind in ("array", "map") else F.lit(8)
-        total = total + F.coalesce(size, F.lit(0))
-    return total
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table is small enough to send to every executor. At most ``max_rows + 1`` rows are looked at."""
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
-
-
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    left: DataFrame, right: DataFrame | Lookup, on: str | Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    unique_left: bool = False,
 ) -> DataFrame:
     """Equality lookup of ``right`` (unique on the key, few narrow columns) for every row of ``left``.
 
-    ``right`` is broadcast only after measuring that it stays within ``max_rows`` and 64 MB. A larger one is joined by
-    shuffle with the key salted, so that a key holding a large share of ``left`` is spread over ``salts`` tasks. With
-    keys that are unique on the left too, ``salts=1`` gives the plain shuffle join.
+    ``right`` is written once and measured while it is written, unless it comes measured; it is broadcast only within ``max_rows``
+    rows and 64 MB. A larger one is joined by shuffle, with the hot keys of ``left`` spread over several tasks. With keys that are
+    unique on the left too there are none, and they need not be looked for.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(right, max_rows):
-        return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, how, salts) if salts > 1 else left.join(right, keys, how)
+    known = right if isinstance(right, Lookup) else measured(right, "lookup")
+    if known.rows <= max_rows and known.size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(known.table), keys, how)
+    return left.join(known.table, keys, how) if unique_left else spread_join(left, known.table, keys, how)
+
 
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int | None = None) -> DataFrame:
+    """(_code, _salts): hashes of the keys that hold more than one ``share``-th of the rows (of as many as there are shuffle
+    partitions), and over how many tasks each is spread so that none gets more than that.
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Shuffle join in which every left key is spread over ``salts`` tasks and the unique right side is repeated."""
+    Found by a frequent-items sketch of bounded size, which tasks fill and Spark merges; it names every key above the
+    share, at most ``share`` of them.
+    """
+    share = share or max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The sketch holds three quarters of its slots; its error is a fraction of what a slot stands for.
+    slots = 1 << max(6, (8 * share).bit_length())
+    seen = df.select(F.xxhash64(*keys).alias("_code")).agg(
+        F.count(F.lit(1)).alias("_n"), F.expr(f"approx_top_k(_code, {min(share, slots)}, {slots})").alias("_top"))
+    found = seen.select("_n", F.inline("_top")).select(
+        F.col("item").alias("_code"), F.ceil(F.col("count") * share / F.col("_n")).cast("int").alias("_salts"))
+    return written(found.filter("_salts > 1"), "hot-keys")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", share: int | None = None) -> DataFrame:
+    """Shuffle join of a left side with hot keys and a right side that is unique on them. Rows of a hot key are dealt over salts,
+    and only the right row of such a key is repeated, once per salt: at most twice ``share`` rows more in all."""
+    hot = hot_keys(left, keys, share)
+    # At most ``share`` rows.
+    coded = left.withColumn("_code", F.xxhash64(*keys)).join(F.broadcast(hot), "_code", "left")
     # A hash of the row itself, so a task that runs again salts its rows as before.
     hashed = [f"`{f.name}`" for f in left.schema if "map<" not in f.dataType.simpleString()]
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    spread = coded.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.coalesce("_salts", F.lit(1))).cast("int"))
+    repeated = right.withColumn("_code", F.xxhash64(*keys)).join(F.broadcast(hot), "_code", "left")
+    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return spread.drop("_code", "_salts").join(repeated.drop("_code", "_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

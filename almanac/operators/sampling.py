@@ -99,4 +99,4 @@ def latest_ingest(df: DataFrame, day: str, stamp: str, excluded: Sequence[str] =
 
 def members_only(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Rows of a subset, e.g. of one split's manifest."""
-    return lookup_join(df, members.select(key), key, "left_semi", salts=1)
+    return lookup_join(df, members.select(key), key, "left_semi", unique_left=True)

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import text
@@ -42,11 +42,12 @@ def id_set(df: DataFrame, ids: str, extra: Sequence[int] = ()) -> DataFrame:
 def vocabulary(tokens: DataFrame, specials: Sequence[str]) -> DataFrame:
     """(token, id): tokens and specials in code-point order, numbered from 0.
 
-    The distinct tokens are written once to the shared folder: a vocabulary is read several times, and the corpus should
-    not be scanned again for each of them.
+    The distinct tokens are written, and the numbered ones again: a vocabulary is read several times, and neither the corpus
+    should be scanned nor the tokens numbered again for each of them.
     """
     more = tokens.sparkSession.createDataFrame([(s,) for s in specials], "token string")
-    return sorted_index(written(tokens.select("token").union(more).distinct(), "vocabulary"), "token", "id")
+    distinct = written(tokens.select("token").union(more).distinct(), "tokens")
+    return written(sorted_index(distinct, "token", "id"), "vocabulary")
 
 
 def with_extra_tokens(s: str | Column) -> Column:
@@ -76,14 +77,16 @@ def wrapped_ids(ids: str | Column, start: int, stop: int) -> Column:
 def _replace_each(df: DataFrame, key: str, parts: Column, table: DataFrame, old: str, new: str, miss: Column, out: str) -> DataFrame:
     """(key, out): every element of an array looked up in a table, in order.
 
-    Rows are hash-partitioned by key while the arrays are still compact. The explode and the broadcast lookup keep that
-    partitioning, so gathering the elements again needs no second shuffle.
+    Rows are hash-partitioned by key and content while the arrays are still compact, and there numbered among those that
+    agree in both: one result per row, also where keys repeat. The explode and the broadcast lookup keep that partitioning, so
+    gathering the elements again needs no second shuffle.
     """
-    items = df.select(key, parts.alias("_parts")).repartition(key)
-    rows = items.select(key, F.posexplode_outer("_parts").alias("_pos", old))
+    items = df.select(key, parts.alias("_parts")).withColumn("_row", F.xxhash64("_parts")).repartition(key, "_row")
+    items = items.withColumn("_copy", F.row_number().over(Window.partitionBy(key, "_row").orderBy("_row")))
+    rows = items.select(key, "_row", "_copy", F.posexplode_outer("_parts").alias("_pos", old))
     found = lookup_join(rows, table.select(old, F.col(new).alias("_new")), old)
     value = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_new", miss).alias("v")))
-    gathered = found.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("_all"))
+    gathered = found.groupBy(key, "_row", "_copy").agg(F.sort_array(F.collect_list(value)).alias("_all"))
     return gathered.select(key, F.transform("_all", lambda s: s["v"]).alias(out))
 
 
@@ -123,7 +126,7 @@ def subset_mapping(ids: DataFrame, specials: Sequence[int]) -> DataFrame:
     """(old, new): the used ids and the special ones, numbered from 0 in id order."""
     more = ids.sparkSession.createDataFrame([(int(s),) for s in specials], "id bigint")
     used = written(ids.select(F.col("id").cast("bigint")).union(more).distinct(), "ids")
-    return sorted_index(used.withColumnRenamed("id", "old"), "old", "new")
+    return written(sorted_index(used.withColumnRenamed("id", "old"), "old", "new"), "mapping")
 
 
 def reduced_vocabulary(df: DataFrame, ids: str, specials: Sequence[int]) -> DataFrame:
@@ -131,7 +134,7 @@ def reduced_vocabulary(df: DataFrame, ids: str, specials: Sequence[int]) -> Data
     more = df.sparkSession.createDataFrame([(int(s),) for s in specials], "old bigint").distinct()
     used = df.select(F.explode(F.col(ids).cast("array<bigint>")).alias("old")).groupBy("old").agg(F.count(F.lit(1)).alias("n"))
     unused = more.join(used.select("old"), "old", "left_anti").withColumn("n", F.lit(1).cast("bigint"))
-    return sorted_index(written(used.unionByName(unused), "reduced"), "old", "new")
+    return written(sorted_index(written(used.unionByName(unused), "used-ids"), "old", "new"), "reduced")
 
 
 def reduction(mapping: DataFrame, full_size: int) -> DataFrame:

@@ -8,6 +8,7 @@ from almanac.operators import records as R
 from almanac.operators.index import hash_index
 from almanac.plans import Book, table
 from almanac.plans.rendered import SERIES, SQL_HOURS, SQL_RECORDS, SQL_REPORTS, hours, records, reports
+from almanac.storage import written
 
 BOOK = Book()
 SHORT = {name: short for name, (short, _) in SERIES.items()} | {"times": "times"}
@@ -188,7 +189,9 @@ placed AS (SELECT path, (row_number() OVER (ORDER BY md5('42|' || path), path) -
 SELECT batch, path, pos, feature, round((value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-8), 4) + 0.0 AS value
 FROM long JOIN placed USING (path) WINDOW w AS (PARTITION BY batch, feature)""")
 def f17(spark, sf):
-    batched = hash_index(records(spark, sf).drop("user_id"), ["path"]).withColumn("batch", F.floor(F.col("idx") / 64))
+    # Positions, wind directions and features are made from the records as they were written, once.
+    held = written(records(spark, sf).drop("user_id"), "records")
+    batched = hash_index(held, ["path"]).withColumn("batch", F.floor(F.col("idx") / 64))
     rows = X.feature_rows(batched.withColumn("path", F.struct("batch", "path")), "simple", "path")
     rows = X.standardize_by_batch(rows.select("path.*", "pos", "features"), "batch")
     long = X.long_features(rows, "batch", "path")
@@ -197,9 +200,11 @@ def f17(spark, sf):
 
 
 @BOOK.add("F18_standardize_globally", SQL_RECORDS + SIMPLE_SQL + """,
-held AS MATERIALIZED (SELECT path, pos, feature, value FROM long),
-m AS (SELECT avg(value) AS mean, stddev_samp(value) AS deviation FROM held)
-SELECT path, pos, feature, round((value - mean) / (deviation + 1e-8), 6) + 0.0 AS value FROM held, m""")
+held AS MATERIALIZED (SELECT path, CAST(pos AS BIGINT) AS pos, list_concat([n0, n1, n2], list_transform(vs, lambda v: CASE WHEN v = wind THEN 1.0::DOUBLE ELSE 0.0 END),
+  [sin(2 * pi() * h / 24), cos(2 * pi() * h / 24), daylight, since_rise, until_set, CAST(flag AS DOUBLE)]) AS f FROM cell, vocab),
+m AS (SELECT avg(x) AS mean, stddev_samp(x) AS deviation FROM (SELECT unnest(f) AS x FROM held))
+SELECT path, pos, CAST(i AS BIGINT) AS feature, round((f[i + 1] - mean) / (deviation + 1e-8), 6) + 0.0 AS value
+FROM (SELECT path, pos, f, unnest(range(len(f))) AS i FROM held), m""")
 def f18(spark, sf):
     rows = X.feature_rows(records(spark, sf), "simple", "path")
     return _rounded(X.long_features(X.standardize_globally(rows), "path"), "path", digits=6)

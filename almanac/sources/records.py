@@ -58,7 +58,7 @@ def scan_split(records: DataFrame, manifest: DataFrame, splits: str | Sequence[s
     """Records a manifest lists for one split or several; a subset manifest is one with fewer rows."""
     wanted = [splits] if isinstance(splits, str) else list(splits)
     listed = manifest.filter(F.col("split").isin(wanted)).select(path)
-    return lookup_join(records, listed, path, "left_semi", salts=1)
+    return lookup_join(records, listed, path, "left_semi", unique_left=True)
 
 
 def with_text(records: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -42,3 +45,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@dataclass
+class Lookup:
+    """A written table with what was measured while it was written."""
+
+    table: DataFrame
+    rows: int
+    size: int
+
+    def select(self, *columns) -> "Lookup":
+        """Some of the columns, or columns no wider than those they are made of."""
+        return Lookup(self.table.select(*columns), self.rows, self.size)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: bytes of texts, sixteen per array element, eight for anything else."""
+    total = F.lit(0).cast("long")
+    for field in df.schema:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        size = F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind in ("array", "map") else F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
+    return total
+
+
+def measured(df: DataFrame, label: str) -> Lookup:
+    """Write ``df`` once and count its rows and bytes in that one pass. A stage that runs again may be counted twice, so the
+    figures are never too small."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("size")), label)
+    return Lookup(table, seen.get["rows"], seen.get["size"])

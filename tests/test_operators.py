@@ -11,6 +11,7 @@ from almanac.operators import gates as G
 from almanac.operators import index as I
 from almanac.operators import profile as P
 from almanac.operators import sampling as S
+from almanac.storage import measured
 
 
 def md5_order(keys, seed=42):
@@ -47,6 +48,35 @@ def test_lookup_beyond_the_bound_gives_the_same_rows(spark, how):
     assert small == large == plain
 
 
+def test_only_hot_keys_are_spread_and_only_their_right_rows_repeated(spark):
+    left = spark.range(4000).select((F.col("id") % 500).cast("int").alias("k"), "id").union(
+        spark.range(6000).select(F.lit(3).alias("k"), F.col("id") + 10_000)).union(spark.range(2000).select(F.lit(None).cast("int"), -F.col("id") - 1))
+    right = spark.range(600).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
+    hot = {r["_code"]: r["_salts"] for r in I.hot_keys(left, ["k"], 20).collect()}
+    code = {r["k"]: r["c"] for r in spark.range(1).select(F.explode(F.array(F.lit(3), F.lit(4), F.lit(None))).alias("k")).select("k", F.xxhash64("k").alias("c")).collect()}
+    assert set(hot) == {code[3], code[None]} and hot[code[3]] == 11 and hot[code[None]] == 4
+    joined = I.spread_join(left, right, ["k"], "left", 20)
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+    cold = I.hot_keys(spark.range(5000).select((F.col("id") % 1000).alias("k")), ["k"], 20)
+    assert cold.count() == 0
+
+
+def test_a_lookup_is_computed_once_and_measured_on_the_way(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        calls.add(1)
+        return x * 2
+
+    right = spark.range(50).select("id", counted("id").alias("v"))
+    got = I.lookup_join(spark.range(100), right, "id", "inner")
+    assert got.count() == 50 and len(got.collect()) == 50 and calls.value == 50
+    held = measured(right.select("id", F.lit("abc").alias("t")), "test")
+    assert (held.rows, held.size) == (50, 50 * 11)
+    assert (measured(right.filter("id < 0"), "test").rows, measured(right.filter("id < 0"), "test").size) == (0, 0)
+
+
 def test_running_min_over_blocks(spark):
     rng = random.Random(1)
     values = [rng.randint(0, 1000) for _ in range(100)]

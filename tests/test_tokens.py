@@ -80,3 +80,12 @@ def test_batch_sizes(spark, n):
     rows = R.random_batches(spark.range(n).select(F.col("id").alias("k")), ["k"]).groupBy("batch").count().collect()
     batches, size = n // 512 + 1, n // (n // 512 + 1)
     assert sorted(r["count"] for r in rows) == sorted([size] * (batches - 1) + [n - size * (batches - 1)])
+
+
+def test_texts_under_one_key_keep_their_own_ids(spark):
+    vocab = V.vocabulary(spark.createDataFrame([("a",), ("b",), ("c",)], "token string"), ["<unknown>"])
+    assert "Window" not in vocab._jdf.queryExecution().toString() and "FileScan" in vocab._jdf.queryExecution().toString()
+    rows = [(1, "a;b"), (1, "c;a"), (1, "c;a"), (2, "b"), (2, None), (None, "c;x")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = sorted(((r["k"] or 0, r["ids"]) for r in V.encode_context(df, "k", "t", vocab).collect()), key=str)
+    assert got == sorted([(1, [1, 2]), (1, [3, 1]), (1, [3, 1]), (2, [2]), (2, []), (0, [3, 0])], key=str)
