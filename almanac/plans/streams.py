@@ -6,6 +6,7 @@ from almanac.functions.series import utc_instant
 from almanac.plans import Book, table
 from almanac.storage import fresh_path
 from almanac.streaming import ingest as S
+from almanac.streaming.store import BucketStore
 
 BOOK = Book()
 
@@ -34,23 +35,13 @@ def l2(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     labelled = F.col("quality").isNotNull()
     # Labelled documents lack their report; those of low quality keep their details.
-    docs.select("doc_id", F.when(~labelled, F.col("lang")).alias("report"),
-                F.when(~labelled | (F.col("quality") == 0), F.col("source")).alias("details")).write.parquet(f"{base}/version=0")
+    rows = docs.select("doc_id", F.when(~labelled, F.col("lang")).alias("report"), F.when(~labelled | (F.col("quality") == 0), F.col("source")).alias("details"))
+    store = BucketStore.create(rows, f"{base}/store", "doc_id", buckets=16)
     schema = table(spark, sf, "documents").schema
     late = S.read_stream(spark, f"{sf}/documents.parquet", schema).select(
         "doc_id", F.concat(F.lit("neu "), "source").alias("report"), F.lit(None).cast("string").alias("details"), F.col("n_chars").alias("order"))
-
-    last = [0]
-
-    def stored(batch_id):
-        return spark.read.parquet(f"{base}/version={batch_id}")
-
-    def save(rows, batch_id):
-        rows.write.mode("overwrite").parquet(f"{base}/version={batch_id + 1}")
-        last[0] = batch_id + 1
-
-    S.merge_late_texts(late, stored, save, "doc_id", "order", ["report", "details"], f"{base}/checkpoint")
-    return spark.read.schema("doc_id bigint, report string, details string").parquet(f"{base}/version={last[0]}")
+    S.merge_into_store(late, store, "order", ["report", "details"], f"{base}/checkpoint")
+    return store.read()
 
 
 @BOOK.add("L3_complete_days", """

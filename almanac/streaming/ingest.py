@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.operators.enrich import backfill, latest_per_key
+from almanac.storage import written
+from almanac.streaming.store import BucketStore
 
 HOURS = 24
 
@@ -32,6 +34,15 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def latest_texts(batch: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """One row per key: of each field the latest text that is not NULL."""
+    latest = None
+    for field in fields:
+        one = latest_per_key(batch.filter(F.col(field).isNotNull()), [key], [F.col(order)]).select(key, field)
+        latest = one if latest is None else latest.join(one, key, "full")
+    return latest
+
+
 def merge_late_texts(
     stream: DataFrame, stored: Callable[[int], DataFrame], save: Callable[[DataFrame, int], None], key: str, order: str,
     fields: list[str], checkpoint: str,
@@ -39,16 +50,24 @@ def merge_late_texts(
     """Backfill texts published later: each batch is merged into the stored rows and saved as the next version.
 
     ``stored(batch_id)`` reads the version the batch starts from and ``save(rows, batch_id)`` writes the one it ends
-    with, so a batch that is run again after a failure starts from the same rows and gives the same result. For a large
-    store ``stored`` reads only the days that may still lack texts and ``save`` replaces just those partitions.
+    with, so a batch that is run again after a failure starts from the same rows and gives the same result. A store
+    that is large against its batches is better kept in buckets, see ``merge_into_store``.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        save(backfill(stored(batch_id), latest_texts(batch, key, order, fields), key, fields), batch_id)
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def merge_into_store(stream: DataFrame, store: BucketStore, order: str, fields: list[str], checkpoint: str, base: int = 0) -> None:
+    """Backfill texts published later into a bucket store: batch i leads from version ``base`` + i to the next one, and rewrites only
+    the buckets in which a row changes. ``base`` is the version the stream's first batch starts from.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # One text per key and field: the latest that is not NULL.
-        latest = None
-        for field in fields:
-            one = latest_per_key(batch.filter(F.col(field).isNotNull()), [key], [F.col(order)]).select(key, field)
-            latest = one if latest is None else latest.join(one, key, "full")
-        save(backfill(stored(batch_id), latest, key, fields), batch_id)
+        # Three steps read the texts of a batch; it is cut to one row per key and written once.
+        texts = written(latest_texts(batch, store.key, order, fields), "late-texts")
+        store.backfill(texts, fields, base + batch_id)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -10,6 +10,7 @@ from almanac.schema import CITY_SCHEMA
 from almanac.sources import records as R
 from almanac.sources import tables as C
 from almanac.streaming import ingest as S
+from almanac.streaming.store import BucketStore
 
 
 def write(folder, name, content):
@@ -191,6 +192,39 @@ def test_late_text_merge(spark, tmp_path):
     assert got == {1: ("newer", "l"), 2: ("s", "L"), 3: ("s", "l")}
 
 
+def test_a_batch_rewrites_only_the_buckets_it_changes(spark, tmp_path):
+    rows = [(i, None if i % 2 else "s", "l") for i in range(200)]
+    store = BucketStore.create(spark.createDataFrame(rows, "k int, s string, l string"), str(tmp_path / "store"), "k", buckets=20)
+    assert len(store.live(0)) == 20 and store.read().count() == 200
+    bucket = {r["k"]: r["b"] for r in spark.range(200).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.xxhash64("k"), F.lit(20)).alias("b")).collect()}
+    batches = [[(1, "new", None, 1), (3, "third", None, 1), (1, "newer", None, 2)],
+               [(1, "newer", None, 3), (2, "x", "y", 1)],  # what is there already, and a row without a gap: nothing changes
+               [(5, None, "only details", 1), (7, "seven", None, 1), (999, "no such row", None, 1)]]
+    source = tmp_path / "in"
+
+    def arrive(batch, name):
+        spark.createDataFrame(batch, "k int, s string, l string, o int").coalesce(1).write.parquet(str(source / name))
+
+    def run():
+        stream = spark.readStream.schema("k int, s string, l string, o int").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(source))
+        S.merge_into_store(stream, store, "o", ["s", "l"], str(tmp_path / "checkpoint"))
+
+    for n, batch in enumerate(batches):
+        arrive(batch, str(n))
+        run()
+    assert store.versions() == [0, 1, 2, 3]
+    assert store.rewritten(1) == sorted({bucket[1], bucket[3]}) and store.rewritten(2) == [] and store.rewritten(3) == sorted({bucket[5], bucket[7]})
+    want = {k: [s, l] for k, s, l in rows}
+    want[1][0], want[3][0], want[5][1], want[7][0] = "newer", "third", "only details", "seven"
+    assert {r["k"]: [r["s"], r["l"]] for r in store.read().collect()} == want
+    assert {r["k"]: r["s"] for r in store.read(1).collect()}[7] is None  # an older version is as it was
+    # A batch that is run again starts where it started and ends in the same rows.
+    texts = S.latest_texts(spark.createDataFrame(batches[2], "k int, s string, l string, o int"), "k", "o", ["s", "l"])
+    assert store.backfill(texts, ["s", "l"], 2) == len({bucket[5], bucket[7]})
+    assert {r["k"]: [r["s"], r["l"]] for r in store.read().collect()} == want
+    assert BucketStore.create(store.read().filter("k < 0"), str(tmp_path / "none"), "k").read().count() == 0
+
+
 def test_streams_read_folders_of_several_files_as_they_read_one_file(spark, tmp_path):
     """Also when the late texts come in several batches: the last version is the one read."""
     from almanac.plans import streams
