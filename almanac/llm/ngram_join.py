@@ -51,7 +51,7 @@ TILE_KEY = ["code", "kind", "i", "j"]
 TASK_BYTES = 8 << 20
 BUCKET_SIGNATURES = 1_500_000
 SIGNATURES_PER_SHINGLE = 0.45
-PORTION = 4 << 20
+PORTION = 1 << 20
 
 
 def mixed(codes: np.ndarray) -> np.ndarray:
