@@ -49,7 +49,7 @@ TILE_BYTES = 8 << 20
 FEW_MEMBERS = 64
 TILE_KEY = ["code", "kind", "i", "j"]
 TASK_BYTES = 8 << 20
-BUCKET_SIGNATURES = 1_500_000
+BUCKET_SIGNATURES = 400_000
 SIGNATURES_PER_SHINGLE = 0.45
 PORTION = 1 << 20
 
