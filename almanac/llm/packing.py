@@ -10,7 +10,7 @@ At most one group of packs is split and one is opened per length, so there are a
 differ and add up to 2048 are at most 63, so the slot table has a proven bound of 2 * 2048 * 63 rows (12 MB) and is broadcast.
 
 Defined results: a null or empty text is one piece holding the end id; rows without id are kept; repeated rows are packed
-each; an empty table gives an empty result; other columns are not read.
+each; very long texts and words are encoded whole and kept by no store; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +30,14 @@ LENGTH = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 BUCKET_PIECES = 50_000
-#: Words whose ids a Python worker keeps at hand (150 MB); only speed depends on it.
-KNOWN_WORDS = 600_000
+#: Bytes of words and ids that a Python worker keeps at hand, counted with what Python needs per word; only speed depends on it.
+KNOWN_BYTES = 150 << 20
+WORD_OVERHEAD = 180
+LONG_WORD = 64
+#: Signs that the tokenizer cuts from the letters before them.
+SIGNS = ".,;:!?"
+#: Characters of text that are encoded together.
+PORTION = 1 << 18
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -39,7 +45,9 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer cuts text before the space of a word, so the words between single spaces can be encoded apart, and words
-    seen before are looked up. A text with two spaces in a row or a special token's string is encoded as it stands.
+    seen before are looked up. A text with two spaces in a row or a special token's string is encoded as it stands, and so is every
+    text if a tokenizer cuts otherwise. The store of words is bounded by bytes and holds no long words; these are encoded whenever
+    they come.
     """
 
     def __init__(self, path: str):
@@ -51,46 +59,127 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # Ids of words with a space before them: those met lately, and the store before; ids of runs of signs.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+        self.size = 0
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ab.,\nThe x") if self.tokenizer.pre_tokenizer else []
+        self.cuts_words = [at for _, at in cut] == [(0, 3), (3, 5), (5, 6), (6, 9), (9, 11)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Look up new words many at a time, with line feeds between them: a line feed is cut off on both sides and has an id
-        of its own. Words that hold white space themselves are encoded alone."""
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each, many at a time, with line feeds between them: a line feed is cut off on both sides
+        and has an id of its own."""
         import numpy as np
 
-        joined = [w for w in words if w and w.split() == [w]]
-        for i in range(0, len(joined), 1000):
-            part = joined[i:i + 1000]
+        out = []
+        for i in range(0, len(words), 1000):
+            part = words[i:i + 1000]
             ids = np.frombuffer(self._plain([" " + "\n ".join(part)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.feed)
-            for word, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                self.known[word] = ids[a:b].tobytes()
-        alone = [w for w in words if w not in self.known]
-        self.known.update(zip(alone, self._plain([" " + w for w in alone])))
-
-    def encode(self, text: str) -> bytes:
-        if "  " in text or any(s in text for s in self.special):
-            return self._plain([text])[0]
-        head, *words = text.split(" ")
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-        return b"".join([*self._plain([head]), *map(self.known.__getitem__, words)])
+            flat, at = ids.tobytes(), 0
+            for end in [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]:
+                out.append(flat[4 * at:4 * end])
+                at = end + 1
+        return out
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not at hand. Signs at the end of a word of letters are cut off by the tokenizer anyway and put on
+        again; words that hold white space are encoded alone. Those that are not long are kept."""
+        found: dict[str, bytes] = {}
+        signed, plain, alone = [], set(), []
+        for word in words:
+            stem = word.rstrip(SIGNS)
+            if len(stem) < len(word) and stem.isalpha():
+                signed.append((word, stem))
+                if stem not in self.known:
+                    plain.add(stem)
+            elif word.split() == [word]:
+                plain.add(word)
+            else:
+                alone.append(word)
+        listed = sorted(plain)
+        found.update(zip(listed, self._spaced(listed)))
+        found.update(zip(alone, self._plain([" " + w for w in alone])))
+        ends = {word[len(stem):] for word, stem in signed}.difference(self.ends)
+        if ends:
+            self.ends.update(zip(sorted(ends), self._plain(sorted(ends))))
+        for word, stem in signed:
+            found[word] = (found[stem] if stem in found else self.known[stem]) + self.ends[word[len(stem):]]
+        for word, ids in found.items():
+            self._keep(word, ids)
+        if len(self.ends) > 1000:
+            self.ends.clear()
+        return found
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        """Keep a word; a full store becomes the older one, of which what is asked for again comes back."""
+        if len(word) <= LONG_WORD:
+            self.known[word] = ids
+            self.size += len(word) + len(ids) + WORD_OVERHEAD
+
+    def _missing(self, words: set[str]) -> dict[str, bytes]:
+        if self.size > KNOWN_BYTES // 2:
+            self.older, self.known, self.size = self.known, {}, 0
+        found = {word: self.older[word] for word in words if word in self.older}
+        for word, ids in found.items():
+            self._keep(word, ids)
+        new = words.difference(found)
+        return {**found, **self._learn(new)} if new else found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts, which share what is encoded anew."""
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, text in enumerate(texts) if not self.cuts_words or "  " in text or any(s in text for s in self.special)]
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
+            out[i] = ids
+        apart = sorted(set(range(len(texts))).difference(whole))
+        split = [texts[i].split(" ") for i in apart]
+        heads = self._plain([words[0] for words in split])
+        rows, gaps, new = [], [], set()
+        for n, words in enumerate(split):
+            row = list(map(self.known.get, words))
+            row[0] = heads[n]
+            at = -1
+            for _ in range(row.count(None)):
+                at = row.index(None, at + 1)
+                gaps.append((n, at))
+                new.add(words[at])
+            rows.append(row)
+        learned = self._missing(new) if new else {}
+        for n, at in gaps:
+            rows[n][at] = learned[split[n][at]]
+        for i, row in zip(apart, rows):
+            out[i] = b"".join(row)
+        return out
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker, which keeps it beside the tokenizer files' module for its later tasks."""
-    kept = vars(public_tokenizers).setdefault("_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    """The encoder of this Python worker, kept for its later tasks in a module of its own: functions come anew with every task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_almanac_encoders", types.ModuleType("_almanac_encoders"))
+    if path not in vars(kept):
+        setattr(kept, path, Encoder(path))
+    return vars(kept)[path]
+
+
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about ``PORTION`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length: int, end_id: int) -> DataFrame:
@@ -103,8 +192,9 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length:
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            encoded = (ids for texts in portions([text or "" for text in batch.column(1).to_pylist()]) for ids in encode(texts))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
+                ids += end
                 for at in range(0, len(ids), 4 * length):
                     part = ids[at:at + 4 * length]
                     rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))

@@ -81,12 +81,17 @@ def test_packing_odd_rows(odd, none):
     assert packing.pack(none).count() == 0
 
 
-def test_encoder_equals_the_tokenizer():
+def test_encoder_equals_the_tokenizer(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain, quick = Tokenizer.from_file(path), packing.Encoder(path)
-    for text in ["", " ", "  ", "a  b", "a \n b", "\n\n a", "a\n\nb c", " <|endoftext|> x", "a \t b  c ", " a", "a ", "x　 y \n\n z", "a b c\x85 d\x1c e​ f",
-                 "it's don't 12 34,56 é日本", "tab\tin word\r\nnext line"]:
-        assert np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == quick.encode(text)
+    texts = ["", " ", "  ", "a  b", "a \n b", "\n\n a", "a\n\nb c", " <|endoftext|> x", "a \t b  c ", " a", "a ", "x　 y \n\n z", "a b c\x85 d\x1c e​ f",
+             "it's don't 12 34,56 é日本", "tab\tin word\r\nnext line", "long " + "wordy" * 20_000 + " and " + "x" * 100_000 + " again", "again it's a b", "end.\nNext,\nline!! it's.\nX 12.\n3 a.b, ß;: don't.\n\nt \nq r\n ., ,.\n. é!\nÉ"]
+    want = [np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert [quick.encode([text])[0] for text in texts] == want and quick.encode(texts) == want and quick.encode([]) == []
+    assert max(map(len, quick.known)) <= packing.LONG_WORD < 100
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 500)
+    monkeypatch.setattr(packing, "PORTION", 20)
+    assert [ids for part in packing.portions(texts * 2) for ids in quick.encode(part)] == want * 2 and len(quick.known) < 30
 
 
 def test_patterns_use_up_the_histogram():
