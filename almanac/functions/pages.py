@@ -65,45 +65,82 @@ DIAGRAM = ("id", "vhs-detail-diagram")
 
 
 def _reader():
-    """Page -> tree of (tag, attributes, children). Built per worker, so executors need nothing but the standard library."""
-    from html.parser import HTMLParser
+    """Page -> tree of (tag, attributes, children), from events: text, start and end of an element. Built per worker, so executors need
+    nothing but the standard library."""
+    import re
+    from html import unescape
 
     single = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
     closes = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.root = ("", {}, [])
-            self.open = [self.root]
-
-        def handle_starttag(self, tag, attrs):
-            while self.open[-1][0] in closes.get(tag, ()):
-                self.open.pop()
-            node = (tag, {k: v or "" for k, v in attrs}, [])
-            self.open[-1][2].append(node)
-            if tag not in single:
-                self.open.append(node)
-
-        def handle_startendtag(self, tag, attrs):
-            self.handle_starttag(tag, attrs)
-            if tag not in single:
-                self.handle_endtag(tag)
-
-        def handle_endtag(self, tag):
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    return
-
-        def handle_data(self, data):
-            self.open[-1][2].append(data)
-
-    def read(html):
-        reader = Reader()
-        reader.feed(html)
-        reader.close()
-        return reader.root
+    # Comments and declarations; end tags; start tags, whose quoted values may hold any sign.
+    markup = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+    given = re.compile(r"""([^\s"'=/][^\s=/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']\S*)|))?""")
+    plain = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
+
+    def attributes(text):
+        """Names and values, and whether the tag closes itself."""
+        out, end = {}, 0
+        for m in given.finditer(text):
+            out[m[1].lower()] = unescape(next((v for v in m.groups()[1:] if v is not None), ""))
+            end = m.end()
+        return out, "/" in text[end:]
+
+    def events(html):
+        """(kind, tag or text, attributes): 0 text, 1 start, 2 end; an element that closes itself is a start and an end."""
+        at = 0
+        while m := markup.search(html, at):
+            if m.start() > at:
+                yield 0, unescape(html[at:m.start()]), None
+            at = m.end()
+            if m[1]:
+                yield 2, m[1].lower(), None
+            elif m[2]:
+                tag = m[2].lower()
+                have, closed = attributes(m[3]) if m[3] else ({}, False)
+                yield 1, tag, have
+                if closed and tag not in single:
+                    yield 2, tag, None
+                elif tag in plain:
+                    end = plain[tag].search(html, at)
+                    stop = end.start() if end else len(html)
+                    if stop > at:
+                        yield 0, html[at:stop], None
+                    at = stop
+        if at < len(html):
+            yield 0, unescape(html[at:]), None
+
+    def read(html, attribute=None, value=None):
+        """The root, or the first element with the value of an attribute (or, for an empty one, that tag); None if there is none. Only
+        the element that is wanted is built, and reading stops at its end."""
+        root = ("", {}, [])
+        opened, wanted, depth = [root], root if attribute is None else None, 0
+        for kind, name, have in events(html):
+            if kind == 0:
+                if wanted is not None:
+                    opened[-1][2].append(name)
+                continue
+            if kind == 1:
+                while opened[-1][0] in closes.get(name, ()):
+                    opened.pop()
+                if wanted is not None and len(opened) <= depth:
+                    return wanted
+                node = (name, have, [])
+                if wanted is not None:
+                    opened[-1][2].append(node)
+                elif (name if attribute == "" else have.get(attribute)) == value:
+                    wanted, depth = node, len(opened)
+                    if name in single:
+                        return node
+                if name not in single:
+                    opened.append(node)
+                continue
+            for i in range(len(opened) - 1, 0, -1):
+                if opened[i][0] == name:
+                    del opened[i:]
+                    break
+            if wanted is not None and len(opened) <= depth:
+                return wanted
+        return wanted
 
     def walk(node):
         """(element, its parent, its place there) in document order."""
@@ -141,74 +178,80 @@ def _reader():
     return read, walk, texts
 
 
-def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
-    """Struct with one text per field; a selector that finds nothing gives NULL."""
-    specs = {n: (f.tag, f.take, f.attribute, f.value, f.contains, f.path) for n, f in fields.items()}
-    make = _reader
+def _field_finder(specs):
+    """Tree -> one text per field. ``specs``: name -> (tag, take, attribute, value, contains, path)."""
+    _, walk, texts = _reader()
+
+    def leading(children):
+        out = []
+        for c in children:
+            if not isinstance(c, str):
+                break
+            out.append(c)
+        return "".join(out) if out else None
+
+    def next_text(children):
+        for i, c in enumerate(children):
+            if isinstance(c, str):
+                return leading(children[i:])
+        return None
+
+    def below(node, parent, place, path):
+        if not path:
+            return node, parent, place
+        tag, _, nth = path[0].partition("[")
+        found = [(c, i) for i, c in enumerate(node[2]) if not isinstance(c, str) and c[0] == tag]
+        for child, i in found[int(nth[:-1]) - 1:int(nth[:-1])] if nth else found:
+            hit = below(child, node, i, path[1:])
+            if hit:
+                return hit
+        return None
+
+    def matches(node, tag, attribute, value, contains):
+        if tag not in ("*", node[0]):
+            return False
+        if attribute is None:
+            return True
+        have = node[1].get(attribute)
+        return have is not None and (value in have if contains else have == value)
+
+    def taken(node, parent, place, take):
+        if take.startswith("@"):
+            return node[1].get(take[1:])
+        if take == "first":
+            return leading(node[2])
+        if take == "tail":
+            return next_text(parent[2][place + 1:])
+        if take == "next":
+            after = (next_text(c[2]) for c in parent[2][place + 1:] if not isinstance(c, str) and c[0] == node[0])
+            return next((t for t in after if t is not None), None)
+        return (" " if take == "mixed" else "").join(texts(node))
+
+    def fields_of(tree):
+        out, missing = dict.fromkeys(specs), dict(specs)
+        for node, parent, place in walk(tree):
+            for name in [n for n, s in missing.items() if matches(node, s[0], s[2], s[3], s[4])]:
+                hit = below(node, parent, place, missing[name][5])
+                if hit:
+                    out[name] = taken(*hit, missing.pop(name)[1])
+            if not missing:
+                break
+        return out
 
-    def batch(pages: pd.Series) -> pd.DataFrame:
-        read, walk, texts = make()
+    return fields_of
 
-        def leading(children):
-            out = []
-            for c in children:
-                if not isinstance(c, str):
-                    break
-                out.append(c)
-            return "".join(out) if out else None
 
-        def next_text(children):
-            for i, c in enumerate(children):
-                if isinstance(c, str):
-                    return leading(children[i:])
-            return None
+def _specs(fields: dict[str, Field]) -> dict[str, tuple]:
+    return {n: (f.tag, f.take, f.attribute, f.value, f.contains, f.path) for n, f in fields.items()}
 
-        def below(node, parent, place, path):
-            if not path:
-                return node, parent, place
-            tag, _, nth = path[0].partition("[")
-            found = [(c, i) for i, c in enumerate(node[2]) if not isinstance(c, str) and c[0] == tag]
-            for child, i in found[int(nth[:-1]) - 1:int(nth[:-1])] if nth else found:
-                hit = below(child, node, i, path[1:])
-                if hit:
-                    return hit
-            return None
 
-        def matches(node, tag, attribute, value, contains):
-            if tag not in ("*", node[0]):
-                return False
-            if attribute is None:
-                return True
-            have = node[1].get(attribute)
-            return have is not None and (value in have if contains else have == value)
-
-        def taken(node, parent, place, take):
-            if take.startswith("@"):
-                return node[1].get(take[1:])
-            if take == "first":
-                return leading(node[2])
-            if take == "tail":
-                return next_text(parent[2][place + 1:])
-            if take == "next":
-                after = (next_text(c[2]) for c in parent[2][place + 1:] if not isinstance(c, str) and c[0] == node[0])
-                return next((t for t in after if t is not None), None)
-            return (" " if take == "mixed" else "").join(texts(node))
-
-        def fields_of(page):
-            out = dict.fromkeys(specs)
-            if page is None:
-                return out
-            missing = dict(specs)
-            for node, parent, place in walk(read(page)):
-                for name in [n for n, s in missing.items() if matches(node, s[0], s[2], s[3], s[4])]:
-                    hit = below(node, parent, place, missing[name][5])
-                    if hit:
-                        out[name] = taken(*hit, missing.pop(name)[1])
-                if not missing:
-                    break
-            return out
+def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
+    """Struct with one text per field; a selector that finds nothing gives NULL."""
+    specs, make, finder = _specs(fields), _reader, _field_finder
 
-        return pd.DataFrame([fields_of(p) for p in pages], columns=list(specs))
+    def batch(pages: pd.Series) -> pd.DataFrame:
+        read, fields_of = make()[0], finder(specs)
+        return pd.DataFrame([dict.fromkeys(specs) if p is None else fields_of(read(p)) for p in pages], columns=list(specs))
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
     return F.pandas_udf(batch, schema)(col(html))
@@ -238,73 +281,100 @@ def element_texts(html: str | Column, attribute: str, part: str, within: tuple[s
         def found(page):
             if page is None:
                 return None
-            top = read(page)
-            if within is not None:
-                top = next((n for n, _, _ in walk(top) if n[1].get(within[0]) == within[1]), ("", {}, []))
-            return ["".join(texts(n)) for n, _, _ in walk(top) if part in (n[1].get(attribute) or "")]
+            top = read(page, *within) if within is not None else read(page)
+            return ["".join(texts(n)) for n, _, _ in walk(top) if part in (n[1].get(attribute) or "")] if top else []
 
         return pages.map(found)
 
     return F.pandas_udf(batch, T.ArrayType(T.StringType()))(col(html))
 
 
+def _table_reader():
+    """Table element -> its data rows."""
+    _, walk, texts = _reader()
+
+    def span(cell, name):
+        given = cell[1].get(name) or ""
+        return max(1, int(given)) if given.isdigit() else 1
+
+    def data(table):
+        out, below, head = [], {}, True
+        for row, parent, _ in walk(table):
+            if row[0] != "tr":
+                continue
+            cells = [c for c in row[2] if not isinstance(c, str) and c[0] in ("td", "th")]
+            head = head and parent[0] != "thead" and all(c[0] == "th" for c in cells)
+            if parent[0] == "thead" or (head and cells):
+                continue
+            line = []
+
+            def from_above():
+                while below.get(len(line), (0,))[0]:
+                    n, shown = below[len(line)]
+                    below[len(line)] = (n - 1, shown)
+                    line.append(shown)
+
+            for cell in cells:
+                from_above()
+                shown = " ".join("".join(texts(cell)).split()) or NAN
+                for _ in range(span(cell, "colspan")):
+                    below[len(line)] = (span(cell, "rowspan") - 1, shown)
+                    line.append(shown)
+            from_above()
+            out.append(line)
+        return out
+
+    def first(tree):
+        """Rows of the first table of a tree, the tree itself included."""
+        if tree is None:
+            return None
+        return data(tree) if tree[0] == "table" else next((data(node) for node, _, _ in walk(tree) if node[0] == "table"), None)
+
+    return first
+
+
 def first_table(html: str | Column, attribute: str | None = None, value: str | None = None) -> Column:
     """Cells of the first table as rows of texts, white space collapsed; with an attribute, the first table that is or
     lies in an element with that value. Rows of the head (in ``thead``, or without one the leading rows of heading cells only) are no data, an
-    empty cell is the missing marker, and a cell that spans rows or columns is repeated in each of them."""
-    make = _reader
+    empty cell is the missing marker, and a cell that spans rows or columns is repeated in each of them.
+
+    Only the wanted element is built: reading begins to keep things at its start and ends with it."""
+    make, table_reader = _reader, _table_reader
+    wanted = ("", "table") if attribute is None else (attribute, value)
 
     def batch(pages: pd.Series) -> pd.Series:
-        read, walk, texts = make()
+        read, first = make()[0], table_reader()
+        return pages.map(lambda p: None if p is None else first(read(p, *wanted)))
 
-        def span(cell, name):
-            given = cell[1].get(name) or ""
-            return max(1, int(given)) if given.isdigit() else 1
-
-        def data(table):
-            out, below, head = [], {}, True
-            for row, parent, _ in walk(table):
-                if row[0] != "tr":
-                    continue
-                cells = [c for c, up, _ in walk(row) if up is row and c[0] in ("td", "th")]
-                head = head and parent[0] != "thead" and all(c[0] == "th" for c in cells)
-                if parent[0] == "thead" or (head and cells):
-                    continue
-                line = []
-
-                def from_above():
-                    while below.get(len(line), (0,))[0]:
-                        n, shown = below[len(line)]
-                        below[len(line)] = (n - 1, shown)
-                        line.append(shown)
-
-                for cell in cells:
-                    from_above()
-                    shown = " ".join("".join(texts(cell)).split()) or NAN
-                    for _ in range(span(cell, "colspan")):
-                        below[len(line)] = (span(cell, "rowspan") - 1, shown)
-                        line.append(shown)
-                from_above()
-                out.append(line)
-            return out
+    return F.pandas_udf(batch, T.ArrayType(T.ArrayType(T.StringType())))(col(html))
 
-        def rows(page):
+
+def page_parts(html: str | Column, fields: dict[str, Field], rows: tuple[str, str], within: tuple[str, str], table: tuple[str, str]) -> Column:
+    """Everything a record needs from one read of its page: struct of ``fields`` (one text each), ``rows`` (texts of the elements whose
+    attribute contains a part, within an element) and ``cells`` (of the first table in an element)."""
+    specs, make, finder, table_reader = _specs(fields), _reader, _field_finder, _table_reader
+
+    def batch(pages: pd.Series) -> pd.DataFrame:
+        (read, walk, texts), fields_of, first = make(), finder(specs), table_reader()
+
+        def element(tree, attribute, value):
+            return next((n for n, _, _ in walk(tree) if n[1].get(attribute) == value), None)
+
+        def parts(page):
             if page is None:
-                return None
+                return {"fields": None, "rows": None, "cells": None}
             tree = read(page)
-            if attribute is not None:
-                inside = next((n for n, _, _ in walk(tree) if n[1].get(attribute) == value), None)
-                if inside is None:
-                    return None
-                tree = ("", {}, [inside])
-            for node, _, _ in walk(tree):
-                if node[0] == "table":
-                    return data(node)
-            return None
+            top = element(tree, *within)
+            found = ["".join(texts(n)) for n, _, _ in walk(top) if rows[1] in (n[1].get(rows[0]) or "")] if top else []
+            return {"fields": fields_of(tree), "rows": found, "cells": first(element(tree, *table))}
 
-        return pages.map(rows)
+        return pd.DataFrame([parts(p) for p in pages], columns=["fields", "rows", "cells"])
 
-    return F.pandas_udf(batch, T.ArrayType(T.ArrayType(T.StringType())))(col(html))
+    texts_type = T.ArrayType(T.StringType())
+    schema = T.StructType([
+        T.StructField("fields", T.StructType([T.StructField(n, T.StringType()) for n in fields])), T.StructField("rows", texts_type),
+        T.StructField("cells", T.ArrayType(texts_type))])
+    return F.pandas_udf(batch, schema)(col(html))
 
 
 def harvest(html: str | Column, tag: str, attribute: str) -> Column:

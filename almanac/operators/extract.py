@@ -10,16 +10,16 @@ from almanac.sources.tables import to_csv_text
 def standardise_pages(df: DataFrame, html: str, timezone: bool = True) -> DataFrame:
     """Records of the pages in ``html``; the other columns, such as city and crawl time, are kept.
 
-    Texts and hourly rows are read first. Pages that do not start with the first hour are dropped before the diagram
-    table is parsed: Spark does not move a filter below a Python function, so the gate stands between the two.
+    Texts, hourly rows and the cells of the diagram come from one read of the page. Pages that do not start with the first hour
+    are dropped before anything else is worked out.
     """
-    read = df.withColumn("_rows", P.element_texts(html, *P.OVERVIEW_ROW, within=P.OVERVIEW))
-    read = P.with_fields(read, html, P.CITY_PAGE)
-    hours = read.withColumn("_hours", F.transform("_rows", P.hour_columns))
+    parts = P.page_parts(html, P.CITY_PAGE, P.OVERVIEW_ROW, P.OVERVIEW, P.DIAGRAM)
+    read = df.withColumn("_parts", parts).drop(html)
+    hours = read.withColumn("_hours", F.transform("_parts.rows", P.hour_columns))
+    kept = hours.filter(P.on_time(F.col("_hours.Time"), timezone))
     columns = {name: F.col(f"_hours.{name}") for name in P.HOUR_COLUMNS}
-    shaped = hours.withColumns({
+    shaped = kept.withColumns({
+        **{n: P.tidied(F.col(f"_parts.fields.{n}"), f.take) for n, f in P.CITY_PAGE.items()},
         "times": F.col("_hours.Time"), "clearness": F.col("_hours.Clearness"), "overview": to_csv_text(columns)})
-    kept = shaped.filter(P.on_time(F.col("times"), timezone)).drop("_rows", "_hours")
-    tables = kept.withColumn("_cells", P.first_table(html, *P.DIAGRAM)).drop(html)
-    others = [c for c in tables.columns if c != "_cells"]
-    return tables.select(*others, *P.diagram_series(F.col("_cells")))
+    others = [c for c in shaped.columns if c not in ("_parts", "_hours")]
+    return shaped.select(*others, *P.diagram_series(F.col("_parts.cells")))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import pages as P
 from almanac.functions.pages import Field
+from almanac.operators.extract import standardise_pages
 from almanac.operators.gates import drop_small_groups
 from almanac.plans import Book, table
 from almanac.plans.rendered import SERIES, SQL_HOURS, SQL_RECORDS, hours, records
@@ -117,6 +118,46 @@ def b9(spark, sf):
     return series.select("path", "city", *[F.array_join(c, ",").alias(c) for c in P.DIAGRAM_ROWS])
 
 
+def _city_pages(spark, sf):
+    """A city page for every record: texts, hourly rows and the diagram table where the site has them, and other things around."""
+    df = records(spark, sf)
+
+    def element(lead, value, tail):
+        return F.coalesce(F.concat(F.lit(lead), value, F.lit(tail)), F.lit(""))
+
+    slots = F.transform(F.arrays_zip("times", "clearness", "temperatur_in_deg_C"), lambda s: F.concat(
+        F.lit("<div class='x swg-row-wrapper border--grey-next'> <b>"), s["times"], F.lit("</b>\n <i>"), s["clearness"], F.lit("</i> "), s["temperatur_in_deg_C"], F.lit("°</div>")))
+    at = {i: F.col(c) for c, i in _PICKED}
+    cells = F.transform(F.array(*[at.get(i, F.col("times")) for i in range(20)]), lambda r: F.concat(
+        F.lit("<tr>"), F.array_join(F.transform(r, lambda v: F.concat(F.lit("<td> "), v, F.lit(" </td>"))), ""), F.lit("</tr>")))
+    return df.withColumn("html", F.concat(
+        F.lit("<!DOCTYPE html><html><head><script>if (a < b) { '<p>' }</script><!-- <table> --></head><body>"),
+        element("<div id='cnt-with-location-attributes'><p>no</p><div><p> ", F.col("report_short"), " <em>x</em></p></div></div>"),
+        element("<div id='furtherDetails'><div><div>", F.col("report_long"), "</div><div>no</div></div></div>"),
+        F.lit("<p><span title='Sonnenaufgang'></span> "), "sunrise", F.lit("</p><p><span title='Sonnenuntergang'></span>"), "sundown",
+        F.lit("</p><p><span class='icon icon-sun_hours'></span><b>no</b><span>"), "sunhours", F.lit("</span></p><table><tr><td>no</td></tr></table>"),
+        F.lit("<div class='swg-row-wrapper border--grey-next'>outside</div><div id='uebersicht'>"), F.array_join(slots, ""),
+        F.lit("</div><div id='vhs-detail-diagram'><table><thead><tr><th>head</th></tr></thead>"), F.array_join(cells, ""), F.lit("</table></div></body></html>")))
+
+
+_LONG = r"trim(regexp_replace(translate(report_long, chr(10) || chr(9), ''), '\s+', ' ', 'g'))"
+_TEXTS = f"report_short, {_LONG} AS report_long, sunrise, nullif(sundown, '') AS sundown, sunhours"
+
+
+@BOOK.add("B1_city_page", SQL_RECORDS + f"SELECT path, {_TEXTS} FROM rec")
+def b1_city(spark, sf):
+    """The texts of a city page, as the raw record has them."""
+    return P.with_fields(_city_pages(spark, sf).select("path", "html"), "html", P.CITY_PAGE).select("path", *P.CITY_PAGE)
+
+
+@BOOK.add("B9_standardise_pages", SQL_RECORDS + f"SELECT path, city, {_TEXTS}, array_to_string(times, ',') AS times, array_to_string(clearness, ',') AS clearness, " + ", ".join(
+    f"array_to_string({SERIES[c][0]}, ',') AS \"{c.replace('km_per_h', 'km_per_s')}\"" for c, _ in _PICKED) + " FROM rec WHERE times[1] = '00 - 01 Uhr'")
+def b9_pages(spark, sf):
+    """Pages to standardised records, the whole extraction."""
+    found = standardise_pages(_city_pages(spark, sf).select("path", "city", "html"), "html")
+    return found.select("path", "city", *P.CITY_PAGE, *[F.array_join(c, ",").alias(c) for c in ("times", "clearness", *P.DIAGRAM_ROWS)])
+
+
 # A page of options per order: country links, a boundary, a status link, a boundary, a priority link; other values are noise.
 def _options_html():
     def option(v):

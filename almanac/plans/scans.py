@@ -1,7 +1,6 @@
 """Scans, sources and sinks (A rows). Files are written below the shared folder and read back."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from almanac.functions import text as X
 from almanac.operators.requests import response_text
@@ -12,6 +11,7 @@ from almanac.plans.rendered import SQL_RECORDS, SQL_REPORTS, records, reports
 from almanac.schema import CORRUPT, RECORD_SCHEMA
 from almanac.sources import records as R
 from almanac.sources import tables as C
+from almanac.sources.planned import write_planned, write_record_files
 from almanac.storage import fresh_path
 
 BOOK = Book()
@@ -27,32 +27,75 @@ def _shaped(df):
 def archive(spark, sf):
     """(path, content): every record as JSON text, its raw sibling, and a broken text for days without a report."""
     df = _shaped(records(spark, sf))
-    content = F.to_json(F.struct(*[c for c in df.columns if c != "path"]))
-    content = F.when(F.col("report_short").isNull(), F.concat(F.lit("{"), content)).otherwise(content)
+    broken = F.when(F.col("report_short").isNull(), F.concat(F.lit("{"), _content(df))).otherwise(_content(df))
     both = F.array(
-        F.struct("path", content.alias("content")),
-        F.struct(F.replace("path", F.lit("_standardised"), F.lit("")).alias("path"), F.lit("{}").alias("content")))
+        F.struct("path", broken.alias("content")), F.struct(_sibling().alias("path"), F.lit("{}").alias("content")))
     return df.select(F.inline(both))
 
 
+def _content(df):
+    return F.to_json(F.struct(*[c for c in df.columns if c != "path"]))
+
+
+def _sibling():
+    """Path of the raw record beside a standardised one."""
+    return F.replace("path", F.lit("_standardised"), F.lit(""))
+
+
 @BOOK.add("A1_scan_records", SQL_REPORTS + """
 SELECT path, city, report_short, array_to_string(times, ',') AS times, array_to_string(menge, ',') AS rain FROM rep""")
 def a1(spark, sf):
+    """One record per file: the standardised ones are told from their raw siblings by name, and carry day and file as path."""
     path = fresh_path(spark, "records")
-    R.write_records(_shaped(reports(spark, sf)).withColumn("day", F.col("created_day")), path, "day")
-    schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField("path", T.StringType())])
-    files = (spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    return R.named_records(files).select(
+    rows = reports(spark, sf)
+    shaped = _shaped(rows)
+    both = F.array(F.struct("path", _content(shaped).alias("content")), F.struct(_sibling().alias("path"), F.lit("{}").alias("content")))
+    write_record_files(shaped.select(F.inline(both)), path, "path", "content")
+    return R.scan_records(spark, path).select(
         "path", "city", "report_short", F.array_join("times", ",").alias("times"), F.array_join("niederschlagsmenge_in_l_per_sqm", ",").alias("rain"))
 
 
+LINES_PER_FILE = 50
+
+
+def _planned(spark, sf):
+    """The records by day in planned files, a record a line; path and plan."""
+    path = fresh_path(spark, "days")
+    rows = _shaped(records(spark, sf)).withColumn("day", F.col("created_day")).drop("path")
+    return path, write_planned(rows, path, "day", LINES_PER_FILE)
+
+
+def _scan_days(spark, path):
+    scanned = R.scan_records(spark, path, "*.json", multi_line=False)
+    return scanned.withColumn("path", F.regexp_replace("path", "^day=", ""))
+
+
+@BOOK.add("A1_scan_lines", SQL_RECORDS + """
+SELECT created_day AS day, city, report_short, array_to_string(times, ',') AS times, array_to_string(menge, ',') AS rain FROM rec""")
+def a1_lines(spark, sf):
+    path, _ = _planned(spark, sf)
+    return _scan_days(spark, path).select(
+        F.substring_index("path", "/", 1).alias("day"), "city", "report_short", F.array_join("times", ",").alias("times"),
+        F.array_join("niederschlagsmenge_in_l_per_sqm", ",").alias("rain"))
+
+
 @BOOK.add("A2_day_counts", SQL_RECORDS + """
 SELECT created_day AS day, count(*) AS found, count(*) FILTER (report_short IS NOT NULL AND len(times) = 24) AS with_data FROM rec GROUP BY created_day""")
 def a2(spark, sf):
-    path = fresh_path(spark, "days")
-    _shaped(records(spark, sf)).withColumn("day", F.col("created_day")).drop("path").write.partitionBy("day").json(path)
-    scanned = R.scan_records(spark, path, "*.json", multi_line=False)
-    return R.day_counts(scanned.withColumn("path", F.regexp_replace("path", "^day=", "")))
+    path, _ = _planned(spark, sf)
+    return R.day_counts(_scan_days(spark, path))
+
+
+@BOOK.add("A2_planned_files", SQL_RECORDS + f"""
+SELECT created_day AS day, count(*) AS records, CAST(ceil(count(*) / {LINES_PER_FILE}.0) AS BIGINT) AS planned, true AS within FROM rec GROUP BY created_day""")
+def a2_files(spark, sf):
+    """Per day the planned number of files, and whether no more were written, between them with all its records."""
+    path, plan = _planned(spark, sf)
+    scanned = _scan_days(spark, path)
+    found = scanned.groupBy(F.substring_index("path", "/", 1).alias("day")).agg(
+        F.count(F.lit(1)).alias("found"), F.count_distinct("path").alias("made"))
+    return plan.join(found, "day").select(
+        "day", "records", F.col("files").cast("bigint").alias("planned"), (F.expr("made <= files and found = records")).alias("within"))
 
 
 _MANIFEST = """,
@@ -162,11 +205,16 @@ def a12_back(spark, sf):
     return rows.select("path", "Time", "Clearness", "Wind Direction")
 
 
-@BOOK.add("A13_write_splits", SQL_REPORTS + _MANIFEST + "SELECT split, 'data/' || path AS path FROM manifest")
+@BOOK.add("A13_write_splits", SQL_REPORTS + _MANIFEST + """
+SELECT split, 'data/' || path AS path, rep.city, report_short, array_to_string(times, ',') AS times FROM manifest JOIN rep USING (path)""")
 def a13(spark, sf):
+    """The manifest, and beside it what the copies hold."""
     df = _shaped(reports(spark, sf))
     split = df.join(random_split(df.select("path"), "path").select("path", "split"), "path")
-    return R.write_splits(split, fresh_path(spark, "dataset"))
+    path = fresh_path(spark, "dataset")
+    manifest = R.write_splits(split, path)
+    copies = spark.read.schema(split.schema).parquet(f"{path}/data").withColumn("path", F.concat(F.lit("data/"), "path"))
+    return manifest.join(copies, ["split", "path"]).select("split", "path", "city", "report_short", F.array_join("times", ",").alias("times"))
 
 
 @BOOK.add("A14_merge_city_files", """

@@ -248,3 +248,73 @@ def test_hours_are_read_below_the_overview_only(one):
     assert one(P.element_texts("h", "class", "k", within=("id", "uebersicht")), "h string", (page,)) == ["in"]
     assert one(P.element_texts("h", "class", "k", within=("id", "none")), "h string", (page,)) == []
     assert one(P.element_texts("h", "class", "k"), "h string", (page,)) == ["out", "in", "after"]
+
+
+def _library_tree(html):
+    """The same tree by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    single = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    closes = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open = [("", {}, [])]
+            self.root = self.open[0]
+
+        def handle_starttag(self, tag, attrs):
+            while self.open[-1][0] in closes.get(tag, ()):
+                self.open.pop()
+            self.open[-1][2].append((tag, {k: v or "" for k, v in attrs}, []))
+            if tag not in single:
+                self.open.append(self.open[-1][2][-1])
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in single:
+                self.handle_endtag(tag)
+
+        def handle_endtag(self, tag):
+            at = [i for i in range(1, len(self.open)) if self.open[i][0] == tag]
+            if at:
+                del self.open[at[-1]:]
+
+        def handle_data(self, data):
+            self.open[-1][2].append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return reader.root
+
+
+def _joined(node):
+    """Tree with neighbouring texts as one."""
+    out = []
+    for child in node[2]:
+        if isinstance(child, str) and out and isinstance(out[-1], str):
+            out[-1] += child
+        else:
+            out.append(child if isinstance(child, str) else _joined(child))
+    return node[0], node[1], out
+
+
+PIECES = ["<p>", "</p>", "<div id=a>", "<div class='x y' id=\"a\">", "</div>", "<table>", "<tr>", "<td colspan=2>", "<td>", "</td>", "</tr>", "</table>", "text ", " a < b ", "&amp;&uuml;",
+          "<br>", "<br/>", "<img src='a>b'>", "<!-- <p> -->", "<script>if (a<b) '</p>'</script>", "<li>", "</ul>", "<a href=/x/y>", "</a>", "<b/>", "<option value=\"\">", "<!DOCTYPE html>", "<span hidden>", "</span>"]
+
+
+def test_the_reader_gives_the_tree_of_the_library(spark):
+    import random
+
+    read, walk, _ = P._reader()
+    rng = random.Random(6)
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    pages += ["".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    for page in pages:
+        whole = _joined(_library_tree(page))
+        assert _joined(read(page)) == whole
+        for attribute, value in (("id", "a"), ("", "table")):
+            wanted = next((n for n, _, _ in walk(whole) if (n[0] if attribute == "" else n[1].get(attribute)) == value), None)
+            found = read(page, attribute, value)
+            assert (found and _joined(found)) == wanted
