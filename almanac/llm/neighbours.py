@@ -1,9 +1,13 @@
 """Operator 5: approximate nearest neighbours by NN-descent and greedy graph search.
 
 *Index.* Equal vectors are one node. The graph starts from ``TREES`` random splits of the nodes into blocks of about ``BLOCK``, compared
-in full. Then NN-descent: a node's neighbours are also those that have it as a neighbour; all neighbours of a node meet there
-(a Spark join sends each one's vector), are compared with each other, and every node takes over what is nearer than its
-farthest neighbour. A node that is the neighbour of many is met in chunks of ``CHUNK``.
+in full; a block that stays large is dealt by hash, another one in each tree. Then NN-descent: a node's neighbours are also those
+that have it as a neighbour; all neighbours of a node meet there (a Spark join sends each one's vector), are compared with each
+other, and every node takes over what is nearer than its farthest neighbour. A node that is the neighbour of many is met in chunks
+of ``CHUNK``, others in each round. Rounds go on until less than ``SETTLED`` of the entries of all lists change.
+
+*Precision.* The graph holds single-precision vectors in units of a power of two, and distances are taken in double precision from
+the middle of what is compared, so neither one very long vector nor a dense cluster far from the origin blurs the order.
 
 *Search.* Greedy best-first: a query keeps its ``BEAM`` nearest nodes so far; each round opens the ``OPEN`` nearest ones not yet
 opened, joins their neighbours in the graph with their vectors, and ends when none is left. Queries that are rows of the table
@@ -30,7 +34,7 @@ from almanac.storage import written
 NEIGHBOURS = 20
 TREES = 8
 BLOCK = 1024
-ROUNDS = 2
+SETTLED = 0.02
 CHUNK = 64
 BEAM = 400
 OPEN = 64
@@ -52,22 +56,27 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def packed(v: Column, largest: float) -> Column:
-    """The vector in units of the ``largest`` component of all, as half-precision bytes, for building and walking the graph."""
+    """The vector in units of a power of two near the ``largest`` component of all, as single-precision bytes, for building and
+    walking the graph. Units are there for components that single precision cannot hold."""
+    unit = 2.0 ** math.frexp(largest)[1]
 
     @F.pandas_udf("binary")
     def pack(vectors: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(x) / largest).astype(np.float16).tobytes() for x in vectors])
+        return pd.Series([(np.asarray(x) / unit).astype(np.float32).tobytes() for x in vectors])
 
     return pack(v)
 
 
 def matrix(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float16).astype(np.float32).reshape(len(blobs), -1)
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows, in double precision from the mean of ``b``."""
+    middle = b.mean(axis=0, dtype=np.float64)
+    a, b = a - middle, b - middle
     square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0))
+    return np.sqrt(np.maximum(square, 0)).astype(np.float32)
 
 
 def nearest(owner: np.ndarray, nbr: np.ndarray, dist: np.ndarray, k: int) -> pd.DataFrame:
@@ -134,7 +143,7 @@ def _first_lists(points: DataFrame, n: int, tasks: int, k: int) -> DataFrame:
     coded = written(coded, "codes")
     # A block beyond twice the size aimed at is cut by hash, so every comparison has a bounded size.
     cuts = coded.groupBy("tree", "code").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("cuts"))
-    blocks = coded.join(cuts, ["tree", "code"]).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    blocks = coded.join(cuts, ["tree", "code"]).withColumn("cut", F.pmod(F.xxhash64("node", "tree"), F.col("cuts")))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -157,12 +166,12 @@ def links(graph: DataFrame) -> DataFrame:
     return forth.union(forth.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
 
 
-def _descend(graph: DataFrame, n: int, tasks: int, k: int) -> DataFrame:
+def _descend(graph: DataFrame, n: int, tasks: int, k: int, turn: int) -> DataFrame:
     """One round of NN-descent."""
     near = written(links(graph), "graph-links")
     parts = near.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     members = graph.select(F.col("node").alias("other"), "vec", "farthest")
-    met = near.join(parts, "node").join(members, "other").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")))
+    met = near.join(parts, "node").join(members, "other").withColumn("part", F.pmod(F.xxhash64("other", F.lit(turn)), F.col("parts")))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["node", "part"])
@@ -180,13 +189,23 @@ def _descend(graph: DataFrame, n: int, tasks: int, k: int) -> DataFrame:
     return _merged(graph, updates, tasks, k)
 
 
-def build(points: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the entries of all lists that were not there before."""
+    old = before.select("node", F.col("nbrs").alias("old"))
+    new = F.size(F.array_except("nbrs", F.coalesce("old", F.array().cast("array<long>"))))
+    row = after.filter("nbrs is not null").join(old, "node").agg(F.sum(new).alias("new"), F.sum(F.size("nbrs")).alias("all")).first()
+    return (row["new"] or 0) / (row["all"] or 1)
+
+
+def build(points: DataFrame, k: int = NEIGHBOURS, settled: float = SETTLED) -> DataFrame:
     """The neighbour graph of the points (node, vec): (node, vec, nbrs, dists, farthest)."""
     n = points.count()
     tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_NODES)
     graph = _merged(points, _first_lists(points, n, tasks, k), tasks, k)
-    for _ in range(rounds if n > BLOCK else 0):
-        graph = _descend(graph, n, tasks, k)
+    turn, share = 0, 1.0 if n > BLOCK else 0.0
+    while share >= settled:
+        before, graph, turn = graph, _descend(graph, n, tasks, k, turn), turn + 1
+        share = changed(before, graph)
     return graph
 
 

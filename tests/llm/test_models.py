@@ -1,6 +1,7 @@
 """Learned operators: exactness of the algorithms, accuracy on held-out rows, odd rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from almanac.llm import language_id as L
@@ -270,3 +271,24 @@ def test_neighbours_of_odd_vectors(spark):
     got = [tuple(r) for r in neighbours.nearest_rows(table, F.col("vec_id") % 100 == 0, "vec_id", "embedding").orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 8, 0.0), (0, 3, 7, 5 ** 0.5)]
     assert neighbours.nearest_rows(table.limit(0), F.col("vec_id") % 100 == 0, "vec_id", "embedding").count() == 0
+
+
+@pytest.mark.parametrize("outlier", [False, True])
+def test_neighbours_in_a_dense_cluster(spark, outlier):
+    """Half of the vectors jitter around one; a huge one must not blur them."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((2400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:1200] = x[0] + rng.standard_normal((1200, 16)) * 1e-5
+    if outlier:
+        x[2399] *= 1e7
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_rows(table, F.col("vec_id") % 50 == 0, "vec_id", "embedding").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q, found in got.items():
+        gap = ((x - x[q]) ** 2).sum(axis=1)
+        gap[q] = np.inf
+        hits.append(len(found & set(np.argsort(gap)[:10].tolist())) / 10)
+    assert len(got) == 48 and np.mean(hits[:24]) >= 0.9 and np.mean(hits) >= 0.9
