@@ -37,7 +37,7 @@ LEXICON_COUNT = 3
 TABLE_BITS = 18
 ORDERS = (2, 3, 4, 5)
 #: Texts are labelled in portions of about so many bytes.
-PORTION = 1 << 20
+PORTION = 1 << 18
 UNKNOWN = "und"
 
 

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ TASK_BYTES = 8 << 20
 BUCKET_SIGNATURES = 400_000
 SIGNATURES_PER_SHINGLE = 0.45
 PORTION = 1 << 20
+#: Bytes of text whose signatures are sent together.
+SLICE = 8 << 20
 
 
 def mixed(codes: np.ndarray) -> np.ndarray:
@@ -171,6 +174,15 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], li
             yield ids, texts
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``SLICE`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=0))
+    for a, b in zip([0, *cut], [*cut, len(sizes)]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _digests(docs: DataFrame, words: int) -> DataFrame:
     """(doc, n, digest) of the set of every document."""
 
@@ -208,7 +220,7 @@ def _packed_signatures(docs: DataFrame, words: int, percent: int, buckets: int)
         import hashlib
 
         scheme = PartEnum(percent)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             codes, owners, seen = [], [], set()
             rows = ((doc, s) for ids, texts in _portions(iter([batch])) for doc, s in zip(ids, shingle_sets(texts, words)))
             for doc, s in rows:
