@@ -1,10 +1,11 @@
 """Operator 6: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Both hold the words that are commonest in ordinary
-text; the toxic one goes on with the words and beginnings of words that toxic documents hold significantly more often. A text is cut into windows of
-``WINDOW`` words; each is compressed with either dictionary, and the bytes that the toxic one saves tell toxic windows. The
-document's score is a logistic function of the shares of its windows that save at least 1, 2, ... bytes and of the largest
-saving, calibrated on labelled documents that took no part in the dictionaries; 0.7 is the threshold of a prediction.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text, by one rule: both hold the words that are common in
+both classes, and each goes on with the words and beginnings of words that documents of its own class hold significantly more
+often. A text is cut into windows of ``WINDOW`` words; each is compressed with either dictionary, and the bytes that the toxic one
+saves, or costs, against the ordinary one tell toxic windows. The document's score is a logistic function of the shares of its
+windows that save at least 1, 2, ... bytes and of the largest saving, calibrated on labelled documents that took no part in the
+dictionaries; 0.7 is the threshold of a prediction.
 
 Training uses a bounded sample: ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` labelled rows of the learning part (those with the
 smallest hash of the id), of at most ``SAMPLE_CHARS`` characters each. The calibrated log odds are then shifted by
@@ -13,6 +14,7 @@ class the sample holds. Scoring reads whole texts in Arrow batches.
 
 Defined results: null and empty texts are scored like any text without a toxic window; when the sample lacks one of the classes
 every score is 0; of several labels for one document the largest counts; rows without id are scored and none of them is held out;
+repeated rows are scored each, copies teach once; very long texts are scored window by window, whole, and never teach;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -36,7 +38,7 @@ SAMPLE_TOXIC = 2000
 SAMPLE_ORDINARY = 3000
 SAMPLE_CHARS = 20_000
 COMMON_WORDS = 400
-TOXIC_SEGMENTS = 200
+SEGMENTS = 200
 LEAST_BYTES, MOST_BYTES = 4, 12
 #: A toxic segment is held by more toxic than ordinary documents: by this share of them, and by so many standard errors.
 LEAST_EXCESS = 0.01
@@ -63,26 +65,34 @@ def beginnings(words: list[bytes]) -> set[bytes]:
     return {b" " + w + b" " for w in words} | {b" " + w[:n] for w in set(words) for n in range(LEAST_BYTES, min(len(w), MOST_BYTES) + 1)}
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary from the words of sample documents. The last bytes of a dictionary are
-    the nearest to the window, so the most useful ones come last."""
-    common = Counter(w for words in ordinary for w in set(words))
-    common = sorted(common, key=lambda w: (-common[w], w))[:COMMON_WORDS]
-    held = [Counter(x for words in side for x in beginnings(words)) for side in (ordinary, toxic)]
-    n = [len(ordinary), len(toxic)]
-    base = b" " + b" ".join(reversed(common)) + b" "
+def telling(own: list[set[bytes]], other: list[set[bytes]], base: bytes) -> list[bytes]:
+    """Segments that the documents of one class hold more often than those of the other, by ``LEAST_EXCESS`` of them and by
+    ``LEAST_ERRORS`` standard errors; the most useful last, since the last bytes of a dictionary are the nearest to the window."""
+    n = len(own), len(other)
+    held = [Counter(x for segments in side for x in segments) for side in (own, other)]
     worth = []
-    for segment, times in held[1].items():
-        excess = times / n[1] - held[0][segment] / n[0]
-        both = (times + held[0][segment]) / sum(n)
+    for segment, times in held[0].items():
+        excess = times / n[0] - held[1][segment] / n[1]
+        both = (times + held[1][segment]) / sum(n)
         error = (both * (1 - both) * (1 / n[0] + 1 / n[1])) ** 0.5
         if excess >= LEAST_EXCESS and excess >= LEAST_ERRORS * error and segment not in base:
             worth.append((excess * len(segment), segment))
     chosen: list[bytes] = []
     for _, segment in sorted(worth, reverse=True):
-        if len(chosen) < TOXIC_SEGMENTS and not any(segment.startswith(x) or x.startswith(segment) for x in chosen):
+        if len(chosen) < SEGMENTS and not any(segment.startswith(x) or x.startswith(segment) for x in chosen):
             chosen.append(segment)
-    return base, base + b"".join(reversed(chosen)) + b" "
+    return chosen[::-1]
+
+
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary from the words of sample documents, each trained on its own class by the same
+    rule: the words that are commonest in both classes together (both weigh the same), then what tells the class from the other."""
+    sides = ordinary, toxic
+    shares = [Counter(w for words in side for w in set(words)) for side in sides]
+    common = {w: min(shares[0][w] / len(ordinary), shares[1][w] / len(toxic)) for w in shares[0].keys() & shares[1].keys()}
+    base = b" " + b" ".join(sorted(sorted(common, key=lambda w: (-common[w], w))[:COMMON_WORDS], key=lambda w: (common[w], w))) + b" "
+    segments = [[beginnings(words) for words in side] for side in sides]
+    return tuple(base + b"".join(telling(segments[i], segments[1 - i], base)) + b" " for i in (0, 1))
 
 
 @dataclass

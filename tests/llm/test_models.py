@@ -292,3 +292,31 @@ def test_neighbours_in_a_dense_cluster(spark, outlier):
         gap[q] = np.inf
         hits.append(len(found & set(np.argsort(gap)[:10].tolist())) / 10)
     assert len(got) == 48 and np.mean(hits[:24]) >= 0.9 and np.mean(hits) >= 0.9
+
+
+def test_windows_are_measured_as_plain_compression_measures_them():
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(300)]
+    ordinary = [[words[k] for k in rng.integers(0, 200, 120)] for _ in range(80)]
+    toxic = [[words[k] for k in rng.integers(0, 200, 120)] + [words[k] for k in rng.integers(250, 256, 12)] for _ in range(60)]
+    contents = toxicity.train_dictionaries(toxic, ordinary)
+    insults = {words[k] for k in range(250, 256)}
+    assert all(b" " + w + b" " in contents[1] for w in insults) and not any(b" " + w + b" " in contents[0] for w in insults)
+
+    def plain(content, window):
+        params = zstandard.ZstdCompressionParameters(
+            window_log=15, chain_log=12, hash_log=12, search_log=3, min_match=4, target_length=0, strategy=zstandard.STRATEGY_GREEDY,
+            write_content_size=0, write_checksum=0, write_dict_id=0)
+        held = zstandard.ZstdCompressionDict(content + toxicity.LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(window))
+
+    meter = toxicity.Toxicity(*contents).meter()
+    for text in (toxic[0], ordinary[0], toxic[1][-12:], [], [b"x" * 5000]):
+        saved = [plain(contents[0], w) - plain(contents[1], w) for w in toxicity.windows(text)]
+        n = max(1, len(saved))
+        shares = [sum(s >= least for s in saved) / n for least in toxicity.SAVINGS]
+        most = max(saved, default=0)
+        want = [1.0, *np.sqrt(shares), min(most, 12) / 4, max(0, most - 3) / 4 / (1 + np.log1p(n))]
+        assert np.allclose(meter(text), want)
