@@ -31,13 +31,13 @@ END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 BUCKET_PIECES = 50_000
 #: Bytes of words and ids that a Python worker keeps at hand, counted with what Python needs per word; only speed depends on it.
-KNOWN_BYTES = 240 << 20
+KNOWN_BYTES = 150 << 20
 WORD_OVERHEAD = 180
 LONG_WORD = 64
 #: Signs that the tokenizer cuts from the letters before them.
 SIGNS = ".,;:!?"
 #: Characters of text that are encoded together.
-PORTION = 1 << 20
+PORTION = 1 << 18
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
