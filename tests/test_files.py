@@ -318,3 +318,28 @@ def test_the_reader_gives_the_tree_of_the_library(spark):
             wanted = next((n for n, _, _ in walk(whole) if (n[0] if attribute == "" else n[1].get(attribute)) == value), None)
             found = read(page, attribute, value)
             assert (found and _joined(found)) == wanted
+
+
+def test_one_record_per_file_is_listed_in_tasks(spark, tmp_path):
+    """No file name lies in the driver's plan: the listing of a Spark reader would hold all of them there."""
+    for day in ("2001-1-1", "2001-1-2"):
+        for i in range(5):
+            write(tmp_path / day, f"Köln-{i}_standardised.json", json.dumps({"city": f"K{i}"}))
+            write(tmp_path / day, f"Köln-{i}.json", "{}")
+    write(tmp_path / "2001-1-1", ".draft_standardised.json", "{}")
+    write(tmp_path / "2001-1-1", "Leer-9_standardised.json", " \n")
+    scanned = R.scan_records(spark, str(tmp_path))
+    assert scanned.inputFiles() == []
+    assert sorted(r["path"] for r in scanned.collect()) == sorted(f"{d}/Köln-{i}_standardised.json" for d in ("2001-1-1", "2001-1-2") for i in range(5))
+    assert R.scan_records(spark, f"file://{tmp_path}").count() == 10
+
+
+def test_record_files_keep_numbers_as_they_are_written(spark, tmp_path):
+    raw = '{"city": "a 0.30, \\"1.50\\", NaN", "times": [0.30, NaN, -Infinity, 1e5, -2.50 , true, "1.50", null],\n "sunrise": 7.10, "sundown": "' + "x\\n" * 20000 + '"}'
+    write(tmp_path / "d", "A_standardised.json", raw)
+    write(tmp_path / "d", "B_standardised.json", '{"city": 01, "x": 0.30}')
+    good, bad = R.scan_records(spark, str(tmp_path)).orderBy("path").collect()
+    plain = spark.read.schema(R.RECORD_SCHEMA).option("multiLine", True).json(str(tmp_path / "d" / "A_standardised.json")).first()
+    assert good["times"] == ["0.30", "NaN", "-Infinity", "1e5", "-2.50", "true", "1.50", None] and good["sunrise"] == "7.10"
+    assert good["city"] == 'a 0.30, "1.50", NaN' and {k: good[k] for k in plain.asDict()} == plain.asDict()
+    assert bad["_corrupt_record"] == '{"city": 01, "x": 0.30}' and bad["city"] is None
