@@ -68,7 +68,8 @@ def _reader():
     """Page -> tree of (tag, attributes, children), from events: text, start and end of an element. Built per worker, so executors need
     nothing but the standard library."""
     import re
-    from html import unescape
+    from html import unescape as decoded
+    from html.entities import html5
 
     single = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
     closes = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -77,6 +78,12 @@ def _reader():
     given = re.compile(r"""([^\s"'=/][^\s=/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']\S*)|))?""")
     plain = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
 
+    reference = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[a-zA-Z][a-zA-Z0-9]*;)")
+
+    def unescape(text):
+        """Character references decoded. A name counts only with its semicolon: ``&amp`` alone is text, as in the SQL."""
+        return reference.sub(lambda m: decoded(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), text) if "&" in text else text
+
     def attributes(text):
         """Names and values, and whether the tag closes itself."""
         out, end = {}, 0

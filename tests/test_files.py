@@ -343,3 +343,10 @@ def test_record_files_keep_numbers_as_they_are_written(spark, tmp_path):
     assert good["times"] == ["0.30", "NaN", "-Infinity", "1e5", "-2.50", "true", "1.50", None] and good["sunrise"] == "7.10"
     assert good["city"] == 'a 0.30, "1.50", NaN' and {k: good[k] for k in plain.asDict()} == plain.asDict()
     assert bad["_corrupt_record"] == '{"city": 01, "x": 0.30}' and bad["city"] is None
+
+
+def test_a_reference_without_its_semicolon_is_text(spark):
+    page = "<html><title>a&amp;b &amp</title><a href='/x&amp;y&amp=1'>t &ampamp; &#65; &#66 &uuml; &nosuch;</a></html>"
+    got = P.with_fields(spark.createDataFrame([(page,)], "html string"), "html", {
+        "title": Field("title"), "link": Field("a", "@href"), "text": Field("a")}).first()
+    assert (got["title"], got["link"], got["text"]) == ("a&b &amp", "/x&y&amp=1", "t &ampamp; A B ü &nosuch;")
