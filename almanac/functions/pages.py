@@ -3,10 +3,11 @@
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from almanac.functions import text
 from almanac.functions.text import SPACE, col
@@ -33,6 +34,23 @@ DIAGRAM_ROWS = {
 }
 
 
+#: Pages whose texts and trees a worker holds as Python objects at once.
+PORTION = 64
+
+
+def _per_page(make, kind: T.DataType, html: str | Column) -> Column:
+    """``make()`` builds, once a batch, the function that turns a page into a value. Results go to Arrow after every portion, so a batch
+    of thousands of large pages is never held as Python objects; a missing page gives NULL."""
+    portion = PORTION
+
+    def batch(pages: pa.Array) -> pa.Array:
+        of_page, type_ = make(), to_arrow_type(kind)
+        parts = [pa.array([None if p is None else of_page(p) for p in pages.slice(at, portion).to_pylist()], type_) for at in range(0, len(pages), portion)]
+        return pa.concat_arrays(parts or [pa.array([], type_)])
+
+    return F.arrow_udf(batch, kind)(col(html))
+
+
 @dataclass(frozen=True)
 class Field:
     """First element with ``tag`` (``*`` for any) whose ``attribute`` equals (or contains) ``value``, or the first one below
@@ -254,14 +272,14 @@ def _specs(fields: dict[str, Field]) -> dict[str, tuple]:
 
 def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
     """Struct with one text per field; a selector that finds nothing gives NULL."""
-    specs, make, finder = _specs(fields), _reader, _field_finder
+    specs, reader, finder = _specs(fields), _reader, _field_finder
 
-    def batch(pages: pd.Series) -> pd.DataFrame:
-        read, fields_of = make()[0], finder(specs)
-        return pd.DataFrame([dict.fromkeys(specs) if p is None else fields_of(read(p)) for p in pages], columns=list(specs))
+    def make():
+        read, fields_of = reader()[0], finder(specs)
+        return lambda page: fields_of(read(page))
 
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
-    return F.pandas_udf(batch, schema)(col(html))
+    found = _per_page(make, T.StructType([T.StructField(n, T.StringType()) for n in fields]), html)
+    return F.coalesce(found, F.struct(*[F.lit(None).cast("string").alias(n) for n in fields]))
 
 
 def tidied(value: Column, take: str) -> Column:
@@ -280,20 +298,18 @@ def with_fields(df, html: str, fields: dict[str, Field]):
 def element_texts(html: str | Column, attribute: str, part: str, within: tuple[str, str] | None = None) -> Column:
     """Text of every element whose attribute contains ``part``, in document order; with ``within`` (attribute, value) only of those
     below the first element that has it."""
-    make = _reader
+    reader = _reader
 
-    def batch(pages: pd.Series) -> pd.Series:
-        read, walk, texts = make()
+    def make():
+        read, walk, texts = reader()
 
         def found(page):
-            if page is None:
-                return None
             top = read(page, *within) if within is not None else read(page)
             return ["".join(texts(n)) for n, _, _ in walk(top) if part in (n[1].get(attribute) or "")] if top else []
 
-        return pages.map(found)
+        return found
 
-    return F.pandas_udf(batch, T.ArrayType(T.StringType()))(col(html))
+    return _per_page(make, T.ArrayType(T.StringType()), html)
 
 
 def _table_reader():
@@ -346,53 +362,51 @@ def first_table(html: str | Column, attribute: str | None = None, value: str | N
     empty cell is the missing marker, and a cell that spans rows or columns is repeated in each of them.
 
     Only the wanted element is built: reading begins to keep things at its start and ends with it."""
-    make, table_reader = _reader, _table_reader
+    reader, table_reader = _reader, _table_reader
     wanted = ("", "table") if attribute is None else (attribute, value)
 
-    def batch(pages: pd.Series) -> pd.Series:
-        read, first = make()[0], table_reader()
-        return pages.map(lambda p: None if p is None else first(read(p, *wanted)))
+    def make():
+        read, first = reader()[0], table_reader()
+        return lambda page: first(read(page, *wanted))
 
-    return F.pandas_udf(batch, T.ArrayType(T.ArrayType(T.StringType())))(col(html))
+    return _per_page(make, T.ArrayType(T.ArrayType(T.StringType())), html)
 
 
 def page_parts(html: str | Column, fields: dict[str, Field], rows: tuple[str, str], within: tuple[str, str], table: tuple[str, str]) -> Column:
     """Everything a record needs from one read of its page: struct of ``fields`` (one text each), ``rows`` (texts of the elements whose
     attribute contains a part, within an element) and ``cells`` (of the first table in an element)."""
-    specs, make, finder, table_reader = _specs(fields), _reader, _field_finder, _table_reader
+    specs, reader, finder, table_reader = _specs(fields), _reader, _field_finder, _table_reader
 
-    def batch(pages: pd.Series) -> pd.DataFrame:
-        (read, walk, texts), fields_of, first = make(), finder(specs), table_reader()
+    def make():
+        (read, walk, texts), fields_of, first = reader(), finder(specs), table_reader()
 
         def element(tree, attribute, value):
             return next((n for n, _, _ in walk(tree) if n[1].get(attribute) == value), None)
 
         def parts(page):
-            if page is None:
-                return {"fields": None, "rows": None, "cells": None}
             tree = read(page)
             top = element(tree, *within)
             found = ["".join(texts(n)) for n, _, _ in walk(top) if rows[1] in (n[1].get(rows[0]) or "")] if top else []
             return {"fields": fields_of(tree), "rows": found, "cells": first(element(tree, *table))}
 
-        return pd.DataFrame([parts(p) for p in pages], columns=["fields", "rows", "cells"])
+        return parts
 
     texts_type = T.ArrayType(T.StringType())
     schema = T.StructType([
         T.StructField("fields", T.StructType([T.StructField(n, T.StringType()) for n in fields])), T.StructField("rows", texts_type),
         T.StructField("cells", T.ArrayType(texts_type))])
-    return F.pandas_udf(batch, schema)(col(html))
+    return _per_page(make, schema, html)
 
 
 def harvest(html: str | Column, tag: str, attribute: str) -> Column:
     """Attribute values of all elements with a tag, in document order."""
-    make = _reader
+    reader = _reader
 
-    def batch(pages: pd.Series) -> pd.Series:
-        read, walk, _ = make()
-        return pages.map(lambda p: None if p is None else [n[1][attribute] for n, _, _ in walk(read(p)) if n[0] == tag and attribute in n[1]])
+    def make():
+        read, walk, _ = reader()
+        return lambda page: [n[1][attribute] for n, _, _ in walk(read(page)) if n[0] == tag and attribute in n[1]]
 
-    return F.pandas_udf(batch, T.ArrayType(T.StringType()))(col(html))
+    return _per_page(make, T.ArrayType(T.StringType()), html)
 
 
 def options(html: str | Column) -> Column:

@@ -350,3 +350,13 @@ def test_a_reference_without_its_semicolon_is_text(spark):
     got = P.with_fields(spark.createDataFrame([(page,)], "html string"), "html", {
         "title": Field("title"), "link": Field("a", "@href"), "text": Field("a")}).first()
     assert (got["title"], got["link"], got["text"]) == ("a&b &amp", "/x&y&amp=1", "t &ampamp; A B ü &nosuch;")
+
+
+def test_pages_become_objects_in_portions(spark, monkeypatch):
+    """However large the batch, only a portion of it is held as Python objects, and portions keep the order and missing pages."""
+    assert P.PORTION <= 64
+    monkeypatch.setattr(P, "PORTION", 3)
+    pages = [None if i % 5 == 4 else f"<table><tr><td>{i}</td></tr></table>" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1)
+    got = {r["i"]: r for r in df.select("i", P.first_table("html").alias("t"), P.page_fields("html", {"x": Field("td")})["x"].alias("x")).collect()}
+    assert all((got[i]["t"], got[i]["x"]) == ((None, None) if p is None else ([[str(i)]], str(i))) for i, p in enumerate(pages))
