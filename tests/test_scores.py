@@ -188,3 +188,18 @@ def test_report_is_json(spark):
     b = spark.createDataFrame([("r", 1.0, 0.25)], "run string, mean_f1 double, mean_recall double")
     row = M.metric_report(M.metric_rows({"City": a, "Bert": b}, "run"), "run").first()
     assert row["report"] == '{"Bert":{"mean_f1":1.0,"mean_recall":0.25},"City":{"accuracy":0.5}}'
+
+
+def test_far_positions_do_not_make_more_chunks(spark):
+    """Positions of a pair may be numbers of the whole collection; chunks are counted by vectors, not by positions."""
+    rows = [(1, s, i * 1000 + s, [1.0, float(i)]) for s, n in ((0, 23), (1, 11)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair int, side int, pos int, vec array<double>")
+    got = M.dealt(df, "pair", "side", "pos", "vec", 5).agg({"_n0": "max", "_n1": "max", "_chunk": "max", "*": "count"}).first()
+    assert (got["max(_n0)"], got["max(_n1)"], got["count(1)"]) == (5, 3, 34) and got["max(_chunk)"] < 5
+
+
+def test_ngrams_are_counted_within_the_row(spark):
+    df = spark.createDataFrame([(1, "a b c d e", "a b c d e f g"), (1, "a b c d", "a b c d"), (2, None, "a")], "k int, p string, l string")
+    for scores in (M.bleu(df, "k", "p", "l"), M.rouge_ngrams(df, "k", "p", "l")):
+        assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert sorted(round(r["bleu"], 6) for r in M.bleu(df, "k", "p", "l").collect()) == [0.0, round(float(np.exp(1 - 7 / 5)), 6), 1.0]
