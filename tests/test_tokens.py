@@ -89,3 +89,11 @@ def test_texts_under_one_key_keep_their_own_ids(spark):
     df = spark.createDataFrame(rows, "k int, t string")
     got = sorted(((r["k"] or 0, r["ids"]) for r in V.encode_context(df, "k", "t", vocab).collect()), key=str)
     assert got == sorted([(1, [1, 2]), (1, [3, 1]), (1, [3, 1]), (2, [2]), (2, []), (0, [3, 0])], key=str)
+
+
+def test_small_tables_are_looked_up_where_the_arrays_lie(spark):
+    mapping = spark.createDataFrame([(5, 0), (7, 1)], "old bigint, new bigint")
+    df = spark.createDataFrame([(1, [7, 5, 7]), (1, [7, 5, 7]), (2, []), (3, None), (4, [9, None, 5])], "k int, ids array<bigint>")
+    found = V.remap(df, "k", "ids", mapping, on_missing=8)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["ids"]) for r in found.collect()) == [(1, [1, 0, 1]), (1, [1, 0, 1]), (2, []), (3, []), (4, [8, 8, 0])]
