@@ -67,7 +67,7 @@ def _planned(spark, sf):
 
 def _scan_days(spark, path):
     scanned = R.scan_records(spark, path, "*.json", multi_line=False)
-    return scanned.withColumn("path", F.regexp_replace("path", "^day=", ""))
+    return scanned.withColumn("path", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+/file=[^/]+/[^/]+)$", 1))
 
 
 @BOOK.add("A1_scan_lines", SQL_RECORDS + """

@@ -11,42 +11,41 @@ from pyspark.sql import functions as F
 from almanac.storage import written
 
 RECORDS_PER_FILE = 100_000
+#: Records that one task writes, in as many files as they are planned for.
+TASK_RECORDS = 10_000
 
 
 def plan_files(records: DataFrame, day: str, per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(day, records, files, first_task): how many files a day gets and the number of the first task that writes for it. Written.
+    """(day, records, files, before): how many files a day gets and how many records the days before it have. Written.
 
-    A day has as many files as keep them within ``per_file`` records. A day of several files takes tasks of its own, one a file;
-    days of one file are put together, in order, until they fill a task. One row per calendar day, so the running sums over
-    them are small at any size of the collection.
+    A day has as many files as keep them within ``per_file`` records. One row per calendar day, so the running sum over
+    them is small at any size of the collection.
     """
     days = records.groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("records")).withColumn(
         "files", F.ceil(F.col("records") / per_file).cast("int"))
     ahead = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    large, small = F.when(F.col("files") > 1, F.col("files")), F.when(F.col("files") == 1, F.col("records"))
-    placed = days.select(
-        "*", F.coalesce(F.sum(large).over(ahead), F.lit(0)).alias("_large_before"), F.coalesce(F.sum(large).over(whole), F.lit(0)).alias("_large"),
-        F.coalesce(F.sum(small).over(ahead), F.lit(0)).alias("_small_before"))
-    first = F.when(F.col("files") > 1, F.col("_large_before")).otherwise(F.col("_large") + F.floor(F.col("_small_before") / per_file))
-    return written(placed.select("day", "records", "files", first.cast("int").alias("first_task")), "file-plan")
+    placed = days.select("*", F.coalesce(F.sum("records").over(ahead), F.lit(0)).alias("before"))
+    return written(placed, "file-plan")
 
 
 def write_planned(records: DataFrame, path: str, day: str, per_file: int = RECORDS_PER_FILE, format: str = "json") -> DataFrame:
-    """Write the records below ``path/<day column>=<day>`` in exactly the planned number of files per day; returns the plan.
+    """Write the records below ``path/<day column>=<day>/file=<number>`` in no more files per day than planned; returns the plan.
 
-    A record goes to one of its day's files by a hash of the record, and with it straight to the task of that number: one shuffle,
-    in which no task writes more than about ``per_file`` records twice over. A day of few records may leave a file that
-    no record hashes to.
+    A record goes to one of its day's files by a hash of the record, and with it straight to the task of that file: one shuffle. Days
+    and their files lie in a row, and a task writes those that begin in its stretch of ``TASK_RECORDS`` records, or of one file if
+    that is larger; so the number of tasks grows with the records, not with the files, and no task writes more than about twice
+    its stretch. A day of few records may leave a file that no record hashes to.
     """
     plan = plan_files(records, day, per_file)
-    tasks = plan.agg(F.max(F.col("first_task") + F.when(F.col("files") > 1, F.col("files")).otherwise(1))).first()[0] or 1
+    stretch = max(per_file, TASK_RECORDS)
+    tasks = -(-(plan.agg(F.sum("records")).first()[0] or 1) // stretch)
     # One row per calendar day.
-    placed = records.join(F.broadcast(plan.select(F.col("day").alias("_day"), "files", "first_task")), F.col(day).eqNullSafe(F.col("_day")))
+    placed = records.join(F.broadcast(plan.select(*[F.col(c).alias(f"_{c}") for c in ("day", "records", "files", "before")])), F.col(day).eqNullSafe(F.col("_day")))
     hashed = [f"`{f.name}`" for f in records.schema if "map<" not in f.dataType.simpleString()]
-    task = (F.col("first_task") + F.pmod(F.xxhash64(*hashed), F.col("files"))).cast("int")
-    dealt = placed.withColumn("_task", task).repartitionById(tasks, "_task").drop("_task", "_day", "files", "first_task")
-    dealt.write.partitionBy(day).option("ignoreNullFields", True).format(format).save(path)
+    dealt = placed.withColumn("file", F.pmod(F.xxhash64(*hashed), F.col("_files")).cast("int")).withColumn(
+        "_task", F.floor((F.col("_before") + F.floor(F.col("file") * F.col("_records") / F.col("_files"))) / stretch).cast("int"))
+    dealt = dealt.repartitionById(tasks, "_task").drop("_task", "_day", "_files", "_records", "_before")
+    dealt.write.partitionBy(day, "file").option("ignoreNullFields", True).format(format).save(path)
     return plan
 
 

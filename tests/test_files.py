@@ -360,3 +360,14 @@ def test_pages_become_objects_in_portions(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").coalesce(1)
     got = {r["i"]: r for r in df.select("i", P.first_table("html").alias("t"), P.page_fields("html", {"x": Field("td")})["x"].alias("x")).collect()}
     assert all((got[i]["t"], got[i]["x"]) == ((None, None) if p is None else ([[str(i)]], str(i))) for i, p in enumerate(pages))
+
+
+def test_a_task_writes_many_planned_files(spark, tmp_path):
+    from almanac.sources.planned import write_planned
+
+    df = spark.range(300).select(F.when(F.col("id") < 290, "a").otherwise("b").alias("day"), F.col("id"), F.lit("x").alias("records"))
+    plan = {r["day"]: r["files"] for r in write_planned(df, str(tmp_path / "out"), "day", 10).collect()}
+    names = [p for p in (tmp_path / "out").rglob("part-*.json")]
+    assert plan == {"a": 29, "b": 1} and 20 < len(names) <= 30 and len({p.name[:10] for p in names}) == 1
+    back = spark.read.option("recursiveFileLookup", True).schema("id long, records string").json(str(tmp_path / "out"))
+    assert back.count() == 300 and back.select("id").distinct().count() == 300 and back.filter("records = 'x'").count() == 300
