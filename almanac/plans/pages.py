@@ -174,7 +174,7 @@ def _options_html():
 SELECT o_orderkey, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM
   (SELECT o_orderkey, ['/' || o_custkey, '/' || o_orderkey, '', '/' || o_orderstatus, '', '/' || o_orderpriority] AS v FROM orders)""")
 def b10(spark, sf):
-    pages = table(spark, sf, "orders").select("o_orderkey", _options_html().alias("html"))
+    pages = spread(table(spark, sf, "orders")).select("o_orderkey", _options_html().alias("html"))
     rows = pages.select("o_orderkey", F.posexplode(P.options("html")).alias("pos", "value"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -182,7 +182,7 @@ def b10(spark, sf):
 @BOOK.add("B11_sections", """
 SELECT o_orderkey, '/' || o_custkey || ',/' || o_orderkey AS first, '/' || o_orderstatus AS second, '/' || o_orderpriority AS last FROM orders""")
 def b11(spark, sf):
-    pages = table(spark, sf, "orders").select("o_orderkey", P.options(_options_html()).alias("v"))
+    pages = spread(table(spark, sf, "orders")).select("o_orderkey", P.options(_options_html()).alias("v"))
     return pages.select("o_orderkey", *[F.array_join(P.section(F.col("v"), k), ",").alias(n) for k, n in ((0, "first"), (1, "second"), (-1, "last"))])
 
 
@@ -213,6 +213,16 @@ def b14(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", P.true_name(sentence, "Wie wird das Wetter heute in ").alias("name"))
 
 
+#: Rows that one task makes pages of and reads them, about.
+PAGES_PER_TASK = 20_000
+
+
+def spread(df):
+    """Rows of a table of few bytes, dealt over tasks by their number: each becomes a page, and by bytes one task would read them all."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism, -(-df.count() // PAGES_PER_TASK)))
+
+
 @BOOK.add("B15_coordinates", """
 SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS "Latitude", CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_nationkey AS DOUBLE) END AS "Longitude",
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'could not convert string to float: ''n/a''' END AS "Error", 'Zone/' || c_nationkey AS "Timezone"
@@ -225,7 +235,7 @@ def b15(spark, sf):
     lat = F.when(F.col("c_mktsegment") == "BUILDING", "n/a").otherwise(F.col("c_acctbal").cast("string"))
     html = F.concat(F.lit("<html><head>" + other), meta(lat), meta(F.col("c_nationkey").cast("string")), F.lit("</head></html>"))
     zone = F.when(F.col("c_mktsegment") != "MACHINERY", F.concat(F.lit("Zone/"), F.col("c_nationkey").cast("string")))
-    cities = table(spark, sf, "customer").select("c_custkey", P.harvest(html, "meta", "content").alias("m"), zone.alias("Timezone"))
+    cities = spread(table(spark, sf, "customer")).select("c_custkey", P.harvest(html, "meta", "content").alias("m"), zone.alias("Timezone"))
     return P.located(P.with_coordinates(cities, F.get("m", F.lit(13)), F.get("m", F.lit(14))).drop("m"), "Timezone")
 
 
