@@ -371,3 +371,10 @@ def test_a_task_writes_many_planned_files(spark, tmp_path):
     assert plan == {"a": 29, "b": 1} and 20 < len(names) <= 30 and len({p.name[:10] for p in names}) == 1
     back = spark.read.option("recursiveFileLookup", True).schema("id long, records string").json(str(tmp_path / "out"))
     assert back.count() == 300 and back.select("id").distinct().count() == 300 and back.filter("records = 'x'").count() == 300
+
+
+def test_small_rows_are_dealt_by_their_number(spark):
+    from almanac.plans.pages import PAGES_PER_TASK, spread
+
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(9 * PAGES_PER_TASK + 1).coalesce(1)).rdd.getNumPartitions() == 10
