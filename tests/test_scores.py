@@ -1,4 +1,7 @@
+import glob
 import random
+import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +11,7 @@ from almanac.functions import text as T
 from almanac.operators import metrics as M
 from almanac.operators import similarity as S
 from almanac.operators.postings import Postings, best
+from almanac.storage import written, written_in_turn
 
 
 def brute_force(texts):
@@ -64,6 +68,31 @@ def test_similarity_shuffles_less_than_the_square(spark):
     assert sent[1] <= 40 * sent[0]
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 5, 6])
+def test_rounds_meet_every_pair_once_and_stay_small(spark, monkeypatch, blocks):
+    monkeypatch.setattr(S, "ROUND_ROWS", 1)
+    inside = spark.range(blocks * 10).select((F.col("id") % blocks).alias("block"), F.array(F.lit(1)).alias("terms"), F.lit(0).alias("entries"))
+    met = [r.groupBy("a", "b").agg(F.collect_set("block").alias("sides"), F.count(F.lit(1)).alias("n")).collect()
+           for r in S.rounds(inside, blocks, blocks * 10)]
+    assert sorted((p["a"], p["b"]) for r in met for p in r) == [(a, b) for a in range(blocks) for b in range(a + 1, blocks)]
+    assert all(sorted(p["sides"]) == [p["a"], p["b"]] and p["n"] == 20 for r in met for p in r)
+    assert all(sum(p["n"] for p in r) <= 2 * blocks * 10 for r in met)
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    def shuffles():
+        return set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+
+    before = shuffles()
+    parts = written_in_turn((spark.range(1000 * i, 1000 * i + 1000).repartition(5, "id") for i in range(3)), "test")
+    written(parts.repartition(4, "id"), "test")
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert parts.count() == 3000 and parts.agg(F.sum("id")).first()[0] == sum(range(3000))
+
+
 def test_corpus_similarity_is_the_mean_over_reports(spark):
     texts = ["a b c", "a b d", "b c d e", "x y", "a b c", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
