@@ -89,6 +89,7 @@ def _reader():
     from html import unescape as decoded
     from html.entities import html5
 
+    missing = NAN
     single = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
     closes = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
     # Comments and declarations; end tags; start tags, whose quoted values may hold any sign.
@@ -111,35 +112,61 @@ def _reader():
         return out, "/" in text[end:]
 
     def events(html):
-        """(kind, tag or text, attributes): 0 text, 1 start, 2 end; an element that closes itself is a start and an end."""
+        """(kind, tag or text, attributes, end): 0 text, 1 start, 2 end; an element that closes itself is a start and an end."""
         at = 0
         while m := markup.search(html, at):
             if m.start() > at:
-                yield 0, unescape(html[at:m.start()]), None
+                yield 0, unescape(html[at:m.start()]), None, m.start()
             at = m.end()
             if m[1]:
-                yield 2, m[1].lower(), None
+                yield 2, m[1].lower(), None, at
             elif m[2]:
                 tag = m[2].lower()
                 have, closed = attributes(m[3]) if m[3] else ({}, False)
-                yield 1, tag, have
+                yield 1, tag, have, at
                 if closed and tag not in single:
-                    yield 2, tag, None
+                    yield 2, tag, None, at
                 elif tag in plain:
                     end = plain[tag].search(html, at)
                     stop = end.start() if end else len(html)
                     if stop > at:
-                        yield 0, html[at:stop], None
+                        yield 0, html[at:stop], None, stop
                     at = stop
         if at < len(html):
-            yield 0, unescape(html[at:]), None
+            yield 0, unescape(html[at:]), None, len(html)
 
-    def read(html, attribute=None, value=None):
+    # The inside of a table that holds nothing but rows of closed cells with plain text, and none that spans others.
+    given_plain = r"""(?:\s+(?!colspan|rowspan)[a-z-]++(?:="[^"<>]*+"|='[^'<>]*+')?)*+"""
+    simple = re.compile(rf"""\s*+(?:<tr{given_plain}>\s*+(?:<td{given_plain}>[^<]*+</td>\s*+)*+</tr>\s*+)*+</table>""")
+    inside = re.compile(r"<td[^>]*+>([^<]*+)<")
+
+    def simple_rows(html, at):
+        """Cells of a simple table whose inside begins at a place, found by whole rows; None if it is not simple."""
+        m = simple.match(html, at)
+        if m is None:
+            return None
+        rows = [inside.findall(row) for row in m[0].split("</tr>")[:-1]]
+        if "&" in m[0]:
+            rows = [[unescape(c) for c in row] for row in rows]
+        return [[" ".join(c.split()) or missing for c in row] for row in rows]
+
+    def read(html, attribute=None, value=None, rows=False, last=None, holds=None):
         """The root, or the first element with the value of an attribute (or, for an empty one, that tag); None if there is none. Only
-        the element that is wanted is built, and reading stops at its end."""
+        the element that is wanted is built, and reading stops at its end. With ``rows``, a simple table that is wanted itself is not built:
+        its cells stand for its children, and its tag is ``rows``.
+
+        With ``last``, the place after which no element of interest starts, reading stops as soon as it is passed and all of interest
+        is complete. ``holds`` says of a tag and its attributes how many levels up must be closed for that: 1 the element itself, 2 the one
+        that holds it, 0 none."""
         root = ("", {}, [])
         opened, wanted, depth = [root], root if attribute is None else None, 0
-        for kind, name, have in events(html):
+        held = []  # places in ``opened`` of what must be closed yet, rising
+        for kind, name, have, end in events(html):
+            if last is not None and kind:
+                while held and len(opened) <= held[-1]:
+                    held.pop()
+                if end > last and not held and (kind == 2 or not holds(name, have)):
+                    return wanted
             if kind == 0:
                 if wanted is not None:
                     opened[-1][2].append(name)
@@ -147,12 +174,20 @@ def _reader():
             if kind == 1:
                 while opened[-1][0] in closes.get(name, ()):
                     opened.pop()
+                while held and len(opened) <= held[-1]:
+                    held.pop()
                 if wanted is not None and len(opened) <= depth:
                     return wanted
                 node = (name, have, [])
+                if last is not None and (up := holds(name, have)):
+                    place = len(opened) + 1 - up
+                    if up == 2 or name not in single:
+                        held.append(place)
                 if wanted is not None:
                     opened[-1][2].append(node)
                 elif (name if attribute == "" else have.get(attribute)) == value:
+                    if rows and name == "table" and (cells := simple_rows(html, end)) is not None:
+                        return "rows", have, cells
                     wanted, depth = node, len(opened)
                     if name in single:
                         return node
@@ -252,6 +287,17 @@ def _field_finder(specs):
             return next((t for t in after if t is not None), None)
         return (" " if take == "mixed" else "").join(texts(node))
 
+    def holds(tag, have):
+        """How many levels from an element up must be closed before what is taken of it is whole; 0 if no field may want it."""
+        node = (tag, have, [])
+        return max((2 if s[1] in ("tail", "next") and not s[5] else 1 for s in specs.values() if matches(node, *s[:1], *s[2:5])), default=0)
+
+    def last(page):
+        """The place after which no element starts that a field may want: the last of the values looked for, or of the signs
+        that begin a character reference. None if a field has no value."""
+        values = [s[3] if s[2] is not None and s[3] else None for s in specs.values()]
+        return None if None in values else max([page.rfind("&"), *map(page.rfind, values)])
+
     def fields_of(tree):
         out, missing = dict.fromkeys(specs), dict(specs)
         for node, parent, place in walk(tree):
@@ -263,7 +309,7 @@ def _field_finder(specs):
                 break
         return out
 
-    return fields_of
+    return fields_of, last, holds
 
 
 def _specs(fields: dict[str, Field]) -> dict[str, tuple]:
@@ -271,12 +317,12 @@ def _specs(fields: dict[str, Field]) -> dict[str, tuple]:
 
 
 def page_fields(html: str | Column, fields: dict[str, Field]) -> Column:
-    """Struct with one text per field; a selector that finds nothing gives NULL."""
+    """Struct with one text per field; a selector that finds nothing gives NULL. Reading stops where no field can find anything more."""
     specs, reader, finder = _specs(fields), _reader, _field_finder
 
     def make():
-        read, fields_of = reader()[0], finder(specs)
-        return lambda page: fields_of(read(page))
+        read, (fields_of, last, holds) = reader()[0], finder(specs)
+        return lambda page: fields_of(read(page, last=last(page), holds=holds))
 
     found = _per_page(make, T.StructType([T.StructField(n, T.StringType()) for n in fields]), html)
     return F.coalesce(found, F.struct(*[F.lit(None).cast("string").alias(n) for n in fields]))
@@ -349,8 +395,8 @@ def _table_reader():
 
     def first(tree):
         """Rows of the first table of a tree, the tree itself included."""
-        if tree is None:
-            return None
+        if tree is None or tree[0] == "rows":
+            return tree and tree[2]
         return data(tree) if tree[0] == "table" else next((data(node) for node, _, _ in walk(tree) if node[0] == "table"), None)
 
     return first
@@ -361,13 +407,14 @@ def first_table(html: str | Column, attribute: str | None = None, value: str | N
     lies in an element with that value. Rows of the head (in ``thead``, or without one the leading rows of heading cells only) are no data, an
     empty cell is the missing marker, and a cell that spans rows or columns is repeated in each of them.
 
-    Only the wanted element is built: reading begins to keep things at its start and ends with it."""
+    Only the wanted element is built: reading begins to keep things at its start and ends with it. A table of nothing but closed rows and cells
+    of plain text is cut into them without building it."""
     reader, table_reader = _reader, _table_reader
     wanted = ("", "table") if attribute is None else (attribute, value)
 
     def make():
         read, first = reader()[0], table_reader()
-        return lambda page: first(read(page, *wanted))
+        return lambda page: first(read(page, *wanted, rows=True))
 
     return _per_page(make, T.ArrayType(T.ArrayType(T.StringType())), html)
 
@@ -378,7 +425,7 @@ def page_parts(html: str | Column, fields: dict[str, Field], rows: tuple[str, st
     specs, reader, finder, table_reader = _specs(fields), _reader, _field_finder, _table_reader
 
     def make():
-        (read, walk, texts), fields_of, first = reader(), finder(specs), table_reader()
+        (read, walk, texts), (fields_of, _, _), first = reader(), finder(specs), table_reader()
 
         def element(tree, attribute, value):
             return next((n for n, _, _ in walk(tree) if n[1].get(attribute) == value), None)

@@ -1,3 +1,4 @@
+import random
 import json
 
 from pyspark.sql import functions as F
@@ -378,3 +379,40 @@ def test_small_rows_are_dealt_by_their_number(spark):
 
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(9 * PAGES_PER_TASK + 1).coalesce(1)).rdd.getNumPartitions() == 10
+
+
+def test_simple_tables_are_cut_as_the_reader_builds_them():
+    rng = random.Random(8)
+    read, _, _ = P._reader()
+    first = P._table_reader()
+    cut = 0
+    ends = ["</td>", "</td>\n", "</td> "]
+    for _ in range(400):
+        odd = rng.random() < 0.3
+        texts = ["", " a  b\t", "x&amp;y", "&nbsp;", "&amp", "ü\n", "1 &lt; 2"] + ["<b>x</b>", "a < b", "<!-- c -->", "<td>y"] * odd
+        tags = ["<td>", '<td class="a b">', "<td  id='q' nowrap>"] + ["<th>", "<td colspan='2'>", "<TD>", '<td title="a>b">', "<td rowspan=2>"] * odd
+        rows = ["".join(f"{rng.choice(tags)}{rng.choice(texts)}{rng.choice(ends)}" for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 4))]
+        page = "<p>z</p><table class='d'>" + "".join(f"<tr>{r}</tr>\n" for r in rows) + "</table><table><tr><td>no</td></tr></table>"
+        quick = read(page, "", "table", rows=True)
+        cut += quick[0] == "rows"
+        assert first(quick) == first(read(page, "", "table")), page
+    assert 250 < cut < 400
+
+
+def test_reading_stops_where_no_field_can_find_more():
+    read, walk, _ = P._reader()
+    fields = {**P.CITY_PAGE, "link": P.Field("a", "@href", "class", "go", contains=True)}
+    fields_of, last, holds = P._field_finder(P._specs(fields))
+    rng = random.Random(9)
+    parts = ["<div id='cnt-with-location-attributes'>", "<div>", "</div>", "<p>", "</p>", "text ", "<div id='furtherDetails'>", "<span title='Sonnenaufgang'>", "</span>",
+             "<span title='Sonnenuntergang'/>", "<i class='icon icon-sun_hours'>", "<span class='icon icon-sun_hours'>", "<span>", "<br>", "<a class='go' href='/x'>", "</a>",
+             "<span title='Sonnen&#97;ufgang'>", "<li>", "<td>", "<script>icon-sun_hours</script>", "<!-- furtherDetails -->"]
+    short = 0
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) + rng.choice(["", "</div></p></div>" * 3]) + "<div><p>a</p></div>" * 5
+        whole, some = read(page), read(page, last=last(page), holds=holds)
+        assert fields_of(some) == fields_of(whole), page
+        short += len(list(walk(some))) < len(list(walk(whole)))
+    assert short > 500
+    page = "<p><span title='Sonnenaufgang'></span>06:30 Uhr</p>" + "<tr><td>x</td></tr>" * 1000
+    assert len(list(walk(read(page, last=last(page), holds=holds)))) <= 3
