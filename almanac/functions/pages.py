@@ -155,7 +155,7 @@ def _reader():
         the element that is wanted is built, and reading stops at its end. With ``rows``, a simple table that is wanted itself is not built:
         its cells stand for its children, and its tag is ``rows``.
 
-        With ``last``, the place after which no element of interest starts, reading stops as soon as it is passed and all of interest
+        With ``last``, the place after which no element of interest starts (such elements have attributes), reading stops as soon as it is passed and all of interest
         is complete. ``holds`` says of a tag and its attributes how many levels up must be closed for that: 1 the element itself, 2 the one
         that holds it, 0 none."""
         root = ("", {}, [])
@@ -165,7 +165,7 @@ def _reader():
             if last is not None and kind:
                 while held and len(opened) <= held[-1]:
                     held.pop()
-                if end > last and not held and (kind == 2 or not holds(name, have)):
+                if end > last and not held and (kind == 2 or not have or not holds(name, have)):
                     return wanted
             if kind == 0:
                 if wanted is not None:
@@ -179,7 +179,7 @@ def _reader():
                 if wanted is not None and len(opened) <= depth:
                     return wanted
                 node = (name, have, [])
-                if last is not None and (up := holds(name, have)):
+                if last is not None and have and (up := holds(name, have)):
                     place = len(opened) + 1 - up
                     if up == 2 or name not in single:
                         held.append(place)
@@ -289,8 +289,11 @@ def _field_finder(specs):
 
     def holds(tag, have):
         """How many levels from an element up must be closed before what is taken of it is whole; 0 if no field may want it."""
-        node = (tag, have, [])
-        return max((2 if s[1] in ("tail", "next") and not s[5] else 1 for s in specs.values() if matches(node, *s[:1], *s[2:5])), default=0)
+        node, up = (tag, have, []), 0
+        for wanted, take, attribute, value, contains, path in specs.values():
+            if attribute in have and matches(node, wanted, attribute, value, contains):
+                up = max(up, 2 if take in ("tail", "next") and not path else 1)
+        return up
 
     def last(page):
         """The place after which no element starts that a field may want: the last of the values looked for, or of the signs
