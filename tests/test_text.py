@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,23 @@ def test_ngrams_of_short_texts(one):
     tokens = F.array(F.lit("a"), F.lit("b"))
     assert one(T.ngrams(tokens, 2)) == ["a b"]
     assert one(T.ngrams(tokens, 3)) == []
+
+
+def test_the_clean_looks_back_as_it_matched(spark):
+    """Steps that look back give what the patterns they stand for give, and long words cost no square of their length."""
+    def whole(fix):
+        return [(r"([0-9]+)( +)°C", "$1°C"), (r"([A-Za-z0-9]+)'( +)", r'$1\\" $2'), ("([0-9]+)-([0-9]+)" if fix else "([0-9]+)-([0-9])+", "$1 bis $2"),
+                (r"([A-Za-z]+)-( +)", "$1-"), (r"([a-z]+)'-([A-Za-z]+)", r'$1\\"-$2')]
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "B", "'", "-", " ", "  ", "1", "23", "°C", "'-", "é"]) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for fix in (False, True):
+        steps = [T.clean_steps(F.lit("Ort"), fix)[i] for i in (10, 19, 20, 22, 23)]
+        for (old, new), step in zip(whole(fix), steps):
+            was, now = F.regexp_replace("t", old, new), step(F.col("t"))
+            assert df.filter(was != now).first() is None, old
+            assert df.filter(now != F.col("t")).count() > 20
+    begin = time.time()
+    long = spark.range(1).select(T.clean_rewritten(F.repeat(F.lit("a"), 100_000), F.lit("Ort")).alias("t"))
+    assert long.select(F.length("t")).first()[0] == 100_000 and time.time() - begin < 15
