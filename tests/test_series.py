@@ -126,3 +126,31 @@ def test_corpus_rows_keep_fixed_columns(spark):
     assert row["report_short_wout_boeen"] == "In <city> 5 <degC>"
     assert row["overview_ct"] == "05 - 06 Uhr;klar;-3;06 - 07 Uhr;<missing>;4;07 - 08 Uhr;trüb;5"
     assert set(row.asDict()) == set(R.KEPT) - {"gpt_rewritten_cleaned", "gpt_rewritten_apo"}
+
+
+def test_features_read_only_the_series_of_their_profile(spark):
+    narrow = frame(spark).select("city", *X.feature_columns("simple"))
+    assert not {"niederschlagsmenge_in_l_per_sqm", "luftdruck_in_hpa", "windgeschwindigkeit_in_km_per_h"}.intersection(narrow.columns)
+    rows = X.feature_rows(narrow, "simple", "city").orderBy("pos").collect()
+    assert rows == X.feature_rows(frame(spark), "simple", "city").orderBy("pos").collect() and len(rows) == 3
+
+
+def test_standardized_values_come_from_features_written_once(spark):
+    import __spark_entry__ as entry
+
+    for name in ("F17_standardize_by_batch", "F18_standardize_globally"):
+        read = entry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert read and all("/features-" in file for file in read)
+
+
+def test_standardize(spark):
+    rows = spark.createDataFrame([(0, "a", 0, [1.0, 4.0]), (0, "b", 0, [3.0, None]), (1, "c", 0, [7.0, 7.0])],
+                                 "batch int, path string, pos int, features array<double>")
+    got = {(r["path"], r["feature"]): r["value"] for r in X.standardize_by_batch(rows, "batch", "path").collect()}
+    assert got["a", 0] == pytest.approx(-1 / math.sqrt(2)) and got["b", 0] == pytest.approx(1 / math.sqrt(2))
+    assert [got[k] for k in (("a", 1), ("b", 1), ("c", 0), ("c", 1))] == [None] * 4
+    values = [1.0, 4.0, 3.0, 7.0, 7.0]
+    mean = sum(values) / 5
+    deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / 4)
+    got = {(r["path"], r["feature"]): r["value"] for r in X.standardize_globally(rows, "path").collect()}
+    assert got["c", 1] == pytest.approx((7 - mean) / deviation) and got["b", 1] is None
