@@ -38,6 +38,8 @@ LONG_WORD = 64
 SIGNS = ".,;:!?"
 #: Characters of text that are encoded together.
 PORTION = 1 << 18
+#: New words that are encoded as one text; the tokenizer needs more time a word in longer texts.
+RUN = 50
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -57,7 +59,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The tokenizer takes U+180E for white space, Python does not.
+        self.special = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\u180e"]
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         # Ids of words with a space before them: those met lately, and the store before; ids of runs of signs.
         self.known: dict[str, bytes] = {}
@@ -72,16 +75,16 @@ class Encoder:
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space before each, many at a time, with line feeds between them: a line feed is cut off on both sides
-        and has an id of its own."""
+    def _apart(self, words: list[str], space: str) -> list[bytes]:
+        """Ids of words with ``space`` (one or none) before each, some at a time, with line feeds between them: a line feed is cut off
+        on both sides and has an id of its own."""
         import numpy as np
 
         out = []
-        for i in range(0, len(words), 1000):
-            part = words[i:i + 1000]
-            ids = np.frombuffer(self._plain([" " + "\n ".join(part)])[0], "<u4")
-            flat, at = ids.tobytes(), 0
+        runs = [space + ("\n" + space).join(words[i:i + RUN]) for i in range(0, len(words), RUN)]
+        for run in runs:
+            flat, at = self._plain([run])[0], 0
+            ids = np.frombuffer(flat, "<u4")
             for end in [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]:
                 out.append(flat[4 * at:4 * end])
                 at = end + 1
@@ -89,45 +92,58 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not at hand. Signs at the end of a word of letters are cut off by the tokenizer anyway and put on
-        again; words that hold white space are encoded alone. Those that are not long are kept."""
+        again, and so are two words with a line feed between them; others that hold white space are encoded alone. Those that are
+        not long are kept, but no pairs, which seldom come back."""
         found: dict[str, bytes] = {}
-        signed, plain, alone = [], set(), []
+        signed, plain, alone, single, pairs = [], set(), [], [], []
         for word in words:
+            parts = word.split()
+            if parts == [word]:
+                single.append(word)
+            elif len(parts) == 2 and "\n".join(parts) == word:
+                pairs.append((word, *parts))
+            else:
+                alone.append(word)
+        for word in {*single, *(first for _, first, _ in pairs if first not in self.known)}:
             stem = word.rstrip(SIGNS)
             if len(stem) < len(word) and stem.isalpha():
                 signed.append((word, stem))
                 if stem not in self.known:
                     plain.add(stem)
-            elif word.split() == [word]:
-                plain.add(word)
             else:
-                alone.append(word)
+                plain.add(word)
         listed = sorted(plain)
-        found.update(zip(listed, self._spaced(listed)))
+        found.update(zip(listed, self._apart(listed, " ")))
         found.update(zip(alone, self._plain([" " + w for w in alone])))
         ends = {word[len(stem):] for word, stem in signed}.difference(self.ends)
         if ends:
             self.ends.update(zip(sorted(ends), self._plain(sorted(ends))))
         for word, stem in signed:
             found[word] = (found[stem] if stem in found else self.known[stem]) + self.ends[word[len(stem):]]
-        for word, ids in found.items():
-            self._keep(word, ids)
+        self._keep(found)
+        listed = sorted({second for _, _, second in pairs})
+        seconds = dict(zip(listed, self._apart(listed, "")))
+        feed = self.feed.to_bytes(4, "little")
+        for word, first, second in pairs:
+            found[word] = (found[first] if first in found else self.known[first]) + feed + seconds[second]
         if len(self.ends) > 1000:
             self.ends.clear()
         return found
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        """Keep a word; a full store becomes the older one, of which what is asked for again comes back."""
-        if len(word) <= LONG_WORD:
-            self.known[word] = ids
-            self.size += len(word) + len(ids) + WORD_OVERHEAD
+    def _keep(self, found: dict[str, bytes]) -> None:
+        """Keep words; a full store becomes the older one, of which what is asked for again comes back."""
+        known, size = self.known, 0
+        for word, ids in found.items():
+            if len(word) <= LONG_WORD:
+                known[word] = ids
+                size += len(word) + len(ids) + WORD_OVERHEAD
+        self.size += size
 
     def _missing(self, words: set[str]) -> dict[str, bytes]:
         if self.size > KNOWN_BYTES // 2:
             self.older, self.known, self.size = self.known, {}, 0
         found = {word: self.older[word] for word in words if word in self.older}
-        for word, ids in found.items():
-            self._keep(word, ids)
+        self._keep(found)
         new = words.difference(found)
         return {**found, **self._learn(new)} if new else found
 

@@ -105,6 +105,13 @@ def test_patterns_use_up_the_histogram():
     assert used == histogram
 
 
+def test_pairs_of_words_are_made_of_their_words_and_not_kept():
+    encoder = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["So geht es.\nDann kommt es.\nDann", "x es.\n's y \nes z es.\n\nEs", "a\u180e \u00a0 \nb c\u180e\nd", "123\n45 67,\n89"]
+    assert encoder.encode(texts) == encoder._plain(texts) and encoder.encode(texts[:1]) == encoder._plain(texts[:1])
+    assert "es." in encoder.known and "es.\nDann" not in encoder.known
+
+
 def test_shards_keep_their_law(spark, sf):
     rows = BOOK.queries["op9_shards"](spark, sf).collect()
     slots = {}
