@@ -1,4 +1,5 @@
 import glob
+import math
 import random
 import tempfile
 import time
@@ -232,3 +233,14 @@ def test_ngrams_are_counted_within_the_row(spark):
     for scores in (M.bleu(df, "k", "p", "l"), M.rouge_ngrams(df, "k", "p", "l")):
         assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
     assert sorted(round(r["bleu"], 6) for r in M.bleu(df, "k", "p", "l").collect()) == [0.0, round(float(np.exp(1 - 7 / 5)), 6), 1.0]
+
+
+def test_unit_weights_look_terms_up_once(spark):
+    df = spark.createDataFrame([(1, "a a b"), (2, "b c"), (3, "b"), (4, None)], "k int, t string")
+    weights = S.unit_weights(df, "k", F.col("t"))
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and plan.count("Join") == 1
+    found = {(r["k"], r["term"]): r["weight"] for r in weights.collect()}
+    a, b, c = 2 * math.log(4), math.log(4 / 3), math.log(4)
+    assert found == pytest.approx({(1, "a"): a / math.hypot(a, b), (1, "b"): b / math.hypot(a, b),
+                                   (2, "b"): b / math.hypot(b, c), (2, "c"): c / math.hypot(b, c), (3, "b"): 1.0})
