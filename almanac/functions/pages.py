@@ -38,9 +38,10 @@ DIAGRAM_ROWS = {
 PORTION = 64
 
 
-def _per_page(make, kind: T.DataType, html: str | Column) -> Column:
+def _per_page(make, kind: T.DataType, html: str | Column, once: bool = False) -> Column:
     """``make()`` builds, once a batch, the function that turns a page into a value. Results go to Arrow after every portion, so a batch
-    of thousands of large pages is never held as Python objects; a missing page gives NULL."""
+    of thousands of large pages is never held as Python objects; a missing page gives NULL. With ``once``, Spark may not repeat the step below a
+    filter on its result, which would make and read the pages that pass it twice."""
     portion = PORTION
 
     def batch(pages: pa.Array) -> pa.Array:
@@ -48,7 +49,8 @@ def _per_page(make, kind: T.DataType, html: str | Column) -> Column:
         parts = [pa.array([None if p is None else of_page(p) for p in pages.slice(at, portion).to_pylist()], type_) for at in range(0, len(pages), portion)]
         return pa.concat_arrays(parts or [pa.array([], type_)])
 
-    return F.arrow_udf(batch, kind)(col(html))
+    udf = F.arrow_udf(batch, kind)
+    return (udf.asNondeterministic() if once else udf)(col(html))
 
 
 @dataclass(frozen=True)
@@ -137,23 +139,26 @@ def _reader():
 
     # The inside of a table that holds nothing but rows of closed cells with plain text, and none that spans others.
     given_plain = r"""(?:\s+(?!colspan|rowspan)[a-z-]++(?:="[^"<>]*+"|='[^'<>]*+')?)*+"""
-    simple = re.compile(rf"""\s*+(?:<tr{given_plain}>\s*+(?:<td{given_plain}>[^<]*+</td>\s*+)*+</tr>\s*+)*+</table>""")
+    head = rf"""\s*+(?:<thead{given_plain}>\s*+(?:<tr{given_plain}>\s*+(?:<th{given_plain}>[^<]*+</th>\s*+)*+</tr>\s*+)*+</thead>)?+"""
+    simple = re.compile(rf"""{head}(\s*+(?:<tr{given_plain}>\s*+(?:<td{given_plain}>[^<]*+</td>\s*+)*+</tr>\s*+)*+)</table>""")
     inside = re.compile(r"<td[^>]*+>([^<]*+)<")
 
     def simple_rows(html, at):
-        """Cells of a simple table whose inside begins at a place, found by whole rows; None if it is not simple."""
+        """Cells of a simple table whose inside begins at a place, found by whole rows; None if it is not simple. Its head holds no data."""
         m = simple.match(html, at)
         if m is None:
             return None
-        rows = [inside.findall(row) for row in m[0].split("</tr>")[:-1]]
-        if "&" in m[0]:
+        rows = [inside.findall(row) for row in m[1].split("</tr>")[:-1]]
+        if "&" in m[1]:
             rows = [[unescape(c) for c in row] for row in rows]
         return [[" ".join(c.split()) or missing for c in row] for row in rows]
 
-    def read(html, attribute=None, value=None, rows=False, last=None, holds=None):
+    def read(html, attribute=None, value=None, rows=False, last=None, holds=None, enough=None):
         """The root, or the first element with the value of an attribute (or, for an empty one, that tag); None if there is none. Only
-        the element that is wanted is built, and reading stops at its end. With ``rows``, a simple table that is wanted itself is not built:
-        its cells stand for its children, and its tag is ``rows``.
+        the element that is wanted is built, and reading stops at its end. With ``rows``, the first table that is wanted itself or lies in what is wanted
+        is not built if it is simple: its cells stand for its children, and its tag is ``rows``.
+
+        With ``enough``, a test of attributes, reading stops at the end of the first element below the wanted one that passes it.
 
         With ``last``, the place after which no element of interest starts (such elements have attributes), reading stops as soon as it is passed and all of interest
         is complete. ``holds`` says of a tag and its attributes how many levels up must be closed for that: 1 the element itself, 2 the one
@@ -161,6 +166,7 @@ def _reader():
         root = ("", {}, [])
         opened, wanted, depth = [root], root if attribute is None else None, 0
         held = []  # places in ``opened`` of what must be closed yet, rising
+        until = -1  # place in ``opened`` of the element that is enough
         for kind, name, have, end in events(html):
             if last is not None and kind:
                 while held and len(opened) <= held[-1]:
@@ -176,8 +182,15 @@ def _reader():
                     opened.pop()
                 while held and len(opened) <= held[-1]:
                     held.pop()
-                if wanted is not None and len(opened) <= depth:
-                    return wanted
+                if wanted is not None:
+                    if len(opened) <= depth or len(opened) <= until:
+                        return wanted
+                    if rows and name == "table":
+                        if (cells := simple_rows(html, end)) is not None:
+                            return "rows", have, cells
+                        rows = False  # the first table counts
+                    if enough is not None and enough(have):
+                        until, enough = len(opened), None
                 node = (name, have, [])
                 if last is not None and have and (up := holds(name, have)):
                     place = len(opened) + 1 - up
@@ -186,19 +199,23 @@ def _reader():
                 if wanted is not None:
                     opened[-1][2].append(node)
                 elif (name if attribute == "" else have.get(attribute)) == value:
-                    if rows and name == "table" and (cells := simple_rows(html, end)) is not None:
-                        return "rows", have, cells
+                    if rows and name == "table":
+                        if (cells := simple_rows(html, end)) is not None:
+                            return "rows", have, cells
+                        rows = False
                     wanted, depth = node, len(opened)
                     if name in single:
                         return node
                 if name not in single:
                     opened.append(node)
+                elif len(opened) == until:
+                    return wanted
                 continue
             for i in range(len(opened) - 1, 0, -1):
                 if opened[i][0] == name:
                     del opened[i:]
                     break
-            if wanted is not None and len(opened) <= depth:
+            if wanted is not None and (len(opened) <= depth or len(opened) <= until):
                 return wanted
         return wanted
 
@@ -422,22 +439,33 @@ def first_table(html: str | Column, attribute: str | None = None, value: str | N
     return _per_page(make, T.ArrayType(T.ArrayType(T.StringType())), html)
 
 
-def page_parts(html: str | Column, fields: dict[str, Field], rows: tuple[str, str], within: tuple[str, str], table: tuple[str, str]) -> Column:
-    """Everything a record needs from one read of its page: struct of ``fields`` (one text each), ``rows`` (texts of the elements whose
-    attribute contains a part, within an element) and ``cells`` (of the first table in an element)."""
-    specs, reader, finder, table_reader = _specs(fields), _reader, _field_finder, _table_reader
+def page_parts(html: str | Column, fields: dict[str, Field], rows: tuple[str, str], within: tuple[str, str], table: tuple[str, str],
+               start: str | None = None) -> Column:
+    """Everything a record needs from its page: struct of ``fields`` (one text each), ``rows`` (texts of the elements whose
+    attribute contains a part, within an element) and ``cells`` (of the first table in an element). Each is read as far as it can be found.
+
+    With ``start``, a page whose first row does not begin with that text, white space cleaned, is read no further: ``rows`` is that row or
+    none, the rest is missing."""
+    specs, reader, finder, table_reader, (attribute, part) = _specs(fields), _reader, _field_finder, _table_reader, rows
 
     def make():
-        (read, walk, texts), (fields_of, _, _), first = reader(), finder(specs), table_reader()
+        (read, walk, texts), (fields_of, last, holds), first = reader(), finder(specs), table_reader()
 
-        def element(tree, attribute, value):
-            return next((n for n, _, _ in walk(tree) if n[1].get(attribute) == value), None)
+        def is_row(have):
+            return part in (have.get(attribute) or "")
+
+        def rows_of_page(page, enough=None):
+            top = read(page, *within, enough=enough)
+            return ["".join(texts(n)) for n, _, _ in walk(top) if is_row(n[1])] if top else []
 
         def parts(page):
-            tree = read(page)
-            top = element(tree, *within)
-            found = ["".join(texts(n)) for n, _, _ in walk(top) if rows[1] in (n[1].get(rows[0]) or "")] if top else []
-            return {"fields": fields_of(tree), "rows": found, "cells": first(element(tree, *table))}
+            if start is not None:
+                # The first row is whole; further ones may lie in it.
+                one = rows_of_page(page, is_row)[:1]
+                if not one or not " ".join(one[0].replace("\n", "").replace("\t", "").split()).startswith(start):
+                    return {"fields": None, "rows": one, "cells": None}
+            return {"fields": fields_of(read(page, last=last(page), holds=holds)), "rows": rows_of_page(page),
+                    "cells": first(read(page, *table, rows=True))}
 
         return parts
 
@@ -445,7 +473,7 @@ def page_parts(html: str | Column, fields: dict[str, Field], rows: tuple[str, st
     schema = T.StructType([
         T.StructField("fields", T.StructType([T.StructField(n, T.StringType()) for n in fields])), T.StructField("rows", texts_type),
         T.StructField("cells", T.ArrayType(texts_type))])
-    return _per_page(make, schema, html)
+    return _per_page(make, schema, html, once=True)
 
 
 def harvest(html: str | Column, tag: str, attribute: str) -> Column:
@@ -476,15 +504,22 @@ def section(values: Column, k: int) -> Column:
     return F.slice(values, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def hour_columns(row_text: str | Column) -> Column:
-    """Struct of the eight columns of an hourly row: first match of each pattern, empty text if there is none."""
-    clean = text.strip(F.regexp_replace(F.translate(col(row_text), "\n\t", ""), SPACE + "+", " "))
+def hour_text(row_text: str | Column) -> Column:
+    """Text of an hourly row as its columns are found in it."""
+    return text.strip(F.regexp_replace(F.translate(col(row_text), "\n\t", ""), SPACE + "+", " "))
+
 
-    def part(pattern: str, head: int, tail: int) -> Column:
-        found = F.regexp_extract(clean, "(?U)" + pattern, 1)
-        return F.substr(found, F.lit(head + 1), F.greatest(F.length(found) - head - tail, F.lit(0))) if head or tail else found
+def hour_part(name: str, clean: Column) -> Column:
+    """One of the eight columns of a cleaned hourly row: first match of its pattern, empty text if there is none."""
+    pattern, head, tail = HOUR_PATTERNS[name]
+    found = F.regexp_extract(clean, "(?U)" + pattern, 1)
+    return F.substr(found, F.lit(head + 1), F.greatest(F.length(found) - head - tail, F.lit(0))) if head or tail else found
 
-    return F.struct(*[part(*spec).alias(name) for name, spec in HOUR_PATTERNS.items()])
+
+def hour_columns(row_text: str | Column) -> Column:
+    """Struct of the eight columns of an hourly row."""
+    clean = hour_text(row_text)
+    return F.struct(*[hour_part(name, clean).alias(name) for name in HOUR_COLUMNS])
 
 
 def time_descriptions(flat: str | Column) -> Column:

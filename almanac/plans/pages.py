@@ -127,17 +127,19 @@ def _city_pages(spark, sf):
 
     slots = F.transform(F.arrays_zip("times", "clearness", "temperatur_in_deg_C"), lambda s: F.concat(
         F.lit("<div class='x swg-row-wrapper border--grey-next'> <b>"), s["times"], F.lit("</b>\n <i>"), s["clearness"], F.lit("</i> "), s["temperatur_in_deg_C"], F.lit("°</div>")))
-    at = {i: F.col(c) for c, i in _PICKED}
-    cells = F.transform(F.array(*[at.get(i, F.col("times")) for i in range(20)]), lambda r: F.concat(
-        F.lit("<tr>"), F.array_join(F.transform(r, lambda v: F.concat(F.lit("<td> "), v, F.lit(" </td>"))), ""), F.lit("</tr>")))
-    return df.withColumn("html", F.concat(
+    # A series fills its row of the table, the times all others; a row is made once of each.
+    made = df.withColumns({f"_{c}": F.concat(F.lit("<tr>"), F.array_join(F.transform(c, lambda v: F.concat(F.lit("<td> "), v, F.lit(" </td>"))), ""), F.lit("</tr>"))
+                           for c in ("times", *dict(_PICKED))})
+    at = {i: F.col(f"_{c}") for c, i in _PICKED}
+    cells = F.array(*[at.get(i, F.col("_times")) for i in range(20)])
+    return made.withColumn("html", F.concat(
         F.lit("<!DOCTYPE html><html><head><script>if (a < b) { '<p>' }</script><!-- <table> --></head><body>"),
         element("<div id='cnt-with-location-attributes'><p>no</p><div><p> ", F.col("report_short"), " <em>x</em></p></div></div>"),
         element("<div id='furtherDetails'><div><div>", F.col("report_long"), "</div><div>no</div></div></div>"),
         F.lit("<p><span title='Sonnenaufgang'></span> "), "sunrise", F.lit("</p><p><span title='Sonnenuntergang'></span>"), "sundown",
         F.lit("</p><p><span class='icon icon-sun_hours'></span><b>no</b><span>"), "sunhours", F.lit("</span></p><table><tr><td>no</td></tr></table>"),
         F.lit("<div class='swg-row-wrapper border--grey-next'>outside</div><div id='uebersicht'>"), F.array_join(slots, ""),
-        F.lit("</div><div id='vhs-detail-diagram'><table><thead><tr><th>head</th></tr></thead>"), F.array_join(cells, ""), F.lit("</table></div></body></html>")))
+        F.lit("</div><div id='vhs-detail-diagram'><table><thead><tr><th>head</th></tr></thead>"), F.array_join(cells, ""), F.lit("</table></div></body></html>"))).select(*df.columns, "html")
 
 
 _LONG = r"trim(regexp_replace(translate(report_long, chr(10) || chr(9), ''), '\s+', ' ', 'g'))"

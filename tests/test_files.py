@@ -416,3 +416,31 @@ def test_reading_stops_where_no_field_can_find_more():
     assert short > 500
     page = "<p><span title='Sonnenaufgang'></span>06:30 Uhr</p>" + "<tr><td>x</td></tr>" * 1000
     assert len(list(walk(read(page, last=last(page), holds=holds)))) <= 3
+
+
+def test_pages_off_the_first_hour_are_left_after_their_first_row(spark, one):
+    """Their texts, later rows and table are not looked for, and pages are made and read once although a filter follows."""
+    def parts(page, start=None):
+        return one(P.page_parts("h", P.CITY_PAGE, P.OVERVIEW_ROW, P.OVERVIEW, P.DIAGRAM, start), "h string", (page,))
+
+    late, early = parts(city_page(1), "00 - 01 Uhr"), parts(city_page(0), "00 - 01 Uhr")
+    assert late["rows"] == parts(city_page(1))["rows"][:1] and late["fields"] is None and late["cells"] is None
+    assert early == parts(city_page(0)) and len(early["rows"]) == 24 and early["cells"][19][23] == "19.23"
+    row = '<div class="swg-row-wrapper border--grey-next">{}</div>'
+    nested = '<div id="uebersicht">' + row.format(" \n00\t \xa0- 01 <br>&#85;hr" + row.format("inner") + "<p>x") + row.format("2") + "</div>"
+    assert parts(nested, "00 - 01 Uhr")["rows"] == parts(nested)["rows"] and len(parts(nested)["rows"]) == 3
+    assert parts("<p>leer</p>", "00 - 01 Uhr")["rows"] == [] and parts('<div id="uebersicht">', "00 - 01 Uhr")["rows"] == []
+    pages = spark.createDataFrame([("Ulm-1", city_page(0)), ("Bonn-2", city_page(1))], "city string, html string")
+    plan = standardise_pages(pages, "html")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_first_table_below_an_element_is_cut_as_it_is_built(one):
+    """Simple tables in an element, with a head and without, give what a table of the same cells gives that has to be built."""
+    rows = "<tr><td>a</td><td> b &amp; c </td></tr>\n<tr></tr><tr><td></td></tr>"
+    more = "</table><table><tr><td>second</td></tr></table></div><table><tr><td>outside</td></tr></table>"
+    for head in ("", "<thead><tr><th>h</th></tr></thead>", "<thead></thead> "):
+        for lead in ("", "<p>text", "<b/>"):
+            page = '<div id="other"><table><tr><td>no</td></tr></table></div><div id="d">' + lead + "<table>" + head
+            got = [one(P.first_table("h", "id", "d"), "h string", (page + r + more,)) for r in (rows, rows.replace("<tr></tr>", "<tr><!-- built --></tr>"))]
+            assert got == [[["a", "b & c"], [], ["NaN"]]] * 2
