@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions import text as T
+from almanac.operators import blocks as B
 from almanac.operators import metrics as M
 from almanac.operators import similarity as S
 from almanac.operators.postings import Postings, best
@@ -244,3 +245,70 @@ def test_unit_weights_look_terms_up_once(spark):
     a, b, c = 2 * math.log(4), math.log(4 / 3), math.log(4)
     assert found == pytest.approx({(1, "a"): a / math.hypot(a, b), (1, "b"): b / math.hypot(a, b),
                                    (2, "b"): b / math.hypot(b, c), (2, "c"): c / math.hypot(b, c), (3, "b"): 1.0})
+
+
+def sparse_block(rng, rows, terms, codes=None):
+    """Vectors over some codes, a few terms common and most rare, and the matrix of their weights."""
+    codes = np.arange(terms) if codes is None else codes
+    held = rng.random((rows, terms)) < rng.choice([0.02, 0.1, 0.7], terms, p=[0.7, 0.2, 0.1])
+    held[np.arange(rows), rng.integers(0, terms, rows)] = True
+    counts, idf = np.where(held, rng.integers(1, 5, held.shape), 0), rng.random(terms) + 0.1
+    size, (row, place) = held.sum(1), np.nonzero(held)
+    norm = np.linalg.norm(counts * idf, axis=1)
+    block = B.Block(codes, idf, size, place.astype(np.int32), counts[row, place], norm, rng.integers(1, 4, rows), np.zeros(rows), [f"v{i}" for i in range(rows)])
+    whole = np.zeros((rows, codes.max() + 1))
+    whole[:, codes] = counts * idf / norm[:, None]
+    return block, whole
+
+
+def top(scores, copies, k, floor=0.0, own=0):
+    """The k highest entries above a floor: every score as often as it has copies."""
+    all_ = np.concatenate([np.repeat(scores, copies), np.ones(own)])
+    return np.sort(all_[all_ > floor])[::-1][:k]
+
+
+def lists(found, rows, k):
+    row, score, times = found
+    return [np.repeat(score[row == i], times[row == i])[:k] for i in range(rows)]
+
+
+@pytest.mark.parametrize("dense_pairs", [0, 180, 10 ** 9])
+def test_blocks_find_the_best_of_every_pair_once(monkeypatch, dense_pairs):
+    """By matrix, by postings and by both, in stripes, with what is held cut on the way, and with vectors that cannot reach their floor."""
+    monkeypatch.setattr(B, "DENSE_PAIRS", dense_pairs)
+    monkeypatch.setattr(B, "STRIPE", 16)
+    monkeypatch.setattr(B, "HELD", 200)
+    monkeypatch.setattr(B, "MATRIX_BYTES", 8 * 30 * 70)
+    rng, k = np.random.default_rng(7), 5
+    (a, wa), (b, wb) = sparse_block(rng, 50, 90), sparse_block(rng, 61, 80, np.arange(40, 120))
+    wide = np.zeros((50, 120))
+    wide[:, :90] = wa
+    for block, whole in ((a, wa), (b, wb)):
+        scores = whole @ whole.T
+        np.fill_diagonal(scores, 0.0)
+        *found, floor = B.within(block, k)
+        for i, got in enumerate(lists(found, block.rows, k)):
+            want = top(scores[i], block.copies, k, own=block.copies[i] - 1)
+            assert np.allclose(got, want) and floor[i] == pytest.approx(want[-1] if len(want) == k else 0.0)
+        block.floor = floor
+    scores = wide @ wb.T
+    for floor_a, floor_b in ((a.floor, b.floor), (a.floor * 0, b.floor * 0), (a.floor * 0 + 9, b.floor), (np.where(np.arange(50) < 45, 9, 0.0), b.floor * 0 + 9)):
+        a.floor, b.floor = floor_a, floor_b
+        found = B.between(a, b, k)
+        for one, matrix, other, floor in ((found[0], scores, b, floor_a), (found[1], scores.T, a, floor_b)):
+            for i, got in enumerate(lists(one, len(matrix), k)):
+                assert np.allclose(got, top(matrix[i], other.copies, k, floor[i]))
+
+
+def test_blocks_travel_packed():
+    """A block comes back from its parts as it was; a term of a vector takes few bytes, where a code and a weight took sixteen."""
+    block, _ = sparse_block(np.random.default_rng(8), 700, 500)
+    block.codes = np.cumsum(np.random.default_rng(9).integers(1, 10 ** 12, 500))
+    block.floor = np.random.default_rng(10).random(700)
+    parts = list(block.parts())
+    back = B.Block.of_parts([names for _, names, _ in parts], [data for _, _, data in parts])
+    for name in ("codes", "idf", "size", "place", "count", "norm", "copies", "floor", "row", "weight"):
+        assert np.array_equal(getattr(back, name), getattr(block, name)), name
+    assert back.names == block.names and [p for p, _, _ in parts] == [0, 1, 2, 3]
+    assert sum(len(data) for part, _, data in parts if part) < 4 * block.size.sum()
+    assert [x.tolist() for x in B.unpacked(B.packed(np.zeros(0, np.int64), np.zeros(0), np.array([2 ** 40])))] == [[], [], [2 ** 40]]
