@@ -312,3 +312,28 @@ def test_blocks_travel_packed():
     assert back.names == block.names and [p for p, _, _ in parts] == [0, 1, 2, 3]
     assert sum(len(data) for part, _, data in parts if part) < 4 * block.size.sum()
     assert [x.tolist() for x in B.unpacked(B.packed(np.zeros(0, np.int64), np.zeros(0), np.array([2 ** 40])))] == [[], [], [2 ** 40]]
+
+
+def test_weights_are_joined_without_sorting_and_vectors_grouped_without_terms(spark, monkeypatch):
+    """A large but not very large table of weights is held as hash tables by partition; the terms do not travel to their vector."""
+    from almanac.operators import index as I
+
+    monkeypatch.setattr(I, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b b e"), (3, "c e f"), (4, "a b c d"), (5, "")], "k int, t string")
+    plain = {r["k"]: r for r in S.unit_vectors(df, "k", F.col("t")).collect()}
+    vectors = S.unit_vectors(df, "k", F.col("t"))
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+    packing = [line for line in plan.splitlines() if "collect_list" in line]
+    assert packing and not any("term#" in line for line in packing)
+    assert plain[1]["signature"] == plain[4]["signature"] != plain[2]["signature"] and plain[5]["terms"] == [] and plain[5]["lead"] == -1
+    sizes = {k: sorted(n * w / r["norm"] for n, w in zip(r["counts"], r["idf"])) for k, r in plain.items() for r in [r] if r["terms"]}
+    common, rare, all_ = np.log(5 / 3), np.log(5 / 2), np.log(5)
+    norm = np.sqrt(common ** 2 + (2 * common) ** 2 + rare ** 2)
+    assert sizes[2] == pytest.approx(sorted([common / norm, 2 * common / norm, rare / norm]))
+    assert sizes[3] == pytest.approx(sorted(x / np.sqrt(common ** 2 + rare ** 2 + all_ ** 2) for x in (common, rare)))
+    expected = np.sort(brute_force([r["t"] for r in df.collect()]), axis=1)[:, :-3:-1]
+    got = {k: [] for k in range(1, 6)}
+    for r in S.nearest_similarities(df, "k", F.col("t"), 2).orderBy("k", "rank").collect():
+        got[r["k"]].append(r["similarity"])
+    assert np.allclose([got[k] for k in range(1, 6)], expected)
