@@ -327,7 +327,7 @@ def test_weights_are_joined_without_sorting_and_vectors_grouped_without_terms(sp
     packing = [line for line in plan.splitlines() if "collect_list" in line]
     assert packing and not any("term#" in line for line in packing)
     assert plain[1]["signature"] == plain[4]["signature"] != plain[2]["signature"] and plain[5]["terms"] == [] and plain[5]["lead"] == -1
-    sizes = {k: sorted(n * w / r["norm"] for n, w in zip(r["counts"], r["idf"])) for k, r in plain.items() for r in [r] if r["terms"]}
+    sizes = {k: sorted(n * np.log(5 / m) / r["norm"] for n, m in zip(r["counts"], r["documents"])) for k, r in plain.items() for r in [r] if r["terms"]}
     common, rare, all_ = np.log(5 / 3), np.log(5 / 2), np.log(5)
     norm = np.sqrt(common ** 2 + (2 * common) ** 2 + rare ** 2)
     assert sizes[2] == pytest.approx(sorted([common / norm, 2 * common / norm, rare / norm]))
